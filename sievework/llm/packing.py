@@ -20,7 +20,7 @@ REMEMBER = 600_000
 #: Pieces that one task ranks at a time, on average.
 RANKED_AT_ONCE = 50_000
 #: White space by the Unicode property, which leaves out the separators U+001C to U+001F.
-_SPACE = "[\t-\r \x85\xa0  -     　]+"
+_SPACE = "[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 
 
 class ChunkIds:
@@ -90,14 +90,15 @@ def pieces_of(docs: DataFrame, path: str, capacity: int, end_id: int, key: str =
 def _best_pattern(prices: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
     """The pattern of most value that fits the capacity, by dynamic programming over capacities."""
     best, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    dense, number = np.full(capacity + 1, -1.0), np.full(capacity + 1, -1)
+    dense[sizes], number[sizes] = prices, np.arange(len(sizes))
     for room in range(1, capacity + 1):
-        n = np.searchsorted(sizes, room, side="right")
-        best[room] = best[room - 1]
-        if n:
-            value = prices[:n] + best[room - sizes[:n]]
-            i = int(value.argmax())
-            if value[i] > best[room] + 1e-12:
-                best[room], choice[room] = value[i], i
+        value = dense[1 : room + 1] + best[room - 1 :: -1] if room > 1 else dense[1:2] + best[:1]
+        i = value.argmax()
+        if value[i] > best[room - 1] + 1e-12:
+            best[room], choice[room] = value[i], number[i + 1]
+        else:
+            best[room] = best[room - 1]
     pattern, room = np.zeros(len(sizes)), capacity
     while room > 0:
         if choice[room] < 0:
@@ -108,7 +109,7 @@ def _best_pattern(prices: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple
     return best[capacity], pattern
 
 
-def plan_patterns(histogram: dict[int, int], capacity: int, gap: float = 5e-4, rounds: int = 4_000) -> list[tuple[int, dict[int, int]]]:
+def plan_patterns(histogram: dict[int, int], capacity: int, gap: float = 3e-3, rounds: int = 4_000) -> list[tuple[int, dict[int, int]]]:
     """[(times, {size: how many})] that hold exactly the histogram's pieces, few sequences in all.
 
     The linear program over patterns is solved by the revised simplex method, one column at a time
