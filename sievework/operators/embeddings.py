@@ -64,7 +64,8 @@ def typicality(vectors: DataFrame, k: int = 20, key: str = "vec_id", vector: str
         x, y, kb = _blocks(a, "v"), _blocks(b, "v"), b["k"].to_numpy()
         out = []
         for i in range(0, len(x), 256):
-            d = np.sqrt(np.maximum(((x[i : i + 256, None, :] - y[None]) ** 2).sum(axis=2), 0)) if len(y) * x.shape[1] < 300_000 else np.sqrt(np.maximum((x[i : i + 256] ** 2).sum(1)[:, None] + (y**2).sum(1) - 2 * x[i : i + 256] @ y.T, 0))
+            square = (x[i : i + 256] ** 2).sum(1)[:, None] + (y**2).sum(1) - 2 * x[i : i + 256] @ y.T
+            d = np.sqrt(np.maximum(square, 0))
             d[a["k"].to_numpy()[i : i + 256, None] == kb[None]] = np.inf
             out += [row[np.isfinite(row)].tolist() for row in np.sort(d, axis=1)[:, :k]]
         return pd.DataFrame({"k": a["k"], "d": out})
