@@ -18,27 +18,13 @@ SHARES = (2.0**-1, 2.0**-3, 2.0**-5, 2.0**-7, 2.0**-9, 2.0**-11)
 #: Most terms that the band holds, and the share of documents above which a term is too common for it.
 LEXICON = 1_000_000
 TOO_COMMON = 0.2
-#: Term hashes that a worker remembers.
-REMEMBER = 500_000
 _TERM = re.compile(r"\w+")
-_known: dict[str, int] = {}
 
 
 def term_hashes(text: str) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's lower-cased words."""
-    import xxhash
-
-    words = set(_TERM.findall(text.lower()))
-    try:
-        got = [_known[w] for w in words]
-    except KeyError:
-        if len(_known) > REMEMBER:
-            _known.clear()
-        for w in words:
-            if w not in _known:
-                _known[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
-        got = [_known[w] for w in words]
-    return np.sort(np.array(got, np.uint64))
+    words = np.array(list(set(_TERM.findall(text.lower()))), object)
+    return np.sort(pd.util.hash_array(words, categorize=False)) if len(words) else np.empty(0, np.uint64)
 
 
 def _mix(x: np.ndarray, salt: int) -> np.ndarray:
@@ -103,24 +89,12 @@ def lexicon(docs: DataFrame, text: str = "text", most: int = LEXICON, too_common
     """
 
     def run(batches):
-        counts: dict[int, int] = {}
         n = 0
-
-        def spill():
-            if counts:
-                keys = np.fromiter(counts.keys(), np.uint64, len(counts)).view(np.int64)
-                yield pd.DataFrame({"term": keys, "n": np.fromiter(counts.values(), np.int64, len(counts))})
-                counts.clear()
-
         for b in batches:
-            for value in b["text"]:
-                n += 1
-                for h in term_hashes(value or "").tolist():
-                    counts[h] = counts.get(h, 0) + 1
-            if len(counts) > 2_000_000:
-                yield from spill()
-        yield from spill()
-        yield pd.DataFrame({"term": [None], "n": [n]}).astype({"term": "Int64"})
+            n += len(b)
+            terms, counts = np.unique(np.concatenate([np.empty(0, np.uint64), *[term_hashes(v or "") for v in b["text"]]]), return_counts=True)
+            yield pd.DataFrame({"term": pd.array(terms.view(np.int64), "Int64"), "n": counts})
+        yield pd.DataFrame({"term": pd.array([None], "Int64"), "n": [n]})
 
     counts = docs.select(F.col(text).alias("text")).mapInPandas(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
     counts = table(counts, "imatch-counts")
@@ -163,7 +137,7 @@ def _in_order(docs: DataFrame, key: str, text: str, rows_per_range: int) -> Data
     """
     ids = docs.select(F.col(key).alias("key"))
     n = ids.count()
-    parts = max(1, min(10_000, n // rows_per_range))
+    parts = max(1, min(20_000, n // rows_per_range))
     marks = [i / parts for i in range(1, parts)]
     edges = sorted(set(ids.agg(F.percentile_approx("key", marks, 10 * parts).alias("q")).first()["q"] or [])) if marks else []
     # Null keys form the last range of the descending order.
@@ -180,10 +154,11 @@ def _in_order(docs: DataFrame, key: str, text: str, rows_per_range: int) -> Data
     if None in follows:
         spots = F.when(F.col("key").isNull(), F.concat(F.array(F.struct(F.lit(-1).alias("r"), F.lit(0).alias("ahead"))), F.array(F.struct(F.lit(int(follows[None])).alias("r"), F.lit(1).alias("ahead"))))).otherwise(spots)
     rows = rows.withColumn("spot", F.explode(spots)).select("key", "text", "spot.r", "spot.ahead")
-    return rows.repartition(parts, "r").sortWithinPartitions(F.desc("r"), "ahead", F.desc_nulls_last("key"), "text")
+    # Several ranges to a task, as hashing deals them unevenly.
+    return rows.repartition(max(1, parts // 4), "r").sortWithinPartitions(F.desc("r"), "ahead", F.desc_nulls_last("key"), "text")
 
 
-def compare_with_edits(docs: DataFrame, key: str = "doc_id", text: str = "text", rows_per_range: int = 4_000) -> DataFrame:
+def compare_with_edits(docs: DataFrame, key: str = "doc_id", text: str = "text", rows_per_range: int = 1_000) -> DataFrame:
     """Each document's fingerprint beside those of its edited text and of the next document.
 
     Documents stand in descending key order (null keys last, equal keys by text); the next of the
@@ -200,9 +175,11 @@ def compare_with_edits(docs: DataFrame, key: str = "doc_id", text: str = "text",
         last = None  # the latest row whose next is still to come: (range, key, text, terms)
 
         def flush():
-            a = signatures([h[2] for h in hold])
+            # A row's next is mostly the row after it: each document is signed once.
+            different = {id(t): t for h in hold for t in (h[2], h[5])}
+            signed = dict(zip(different, signatures(list(different.values())), strict=True))
+            a, c = [signed[id(h[2])] for h in hold], [signed[id(h[5])] for h in hold]
             b = signatures([h[4] for h in hold])
-            c = signatures([h[5] for h in hold])
             out = pd.DataFrame(
                 {
                     "key": pd.array([h[0] for h in hold], dtype="object"),
