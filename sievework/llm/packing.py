@@ -27,7 +27,8 @@ class ChunkIds:
     """Ids of texts as little-endian unsigned 32-bit bytes.
 
     The vocabulary drops white space and no pre-token crosses it, so a text's ids are those of its
-    chunks in a row; chunks repeat, and the library sees each new one once.
+    chunks in a row. Chunks repeat, and so do the lower-cased words in new chunks of ASCII; the library
+    sees each word, and each new chunk beyond ASCII, once.
     """
 
     def __init__(self, path: str):
@@ -38,6 +39,9 @@ class ChunkIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        #: The vocabulary's pre-token pattern, for lower-cased ASCII.
+        self.words = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+").findall
         self.split, self.odd = re.compile(_SPACE).split, re.compile("[\x1c-\x1f]").search
 
     def ids(self, text: str) -> bytes:
@@ -46,13 +50,22 @@ class ChunkIds:
             return b"".join(map(self.known.__getitem__, chunks))
         except KeyError:
             pass
-        if len(self.known) > REMEMBER:
-            self.known.clear()
-        new = list(set(chunks).difference(self.known))
-        for chunk, made in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self.known[chunk] = np.array(made.ids, "<u4").tobytes()
+        for held in (self.known, self.parts):
+            if len(held) > REMEMBER:
+                held.clear()
+        new = set(chunks).difference(self.known)
+        plain = {c: self.words(c.lower()) for c in new if c.isascii() and "<|" not in c}
+        self._learn(self.parts, {w for ws in plain.values() for w in ws}.difference(self.parts))
+        for chunk, found in plain.items():
+            self.known[chunk] = b"".join([self.parts[w] for w in found])
+        self._learn(self.known, new.difference(plain))
         return b"".join(map(self.known.__getitem__, chunks))
 
+    def _learn(self, held: dict[str, bytes], new: set[str]) -> None:
+        asked = list(new)
+        for text, made in zip(asked, self.tokenizer.encode_batch_fast(asked, add_special_tokens=False), strict=True):
+            held[text] = np.array(made.ids, "<u4").tobytes()
+
 
 @lru_cache(maxsize=4)
 def _chunk_ids(path: str) -> ChunkIds:
