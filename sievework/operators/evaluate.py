@@ -20,32 +20,36 @@ def match_boxes(truth: DataFrame, predicted: DataFrame, threshold: float = 0.5,
     """
     keys = ["sample", "label"] if by_class else ["sample"]
 
-    def pair(gt: pd.DataFrame, pred: pd.DataFrame) -> pd.DataFrame:
-        gt = gt.sort_values("id")
-        pred = pred.assign(c=pred["confidence"].fillna(0.0)).sort_values(["c", "id"], ascending=[False, True])
-        free = {r.id: (r.x, r.y, r.x + r.width, r.y + r.height) for r in gt.itertuples()}
+    def listed(rows: DataFrame, name: str, *more: str) -> DataFrame:
+        return rows.groupBy(*keys).agg(F.collect_list(F.struct("id", "x", "y", "width", "height", *more)).alias(name))
+
+    def pair(gt: list, pred: list) -> list[tuple]:
+        free = {r["id"]: (r["x"], r["y"], r["x"] + r["width"], r["y"] + r["height"]) for r in sorted(gt, key=lambda r: r["id"])}
         out = []
-        for p in pred.itertuples():
+        for p in sorted(pred, key=lambda r: (-(r["confidence"] or 0.0), r["id"])):
             best, chosen = None, None
             for g, (x1, y1, x2, y2) in free.items():
-                w = min(x2, p.x + p.width) - max(x1, p.x)
-                h = min(y2, p.y + p.height) - max(y1, p.y)
+                w = min(x2, p["x"] + p["width"]) - max(x1, p["x"])
+                h = min(y2, p["y"] + p["height"]) - max(y1, p["y"])
                 shared = max(w, 0) * max(h, 0)
-                union = (x2 - x1) * (y2 - y1) + p.width * p.height - shared
+                union = (x2 - x1) * (y2 - y1) + p["width"] * p["height"] - shared
                 iou = shared / union if union > 0 else 0.0
                 if iou >= threshold and (best is None or iou > best):
                     best, chosen = iou, g
             if chosen is not None:
                 del free[chosen]
-            out.append((chosen, p.id, best))
-        out += [(g, None, None) for g in free]
-        sample = (gt if len(gt) else pred)["sample"].iloc[0]
-        made = pd.DataFrame(out, columns=["gt_id", "pred_id", "iou"], dtype=object)
-        return made.assign(sample=sample)[["sample", "gt_id", "pred_id", "iou"]]
-
-    kind = truth.schema["sample"].dataType.simpleString()
-    ids = truth.schema["id"].dataType.simpleString()
-    return truth.groupBy(*keys).cogroup(predicted.groupBy(*keys)).applyInPandas(pair, f"sample {kind}, gt_id {ids}, pred_id {ids}, iou double")
+            out.append((chosen, p["id"], best))
+        return out + [(g, None, None) for g in free]
+
+    def run(batches):
+        for b in batches:
+            some = lambda v: [] if v is None else v
+            rows = [(k, *r) for k, gt, pred in zip(b["sample"], b["gt"], b["pred"], strict=True) for r in pair(some(gt), some(pred))]
+            yield pd.DataFrame(rows, columns=["sample", "gt_id", "pred_id", "iou"], dtype=object)
+
+    kind, ids = truth.schema["sample"].dataType.simpleString(), truth.schema["id"].dataType.simpleString()
+    both = listed(truth, "gt").join(listed(predicted, "pred", "confidence"), keys, "full").select("sample", "gt", "pred")
+    return both.mapInPandas(run, f"sample {kind}, gt_id {ids}, pred_id {ids}, iou double")
 
 
 def sample_counts(pairs: DataFrame) -> DataFrame:
