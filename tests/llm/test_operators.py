@@ -1,0 +1,307 @@
+"""The corpus operators against brute force and the libraries they stand for."""
+
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import pytest
+from conftest import EDGES
+from pyspark.sql import functions as F
+
+from sievework.llm import components, decontaminate, imatch, language_id, licenses, line_dedup, packing, registry, sharding, simhash, surrogates, token_counts
+
+
+def got(df, *columns):
+    return sorted((tuple(r[c] for c in columns) for r in df.collect()), key=str)
+
+
+def soup(rnd, n=40):
+    parts = ["a", "B", " ", "\n", "\x1c", "\x85", " ", "é", "É", "漢", "😀", "'s", "'LL", "1", "23", "<|endoftext|>", "!", "...", "aaaaaaa", "The", "\r\n", "\x00", "ﬁ"]
+    return "".join(rnd.choice(parts) for _ in range(rnd.randint(0, n)))
+
+
+def test_components_of_a_chain_and_a_star(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(7, 7), (3, 4)]
+    found = dict(got(components.connected_components(spark.createDataFrame(edges, "u long, v long")), "node", "component"))
+    assert all(found[i] == 0 for i in range(41)) and all(found[i] == 100 for i in range(100, 140))
+    assert components.connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_token_counts_equal_the_library(spark, docs_of):
+    from tokenizers import Tokenizer
+
+    path = registry.vocabulary("byte_bpe_50k.json")
+    library, rnd = Tokenizer.from_file(path), random.Random(3)
+    texts = [soup(rnd) for _ in range(300)] + ["b" * 5000]
+    want = [(i, len(t.encode()), len(library.encode(t, add_special_tokens=False).ids)) for i, t in enumerate(texts)]
+    assert got(token_counts.count_tokens(docs_of(enumerate(texts)), path, 5), "doc_id", "n_bytes", "n_tokens") == sorted(want, key=str)
+    edges = got(token_counts.count_tokens(docs_of(EDGES), path, 512), "doc_id", "n_bytes", "n_tokens", "over_limit")
+    assert len(edges) == len(EDGES) and (1, 0, 0, False) in edges and any(e[0] is None for e in edges)
+    assert token_counts.count_tokens(docs_of([]), path, 5).count() == 0
+
+
+def test_packing_holds_every_id_once(spark, docs_of):
+    from tokenizers import Tokenizer
+
+    path = registry.vocabulary("word_bpe_49k.json")
+    library, rnd = Tokenizer.from_file(path), random.Random(4)
+    texts = {i: soup(rnd, 200) for i in range(60)} | {99: "some more words " * 3000, 98: None}
+    rows = packing.pack_documents(docs_of(texts.items()), path).toPandas()
+    for i, t in texts.items():
+        ids = np.array([*library.encode(t or "", add_special_tokens=False).ids, 2], "<u4").tobytes()
+        own = rows[rows.doc_id == i].sort_values("start")
+        assert own["start"].tolist() == [0, *own["length"].cumsum().tolist()][:-1] and own["length"].sum() * 4 == len(ids)
+        assert all(zlib.crc32(ids[4 * s : 4 * (s + n)]) == c for s, n, c in zip(own.start, own.length, own.ids_crc32, strict=True))
+    rows = rows.sort_values(["sequence_id", "offset"])
+    assert (rows.groupby("sequence_id").length.cumsum() - rows.length == rows.offset).all()
+    assert rows.groupby("sequence_id").length.sum().max() <= 4096
+    assert len(packing.pack_documents(docs_of(EDGES), path).select("doc_id").distinct().collect()) == 7
+    assert packing.pack_documents(docs_of([]), path).count() == 0
+
+
+def test_plan_is_exact_and_tight():
+    rng = np.random.default_rng(0)
+    histogram = {int(k): int(v) for k, v in zip(*np.unique(np.minimum(256, rng.lognormal(3, 1, 20_000)).astype(int) + 1, return_counts=True), strict=True) if k <= 256}
+    plan, held = packing.plan_patterns(histogram, 256), {}
+    for times, content in plan:
+        assert sum(s * n for s, n in content.items()) <= 256
+        for s, n in content.items():
+            held[s] = held.get(s, 0) + times * n
+    assert held == histogram
+    assert sum(t for t, _ in plan) <= 1.01 * sum(s * n for s, n in histogram.items()) / 256 + 1
+
+
+def brute_components(prints):
+    x = np.array(prints, np.int64).view(np.uint64)
+    near = np.bitwise_count(x[:, None] ^ x[None, :]) <= 2
+    label = np.arange(len(x))
+    while True:
+        new = np.array([label[row].min() for row in near])
+        if (new == label).all():
+            return label
+        label = new
+
+
+@pytest.mark.parametrize("wide", [64, 2])
+def test_simhash_links_equal_brute_force(spark, wide):
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, 150, np.int64)
+    flips = [int(b) ^ (1 << int(i)) ^ (1 << int(j)) for b in base[:50] for i, j in rng.integers(0, 63, (4, 2))]
+    chain = [int(base[0])]
+    for k in range(20):
+        chain.append(chain[-1] ^ (3 << (2 * k)))
+    prints = sorted({*map(int, base), *flips, *chain, 0, 1, 3, -1, -2})
+    found = simhash.links(spark.createDataFrame([(p,) for p in prints], "fp long"), wide=wide)
+    nodes = dict(got(components.connected_components(found), "node", "component"))
+    want = brute_components(prints)
+    classes = {}
+    for p, w in zip(prints, want, strict=True):
+        classes.setdefault(w, set()).add(nodes.get(p, p))
+    assert all(len(c) == 1 for c in classes.values()) and len({next(iter(c)) for c in classes.values()}) == len(classes)
+
+
+def test_simhash_fingerprint_and_edges(spark, docs_of):
+    import xxhash
+
+    words = b"the cat sat on the mat".split()
+    hashes = [xxhash.xxh64_intdigest(b" ".join(words[i : i + 3]), 42) for i in range(4)]
+    want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > 4)
+    assert int(simhash.fingerprints_of(["The cat\tsat on THE mat"])[0]) & (1 << 64) - 1 == want
+    found = got(simhash.near_duplicates(docs_of(EDGES)), "doc_id", "component_id")
+    assert (1, 1) in found and (2, 1) in found and (5, 1) in found and (4, 3) in found and len(found) == len(EDGES)
+    assert simhash.near_duplicates(docs_of([])).count() == 0
+    assert got(simhash.keep_one(docs_of(EDGES[:5])), "doc_id") == [(1,), (3,)]
+
+
+def test_language_of_held_out_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    made = registry.op3_language_id(spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id").where("held_out")
+    right, n = made.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")), F.count("*")).first()
+    assert n > 200 and right > 0.98
+
+
+def test_language_edges(spark, docs_of):
+    labels, prototypes = language_id.learn(docs_of(EDGES))
+    made = language_id.predict(docs_of([*EDGES, (9, "12 34 !!")]), labels, prototypes)
+    assert {r["doc_id"]: r["lang_pred"] for r in made.where("doc_id in (1, 2, 3, 5, 9)").collect()} == {1: "und", 2: "und", 3: "en", 5: "und", 9: "und"}
+    none = language_id.predict(docs_of(EDGES), *language_id.learn(docs_of([])))
+    assert {r[0] for r in none.select("lang_pred").distinct().collect()} == {"und"}
+
+
+def test_imatch_edits_and_likeness(spark, docs_of):
+    rnd = random.Random(6)
+    words = ["".join(rnd.choice("abcdefghij") for _ in range(6)) for _ in range(400)]
+    texts = {i: " ".join(rnd.choice(words) for _ in range(rnd.randint(1, 300))) for i in range(120)} | {500: None, 501: "é" * 7}
+    rows = imatch.compare_with_edits(docs_of(texts.items()), rows_per_range=10).toPandas().set_index("doc_id")
+    order = sorted(texts, reverse=True)
+    for at, i in enumerate(order):
+        own, following = texts[i] or "", texts[order[(at + 1) % len(order)]] or ""
+        cut = len(own) // 3
+        edited = own[: len(own) - cut] + following[:cut]
+        assert rows.n_chars[i] == len(own) and rows.edited_sha256[i] == hashlib.sha256(edited.encode()).hexdigest()
+    assert ((rows.near_edited >= 0) & (rows.near_edited <= 1)).all() and rows.near_edited.mean() > rows.near_next.mean() + 0.2
+    same = imatch.fingerprint(docs_of([(1, "b a"), (2, "A b a"), (3, "c"), (4, None)])).toPandas().set_index("doc_id").fingerprint
+    assert same[1] == same[2] != same[3] and set(same[4]) == {"0"}
+    assert imatch.compare_with_edits(docs_of(EDGES)).count() == len(EDGES) and imatch.compare_with_edits(docs_of([])).count() == 0
+    assert imatch.compare_with_edits(docs_of([(5, "only one")])).first()["near_next"] == 1.0
+
+
+def test_licenses(spark, docs_of):
+    texts = [
+        (1, "Released under the MIT License. MIT license"), (2, "permission is hereby granted, FREE of charge, to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"),
+        (3, "no licence at all"), (4, None), (5, "mit x license apache license é"), (6, "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
+    ]
+    rows = {r["doc_id"]: r for r in licenses.scan_licenses(docs_of(texts)).collect()}
+    assert (rows[1]["n_base"], rows[1]["first_word"], rows[1]["last_word"], rows[1]["labels"]) == (2, 3, 5, "mit")
+    assert rows[2]["labels"] == "mit" and rows[2]["base_labels"] == "" and rows[2]["first_word"] is None
+    assert rows[3]["labels"] == "" and rows[3]["score"] == 0 and rows[4]["n_words"] == 0
+    assert (rows[5]["base_labels"], rows[5]["n_words"], rows[5]["first_word"]) == ("apache", 6, 3) and rows[6]["labels"] == "bsd"
+    assert licenses.scan_licenses(docs_of(EDGES)).count() == len(EDGES) and licenses.scan_licenses(docs_of([])).count() == 0
+
+
+def brute_leaks(texts, items, width=10):
+    import re
+
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    split = lambda t: word.findall((t or "").translate(lower))
+    out = {}
+    for i, t in texts:
+        w, hit, named = split(t), set(), set()
+        for k, item in items:
+            v = split(item)
+            n = min(width, len(v))
+            for s in range(max(len(v) - width + 1, 1) if v else 0):
+                for p in range(len(w) - n + 1):
+                    if w[p : p + n] == v[s : s + n]:
+                        hit.update(range(p, p + n))
+                        named.add(str(k))
+        out[i] = (len(w), len(hit), sorted(named))
+    return out
+
+
+def test_decontamination_equals_brute_force(spark, docs_of, monkeypatch):
+    rnd = random.Random(8)
+    words = [f"w{i}" for i in range(25)]
+    items = [(i, " ".join(rnd.choice(words) for _ in range(rnd.randint(0, 16)))) for i in range(12)] + [(50, None), (51, "Ü x")]
+    texts = []
+    for i in range(40):
+        t = [rnd.choice(words) for _ in range(rnd.randint(0, 40))]
+        if i % 2:
+            t[rnd.randint(0, len(t)) : 0] = (rnd.choice(items)[1] or "").upper().split()
+        texts.append((i, " ".join(t)))
+    texts += [(90, None), (91, "ü x. Ü X!"), (92, texts[1][1])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = brute_leaks(texts, items)
+    for per_pass in (40_000, 30):
+        monkeypatch.setattr(decontaminate, "WORDS_PER_PASS", per_pass)
+        rows = {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in decontaminate.contamination(docs_of(texts), bench).collect()}
+        assert rows == want
+    assert decontaminate.contamination(docs_of(EDGES), bench.limit(0)).where("contaminated").count() == 0
+    assert len(decontaminate.contamination(docs_of(EDGES), bench).collect()) == len(EDGES)
+    assert decontaminate.contamination(docs_of([]), bench).count() == 0
+    kept = {r["doc_id"] for r in decontaminate.drop_contaminated(docs_of(texts), bench).collect()}
+    assert kept == {i for i, v in want.items() if not v[1]}
+
+
+def test_line_dedup_against_brute_force(spark, docs_of):
+    import re
+
+    shingle = re.compile(r"(?s)(?=(.{1,9}))\S{1,6}\s*")
+    rnd = random.Random(9)
+    words = ["".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randint(2, 9))) for _ in range(300)]
+    texts, lines = [], [" ".join(rnd.choice(words) for _ in range(rnd.randint(1, 40))) for _ in range(150)]
+    for i in range(200):
+        own = []
+        for _ in range(rnd.randint(0, 6)):
+            w = rnd.choice(lines).split(" ")
+            if rnd.random() < 0.5:
+                w[rnd.randrange(len(w))] = rnd.choice(words)
+            own.append(" ".join(w))
+        texts.append((i, "\n".join([*own, ""])))
+    sets = {}
+    for _, t in texts:
+        for line in t.split("\n"):
+            if line.strip():
+                sets.setdefault(line, set(shingle.findall(line)))
+    every = sorted(sets)
+    parent = {x: x for x in every}
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(every):
+        for b in every[:i]:
+            common = len(sets[a] & sets[b])
+            if common >= 0.8 * (len(sets[a]) + len(sets[b]) - common):
+                parent[top(a)] = top(b)
+    seen, want = set(), {}
+    for i, t in texts:
+        out = []
+        for line in t.split("\n"):
+            if not line.strip() or top(line) not in seen:
+                out.append(line)
+                seen |= {top(line)} if line.strip() else set()
+        want[i] = "\n".join(out)
+    rows = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs_of(texts)).collect()}
+    # Banding finds a pair at 0.8 with probability 0.985, so a few lines may stay.
+    missed = sum(rows[i] != want[i] for i in want)
+    assert missed <= 4 and all(len(rows[i]) >= len(want[i]) for i in want if rows[i] != want[i])
+
+
+def test_line_dedup_edges(spark, docs_of):
+    rows = {(r["doc_id"], r["n_lines"], r["n_dropped"], r["text"] if len(r["text"] or "") < 99 else "") for r in line_dedup.dedup_lines(docs_of(EDGES)).collect()}
+    assert (1, 0, 0, None) in rows and (2, 1, 0, "") in rows and (3, 1, 0, "a b c d e f") in rows and (4, 1, 1, "") in rows and (5, 3, 0, "\n \n") in rows
+    assert line_dedup.dedup_lines(docs_of(EDGES)).count() == len(EDGES) and line_dedup.dedup_lines(docs_of([])).count() == 0
+
+
+def test_sharding(spark, docs_of):
+    names = [f"n{i}" for i in range(7)]
+    table = sharding.lookup_table(names, 1009)
+    share = np.bincount(table, minlength=7)
+    assert share.max() - share.min() <= 1
+    fewer = sharding.lookup_table(names[:-1], 1009)
+    stay = table != 6
+    assert (fewer[stay] == table[stay]).mean() > 0.8
+    rows = got(sharding.place(docs_of([*EDGES, (8, "x")]), "doc_id", names, 1009), "doc_id", "slot", "shard")
+    for i, slot, shard in rows:
+        want = int(hashlib.md5(("" if i is None else str(i)).encode()).hexdigest()[:15], 16) % 1009
+        assert slot == want and shard == names[table[slot]]
+    assert len(rows) == len(EDGES) + 1 and sharding.place(docs_of([]), "doc_id", names, 1009).count() == 0
+    with pytest.raises(ValueError):
+        sharding.lookup_table(names, 1000)
+
+
+def test_surrogates(spark, docs_of):
+    texts = [
+        (1, "Write to ann.lee42@corp.example.org or +1 (310) 555-4510, card 4111111111111111, host 10.0.0.1."),
+        (2, "ANN.LEE42@CORP.EXAMPLE.ORG called +1-310-555-4510; Frau Anna Schmidt met Herr Karl Schmidt. Schmidt left. господин Иванов"),
+        (3, 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" and nothing more'), (4, "A clean text of 12 words, 3.14 and 2024-01-02."),
+    ]
+    made = {r["doc_id"]: r for r in surrogates.pseudonymise(docs_of(texts), "k").collect()}
+    one, two = made[1]["text"], made[2]["text"]
+    for private in ("ann.lee42", "310) 555-4510", "4111111111111111", "10.0.0.1", "Schmidt", "Anna", "Karl", "Иванов"):
+        assert private not in one + two
+    assert surrogates.luhn(next(w for w in one.split() if w.strip(",").isdigit()).strip(",")[:-1]) >= 0
+    digits = "".join(c for c in one.split("or ")[1].split(",")[0] if c.isdigit())
+    assert digits == "".join(c for c in two.split("called ")[1].split(";")[0] if c.isdigit()) and digits[0] == "1"
+    assert one.split()[2].upper() == two.split()[0]
+    family = two.split("Frau ")[1].split()[1]
+    assert two.count(family.strip(".")) == 3 and two.split("Frau ")[1].split()[0].endswith("la")
+    assert made[3]["kinds"] == "secret" and "24be" not in made[3]["text"] and made[4]["text"] == texts[3][1]
+    maker = surrogates.Maker(b"k")
+    for kind, values in (("card", [f"4{i:014d}{c}" for i in range(40) for c in range(10)]), ("ssn", [f"{i:09d}" for i in range(500)]), ("ip", [f"1.2.3.{i}" for i in range(256)])):
+        assert len({maker.surrogate(kind, v) for v in values}) == len(values)
+    assert surrogates.pseudonymise(docs_of(EDGES), "k").count() == len(EDGES) and surrogates.pseudonymise(docs_of([]), "k").count() == 0
+
+
+def test_colliding_surrogates_part(spark, docs_of, monkeypatch):
+    plain = surrogates.Maker.surrogate
+    monkeypatch.setattr(surrogates, "MAPPED", 0)
+    found = spark.createDataFrame([("ip", f"0.0.{i}.{j}") for i in range(4) for j in range(50)], "kind string, value string")
+    changed = {(r["kind"], r["value"]): r["attempt"] for r in surrogates.collisions(found, b"k").collect()}
+    final = [plain(surrogates.Maker(b"k"), "ip", f"0.0.{i}.{j}", changed.get(("ip", f"0.0.{i}.{j}"), 0)) for i in range(4) for j in range(50)]
+    assert len(set(final)) == len(final)
