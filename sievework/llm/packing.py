@@ -137,7 +137,7 @@ def plan_patterns(histogram: dict[int, int], capacity: int, gap: float = 3e-3, r
     fits = capacity // sizes
     basis = np.diag(fits.astype(np.float64))
     inverse, use = np.diag(1.0 / fits), need / fits
-    for step in range(rounds):
+    for _ in range(rounds):
         prices = inverse.sum(axis=0)
         value, pattern = _best_pattern(np.maximum(prices, 0), sizes, capacity)
         if value <= 1 + gap:
@@ -151,13 +151,10 @@ def plan_patterns(histogram: dict[int, int], capacity: int, gap: float = 3e-3, r
         use = np.maximum(use - ratio[out] * column, 0)
         use[out] = ratio[out]
         basis[:, out] = pattern
-        if step % 200 == 199:
-            inverse = np.linalg.inv(basis)
-            use = np.maximum(inverse @ need, 0)
-        else:
-            pivot = inverse[out] / column[out]
-            inverse -= np.outer(column, pivot)
-            inverse[out] = pivot
+        # No fresh inverse: threaded LAPACK can hang in a driver, and rounding errs on the exact side.
+        pivot = inverse[out] / column[out]
+        inverse -= np.outer(column, pivot)
+        inverse[out] = pivot
     left = need.astype(np.int64)
     made: list[tuple[int, dict[int, int]]] = []
     for j in np.argsort(-use, kind="stable"):
