@@ -252,6 +252,36 @@ def test_line_dedup_against_brute_force(spark, docs_of):
     assert missed <= 4 and all(len(rows[i]) >= len(want[i]) for i in want if rows[i] != want[i])
 
 
+def test_wide_bands_lose_no_link(spark, monkeypatch):
+    rnd = random.Random(11)
+    words = ["".join(rnd.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(500)]
+    lines = set()
+    for _ in range(4):  # families that drift: neighbours match, the ends do not
+        own = [rnd.choice(words) for _ in range(40)]
+        for _ in range(60):
+            own[rnd.randrange(40)] = rnd.choice(words)
+            lines.add(" ".join(own))
+    rows = spark.createDataFrame([(x,) for x in sorted(lines)], "line string").select(F.xxhash64("line").alias("lh"), "line").cache()
+    pairs_of_all, _ = line_dedup.candidates(line_dedup.band_keys(rows), 1 << 30)
+    all_pairs = line_dedup.matches(pairs_of_all, line_dedup.shingle_sets(pairs_of_all, rows), 0.8)
+    want = got(components.connected_components(all_pairs), "node", "component")
+    monkeypatch.setattr(line_dedup, "LEADERS", 1)
+    found = got(line_dedup.line_components(rows, wide=2), "node", "component")
+    _, many = line_dedup.candidates(line_dedup.band_keys(rows), 2)
+    assert many.count() > 100
+    # The prefix filter also finds matches that no band holds, so components can only grow.
+    assert {n for n, _ in want} <= {n for n, _ in found}
+    of = dict(found)
+    parts = {}
+    for n, c in want:
+        parts.setdefault(c, set()).add(of[n])
+    assert all(len(x) == 1 for x in parts.values())
+    texts = {r["lh"]: set(r["s"]) for r in line_dedup.shingle_sets(rows.select(F.col("lh").alias("u"), F.col("lh").alias("v")), rows).collect()}
+    true = components.connected_components(spark.createDataFrame([(a, b) for a in texts for b in texts if a < b and len(texts[a] & texts[b]) >= 0.8 * len(texts[a] | texts[b])], "u long, v long"))
+    brute = dict(got(true, "node", "component"))
+    assert all(brute[n] == brute[c] for n, c in found)
+
+
 def test_line_dedup_edges(spark, docs_of):
     rows = {(r["doc_id"], r["n_lines"], r["n_dropped"], r["text"] if len(r["text"] or "") < 99 else "") for r in line_dedup.dedup_lines(docs_of(EDGES)).collect()}
     assert (1, 0, 0, None) in rows and (2, 1, 0, "") in rows and (3, 1, 0, "a b c d e f") in rows and (4, 1, 1, "") in rows and (5, 3, 0, "\n \n") in rows
