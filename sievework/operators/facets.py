@@ -68,3 +68,9 @@ def frequency_slots(rows: DataFrame, value: Column, key: str, first: int = 3, la
     order = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "__v")))  # at most last - first values
     slots = ranked.agg(order.alias("o")).select(F.posexplode("o").alias("at", "e")).select((F.col("at") + first).alias("slot"), F.col("e.__v").alias("__v"))
     return named.join(F.broadcast(slots), "__v", "left").select(key, F.when(F.col("__v").isNull(), 0).otherwise(F.coalesce("slot", F.lit(last))).alias("slot"))
+
+
+def overview(roots: DataFrame, samples: DataFrame, key: str, collection: str) -> DataFrame:
+    """`roots` with n_samples, 0 where none; samples are counted before the join."""
+    counts = samples.groupBy(F.col(collection).alias("__c")).agg(F.count("*").alias("n_samples"))
+    return roots.join(counts, F.col(key) == F.col("__c"), "left").drop("__c").withColumn("n_samples", F.coalesce("n_samples", F.lit(0)))

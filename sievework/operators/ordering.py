@@ -75,3 +75,25 @@ def keeps_frame(index: Column, from_fps: float, to_fps: float) -> Column:
     """Whether a frame stays when a video is thinned from one rate to another."""
     step = lambda i: F.floor(i * to_fps / from_fps)
     return (index == 0) | (step(index) != step(index - 1))
+
+
+def by_metric(rows: DataFrame, metrics: DataFrame, key: str, run, metric: str, descending: bool = False) -> DataFrame:
+    """`rows` with metric_value, ordered by one run's metric; those without it come last either way, ties by key.
+
+    metrics: sample, run, metric, value. Its rows are chosen before the outer join, so none of `rows` goes.
+    """
+    chosen = metrics.where((F.col("run") == F.lit(run)) & (F.col("metric") == metric)).select(F.col("sample").alias("__s"), F.col("value").alias("metric_value"))
+    joined = rows.join(chosen, F.col(key) == F.col("__s"), "left").drop("__s")
+    first = F.col("metric_value")
+    return joined.orderBy(first.desc_nulls_last() if descending else first.asc_nulls_last(), F.desc(key) if descending else F.asc(key))
+
+
+def pair_metric(annotations: DataFrame, pairs: DataFrame, key: str, side: str) -> DataFrame:
+    """`annotations` with pair_value: that of its pair, 0 where the run left it unpaired, null where the run lacks it.
+
+    pairs: gt_id, pred_id, value; `side` is gt_id or pred_id, the one that holds these annotations.
+    """
+    if side not in ("gt_id", "pred_id"):
+        raise ValueError("the annotations are on neither side of the run")
+    value = pairs.where(F.col(side).isNotNull()).groupBy(F.col(side).alias("__a")).agg(F.max(F.coalesce("value", F.lit(0.0))).alias("pair_value"))
+    return annotations.join(value, F.col(key) == F.col("__a"), "left").drop("__a")

@@ -78,3 +78,13 @@ def balanced(rows: DataFrame, n: int, key: str, classes: dict[str, float], label
         so_far = [a + b for a, b in zip(so_far, best["c"], strict=True)]
     kind = rows.schema[key].dataType.simpleString()
     return rows.sparkSession.createDataFrame(out, f"{key} {kind}, step int")
+
+
+def mean_vectors(rows: DataFrame, keys: list[str], vector: str) -> DataFrame:
+    """(keys, vector) of each group's mean: what stands for a sequence when sequences are chosen.
+
+    Elements are averaged by place, with partial sums before the shuffle.
+    """
+    places = rows.select(*keys, F.posexplode(vector).alias("__at", "__x")).groupBy(*keys, "__at").agg(F.avg("__x").alias("__m"))
+    listed = places.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("__at", "__m"))).alias("__ms"))
+    return listed.select(*keys, F.transform("__ms", lambda p: p["__m"]).alias(vector))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from sievework.functions import metadata as M
 from sievework.functions import predicates as P
 from sievework.functions import vectors as V
-from sievework.operators import catalog, embeddings, evaluate, facets, ordering, selection
+from sievework.operators import catalog, embeddings, evaluate, facets, groups, ordering, selection
 from sievework.sources import writers
 
 QUERIES: dict = {}
@@ -466,3 +466,47 @@ def view_with_children(s, d):
     turns = read(s, d, "conversations").groupBy("conv_id").agg(F.collect_list("turn").alias("turns"))
     rows = read(s, d, "documents").select("doc_id").join(turns, F.col("doc_id") == F.col("conv_id"), "left")
     return rows.select("doc_id", F.when(F.col("turns").isNull(), 0).otherwise(F.size("turns")).cast("long").alias("n_turns"))
+
+
+# Groups, metric orders, sequence proxies -----------------------------------------------------------
+
+
+@query("SELECT o_orderkey, max(CASE WHEN l_linenumber = 1 THEN l_partkey END) AS \"1\", max(CASE WHEN l_linenumber = 2 THEN l_partkey END) AS \"2\", max(CASE WHEN l_linenumber = 3 THEN l_partkey END) AS \"3\" FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey")
+def group_components(s, d):
+    return groups.components(read(s, d, "orders").select("o_orderkey"), read(s, d, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey").select("o_orderkey", "l_linenumber", "l_partkey"), [1, 2, 3], "o_orderkey", "l_linenumber", "l_partkey")
+
+
+@query("SELECT l_orderkey, min({'a': l_linenumber, 'b': l_partkey}).b AS preview FROM lineitem GROUP BY l_orderkey")
+def group_previews(s, d):
+    return groups.previews(read(s, d, "lineitem"), "l_orderkey", "l_linenumber", "l_partkey")
+
+
+@query("SELECT l_orderkey, l_linenumber, count(*) AS n, l_linenumber IN (1, 2, 3, 4, 5) AS known FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1 OR l_linenumber NOT IN (1, 2, 3, 4, 5)")
+def group_violations(s, d):
+    return groups.violations(read(s, d, "lineitem"), [1, 2, 3, 4, 5], "l_orderkey", "l_linenumber")
+
+
+@query("SELECT doc_id, CAST(quality AS DOUBLE) AS metric_value FROM documents LEFT JOIN labels USING (doc_id) ORDER BY quality DESC NULLS LAST, doc_id DESC LIMIT 50")
+def order_by_metric(s, d):
+    metrics = read(s, d, "labels").select(F.col("doc_id").alias("sample"), F.lit("r1").alias("run"), F.lit("quality").alias("metric"), F.col("quality").cast("double").alias("value"))
+    return ordering.by_metric(read(s, d, "documents").select("doc_id"), metrics, "doc_id", "r1", "quality", descending=True).limit(50)
+
+
+@query("SELECT c_custkey, max(CASE WHEN o_orderkey IS NULL THEN NULL WHEN o_orderstatus = 'F' THEN o_totalprice ELSE 0 END) AS pair_value FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
+def order_by_pair_metric(s, d):
+    pairs = read(s, d, "orders").select(F.col("o_custkey").alias("gt_id"), F.lit(None).cast("long").alias("pred_id"), F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice")).alias("value"))
+    return ordering.pair_metric(read(s, d, "customer").select("c_custkey"), pairs, "c_custkey", "gt_id")
+
+
+@query("SELECT n_nationkey, n_name, count(c_custkey) AS n_samples FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_nationkey, n_name")
+def collections_overview(s, d):
+    return facets.overview(read(s, d, "nation").select("n_nationkey", "n_name"), read(s, d, "customer"), "n_nationkey", "c_nationkey")
+
+
+@query("""WITH n AS (SELECT label, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS p, count(*) OVER (PARTITION BY label) AS k FROM embeddings),
+e AS (SELECT label, p // 5 AS chunk, unnest(embedding) AS x, unnest(range(len(embedding))) AS place FROM n WHERE p < k - k % 5)
+SELECT label, CAST(chunk AS INTEGER) AS chunk, CAST(place AS INTEGER) AS place, round(avg(CAST(x AS DOUBLE)), 6) AS mean FROM e GROUP BY ALL""")
+def sequence_mean_vectors(s, d):
+    chunked = ordering.chunks(read(s, d, "embeddings"), "label", "vec_id", 5)
+    means = selection.mean_vectors(chunked, ["label", "chunk"], "embedding")
+    return means.select("label", "chunk", F.posexplode("embedding").alias("place", "x")).select("label", "chunk", "place", F.round("x", 6).alias("mean"))
