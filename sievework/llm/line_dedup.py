@@ -1,8 +1,7 @@
 """Fuzzy line dedup by MinHash, in DataFrame functions alone.
 
-Shingles of a line are the up to nine characters that begin at each word and at every sixth character
-inside longer words; together they cover the line. Two lines match if the Jaccard similarity of
-their shingle sets is at least the threshold.
+Shingles of a line are all its runs of nine characters, one from every character on; a shorter line is
+one shingle. Two lines match if the Jaccard similarity of their shingle sets is at least the threshold.
 """
 
 from __future__ import annotations
@@ -13,7 +12,9 @@ from pyspark.sql import functions as F
 from sievework.llm.common import table
 from sievework.llm.components import connected_components
 
-SHINGLE = r"(?s)(?=(.{1,9}))\S{1,6}\s*"
+#: Characters of a shingle, and shingles of a piece. Pieces overlap, so that time grows with a line's length alone.
+WIDTH, STEP = 9, 16
+PIECE = rf"(?s)(?=(.{{{WIDTH},{WIDTH + STEP - 1}}}|\A.{{1,{WIDTH - 1}}}(?!.))).{{1,{STEP}}}"
 #: Bands of a signature, and least hashes in a band.
 BANDS, ROWS = 8, 4
 #: Lines of one band beyond which they are first compared with leaders, and leaders of such a band.
@@ -24,6 +25,17 @@ BITMAP_WORDS = 1 << 18
 SLOTS = 1 << 14
 
 
+def pieces(line):
+    """Array of a line's pieces: each holds up to STEP shingles, one from each of its first characters on."""
+    return F.regexp_extract_all(line, F.lit(PIECE), F.lit(1))
+
+
+def shingles(piece, hashed):
+    """Array of the hashes of a piece's shingles."""
+    each = F.array(*[hashed(F.substring(piece, i, WIDTH)) for i in range(1, STEP + 1)])
+    return F.slice(each, 1, F.greatest(F.length(piece) - WIDTH + 1, F.lit(1)))
+
+
 def band_keys(lines: DataFrame) -> DataFrame:
     """(lh, bands): a row per different line, with the keys of its bands.
 
@@ -32,7 +44,8 @@ def band_keys(lines: DataFrame) -> DataFrame:
     1 - (1 - s ** ROWS) ** BANDS: 0.985 at 0.8, 0.9998 at 0.9. Tasks take the minima of their own
     lines before anything is shuffled.
     """
-    each = lines.select("lh", F.explode(F.regexp_extract_all("line", F.lit(SHINGLE), F.lit(1))).alias("x")).select("lh", F.xxhash64("x").alias("x"))
+    parts = lines.select("lh", F.explode(pieces(F.col("line"))).alias("piece"))
+    each = parts.select("lh", F.explode(shingles(F.col("piece"), F.xxhash64)).alias("x"))
     signed = each.groupBy("lh").agg(*[F.min(F.hash("x", F.lit(k))).alias(f"m{k}") for k in range(BANDS * ROWS)])
     return signed.select("lh", F.array(*[F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)]).alias("bands"))
 
@@ -57,8 +70,13 @@ def candidates(bands: DataFrame, wide: int = WIDE) -> tuple[DataFrame, DataFrame
     return pairs.unionByName(led.select(F.least("lh", "head").alias("u"), F.greatest("lh", "head").alias("v"))).distinct(), many
 
 
-def shingle_sets(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """(lh, s): the different shingles' hashes of the lines that pairs name.
+def shingle_set(line):
+    """Array of the different shingles' hashes of a line."""
+    return F.array_distinct(F.flatten(F.transform(pieces(line), lambda p: shingles(p, F.xxhash64))))
+
+
+def asked_lines(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """(lh, line) of the lines that pairs name.
 
     A bitmap of fixed size (BITMAP_WORDS rows, so it is broadcast) lets the scan pass on hardly any
     lines but those.
@@ -68,19 +86,29 @@ def shingle_sets(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     bitmap = ids.groupBy(slot.alias("slot")).agg(F.bit_or(one).alias("bits"))
     asked = lines.withColumn("slot", slot).join(F.broadcast(bitmap), "slot")
     asked = asked.where(F.col("bits").bitwiseAND(one) != 0).select("lh", "line")
-    texts = asked.join(ids, "lh", "left_semi").groupBy("lh").agg(F.min("line").alias("line"))
-    sets = F.array_distinct(F.transform(F.regexp_extract_all("line", F.lit(SHINGLE), F.lit(1)), lambda x: F.xxhash64(x)))
-    return texts.select("lh", sets.alias("s"))
+    return asked.join(ids, "lh", "left_semi").groupBy("lh").agg(F.min("line").alias("line"))
+
+
+def shingle_sets(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """(lh, s): the different shingles' hashes of the lines that pairs name."""
+    return asked_lines(pairs, lines).select("lh", shingle_set(F.col("line")).alias("s"))
 
 
 def matches(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Those of the pairs whose shingle sets have a Jaccard similarity of at least `threshold`."""
-    both = pairs.join(sets.select(F.col("lh").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("lh").alias("v"), F.col("s").alias("b")), "v")
+    """Those of the pairs whose shingle sets have a Jaccard similarity of at least `threshold`.
+
+    `sets` holds the sets (lh, s) or the lines (lh, line); sets take eight times the room of lines, so
+    of lines they are made after the joins.
+    """
+    held = "s" if "s" in sets.columns else "line"
+    both = pairs.join(sets.select(F.col("lh").alias("u"), F.col(held).alias("a")), "u").join(sets.select(F.col("lh").alias("v"), F.col(held).alias("b")), "v")
+    if held == "line":
+        both = both.select(*pairs.columns, shingle_set(F.col("a")).alias("a"), shingle_set(F.col("b")).alias("b"))
     sized = both.select(*pairs.columns, (F.size("a") + F.size("b")).alias("n"), F.size(F.array_intersect("a", "b")).alias("common"))
     return sized.where(F.col("common") >= threshold * (F.col("n") - F.col("common"))).select(*pairs.columns)
 
 
-def across(many: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+def across(many: DataFrame, nodes: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """(u, v) of components that a match between two lines of wide bands joins, without exception.
 
     Bands whose lines one component holds are done. The lines of the others meet by a prefix filter:
@@ -94,7 +122,7 @@ def across(many: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: float)
     placed = table(placed, "line-wide")
     divided = placed.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("top")).where("low < top").select("band")
     left = placed.join(divided, "band", "left_semi").select("lh", "c").distinct()
-    lined = table(left.join(sets, "lh"), "line-open")
+    lined = table(left.join(texts, "lh"), "line-open").select("lh", "c", shingle_set(F.col("line")).alias("s"))
     # Rarity by counts of a fixed number of slots; any one order for all lines keeps the filter exact.
     slot = lambda x: F.pmod(x, F.lit(SLOTS))
     used = {r["slot"]: r["k"] for r in lined.select(F.explode("s").alias("x")).groupBy(slot(F.col("x")).alias("slot")).agg(F.count("*").alias("k")).collect()}
@@ -110,7 +138,7 @@ def across(many: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: float)
     most = F.least(F.col("n_u") - F.col("at_u"), F.col("n_v") - F.col("at_v"))  # what they share from here on
     met = a.join(b, "x").where((F.col("c_u") != F.col("c_v")) & ((F.col("c_v") == F.col("main")) | (F.col("u") < F.col("v"))))
     met = met.where(most >= threshold * (F.col("n_u") + F.col("n_v") - most)).select("u", "v", "c_u", "c_v").distinct()
-    return matches(met, sets, threshold).select(F.col("c_u").alias("u"), F.col("c_v").alias("v")).distinct()
+    return matches(met, texts, threshold).select(F.col("c_u").alias("u"), F.col("c_v").alias("v")).distinct()
 
 
 def line_components(lines: DataFrame, threshold: float = 0.8, wide: int = WIDE) -> DataFrame:
@@ -118,9 +146,9 @@ def line_components(lines: DataFrame, threshold: float = 0.8, wide: int = WIDE)
     bands = table(band_keys(lines), "line-signatures")
     pairs, many = candidates(bands, wide)
     pairs = table(pairs, "line-pairs")
-    sets = table(shingle_sets(pairs, lines), "line-sets")
-    nodes = connected_components(matches(pairs, sets, threshold))
-    joined = table(across(many, nodes, sets, threshold), "line-joined")
+    texts = table(asked_lines(pairs, lines), "line-asked")
+    nodes = connected_components(matches(pairs, texts, threshold))
+    joined = table(across(many, nodes, texts, threshold), "line-joined")
     if joined.isEmpty():
         return nodes
     upper = connected_components(joined).withColumnsRenamed({"node": "part", "component": "whole"})
