@@ -1,4 +1,4 @@
-"""Licence scans: rare licence words look up template places, key phrases confirm them."""
+"""Licence scans: each template's rare words look up its places, key phrases confirm them."""
 
 from __future__ import annotations
 
@@ -25,8 +25,7 @@ TEMPLATES = (
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("permission to use copy modify and or distribute this software",)),
     ("cc", "this work is licensed under a creative commons attribution license", ("creative commons",)),
 )
-#: Rarest licence words that a file looks up, and the share of a template's words that must stand in place.
-LOOKUPS = 12
+#: Share of a template's words that must stand in place.
 COVERAGE = 0.6
 
 
@@ -46,13 +45,32 @@ class Index:
             for place, w in enumerate(words):
                 self.postings[w].append((t, place))
         self.postings = dict(self.postings)
+        self.places = [Counter(words) for words in self.words]
+
+    def lookups(self, t: int, where: dict[bytes, list[int]], idf: dict[bytes, float]) -> list[bytes]:
+        """Template t's rarest words that a file holds, so many that no place with COVERAGE lacks them all.
+
+        If none of some words stood in its place, their places would be missing from the coverage: so
+        those words do that have more places than may be missing. Words that the file does not hold are
+        missing anyway; if they alone are too many, the file cannot have the template.
+        """
+        spare = len(self.words[t]) - COVERAGE * len(self.words[t]) + 1e-9
+        spare -= sum(n for w, n in self.places[t].items() if w not in where)
+        out: list[bytes] = []
+        if spare < 0:
+            return out
+        for w in sorted((w for w in self.places[t] if w in where), key=lambda w: (-idf.get(w, 0.0), w)):
+            out.append(w)
+            spare -= self.places[t][w]
+            if spare < 0:
+                break
+        return out
 
     def scan(self, words: list[bytes], where: dict[bytes, list[int]], idf: dict[bytes, float]) -> dict[str, float]:
         """{label: coverage} of the templates that a file holds."""
-        rare = sorted(where, key=lambda w: (-idf.get(w, 0.0), w))[:LOOKUPS]
-        votes = Counter((t, at - place) for w in rare for t, place in self.postings[w] for at in where[w])
+        spots = {(t, at - place) for t in range(len(self.words)) for w in self.lookups(t, where, idf) for of, place in self.postings[w] if of == t for at in where[w]}
         found: dict[str, float] = {}
-        for (t, shift), _ in votes.items():
+        for t, shift in spots:
             template = self.words[t]
             hits = sum(0 <= shift + i < len(words) and words[shift + i] == w for i, w in enumerate(template))
             share = hits / len(template)
