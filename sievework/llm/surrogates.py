@@ -36,7 +36,9 @@ _KINDS = (
     ("ssn", re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"), 0),
     ("phone", re.compile(r"(?<![\w+])(?:\+\d{1,3}(?:[ .-]?\(?\d{2,4}\)?){2,5}|(?:\d{1,3}[ .-])?\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?!\w)"), 0),
 )
-_DIGIT = re.compile(r"\d[\d .()\-]{5,}")
+#: What a match of one of the patterns holds in any case, to spare most texts the pattern.
+_DIGIT, _SHORT_PHONE = re.compile(r"\d[\d .()\-]{5,}"), re.compile(r"\+\d{5}")
+_HEX, _IBAN = re.compile(r"[0-9a-f]{40}"), re.compile(r"[A-Z]{2}\d{2} ?[A-Z0-9]{4}")
 
 
 def entities(text: str) -> list[tuple[int, int, str, str]]:
@@ -47,13 +49,20 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
     """
     found: list[tuple[int, int, str, str]] = []
     digits = _DIGIT.search(text) is not None
-    low = text.lower() if ("=" in text or ":" in text) else ""
-    hints = {
-        "secret": digits or "AKIA" in text or any(w in low for w in ("token", "secret", "passw", "key")),
-        "email": "@" in text,
-    }
-    for kind, pattern, group in _KINDS:
-        if hints.get(kind, digits):
+    # The long s matches an s of a pattern that ignores case, and lower() keeps it.
+    low = text.lower().replace("ſ", "s") if ("=" in text or ":" in text) else ""
+    hints = (
+        any(w in low for w in ("token", "secret", "passw", "key")),
+        "AKIA" in text or _HEX.search(text) is not None,
+        "@" in text,
+        _IBAN.search(text) is not None,
+        digits,  # card
+        digits,  # ip
+        digits,  # ssn
+        digits or _SHORT_PHONE.search(text) is not None,
+    )
+    for (kind, pattern, group), hint in zip(_KINDS, hints, strict=True):
+        if hint:
             for m in pattern.finditer(text):
                 found.append((m.start(group), m.end(group), kind, canonical(kind, m.group(group))))
     if any(t in text for t in _TITLE_WORDS):
