@@ -61,6 +61,11 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = 10, key: str =
     that share key and text share their result; without items nothing is hit; other columns are not
     read. Items are taken in passes of a bounded number of words, each over all documents.
     """
+    return _marked(docs, items, width, key, text, item_key, item_text).drop("__h")
+
+
+def _marked(docs: DataFrame, items: DataFrame, width: int, key: str, text: str, item_key: str, item_text: str) -> DataFrame:
+    """`contamination` with each text's hash, __h."""
     rows = docs.select(F.col(key).alias("key"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"), words(F.col(text)).alias("all"))
     wins = table(windows(items, width, item_key, item_text), "leak-items")
     total = wins.agg(F.sum(F.size("w"))).first()[0] or 0
@@ -81,10 +86,12 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = 10, key: str =
         F.when(F.col("items").isNull(), 0).otherwise(F.size("items")).cast("long").alias("n_items"),
         F.coalesce("items", none).alias("items"),
         F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"),
+        F.col("d.h").alias("__h"),
     )
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", **how) -> DataFrame:
-    """The rows of `docs` that hold no window of an item; a null key's row goes if any null key's row is hit."""
-    bad = contamination(docs, items, key=key, **how).where("contaminated").select(F.col(key).alias("__bad")).distinct()
-    return docs.join(bad, docs[key].eqNullSafe(bad["__bad"]), "left_anti")
+def drop_contaminated(docs: DataFrame, items: DataFrame, width: int = 10, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of `docs` that hold no window of an item; rows that share a key, null too, are judged by their own texts."""
+    bad = _marked(docs, items, width, key, text, item_key, item_text).where("contaminated").select(F.col(key).alias("__bad"), F.col("__h").alias("__bad_h")).distinct()
+    h = F.xxhash64(F.coalesce(docs[text], F.lit("")))
+    return docs.join(bad, docs[key].eqNullSafe(bad["__bad"]) & (h == bad["__bad_h"]), "left_anti")

@@ -136,12 +136,20 @@ def near_duplicates(docs: DataFrame, distance: int = 2, parts: int = 5, key: str
     return prints.join(named, "fp", "left").select(key, "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """The rows of `docs` whose key names their component: one of each group of near-duplicates."""
-    key = how.get("key", "doc_id")
-    found = near_duplicates(docs, **how)
-    kept = found.where(F.col(key) == F.col("component_id")).select(key).distinct()
-    return docs.join(kept, key, "left_semi")
+def keep_one(docs: DataFrame, distance: int = 2, parts: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of `docs` of each group of near-duplicates: that of least key, and of these that of least text hash.
+
+    Rows are told apart by key and text, so null and repeated keys neither lose nor keep a row; a null
+    key comes last. Of rows that share both, any one stays. Null and wordless texts are one group.
+    """
+    rows = docs.withColumn("__h", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    prints = table(fingerprint(rows.select("__h", F.col(text).alias("__text")), "__h", "__text").distinct(), "simhash-texts")
+    nodes = connected_components(links(prints.select("fp").distinct(), distance, parts))
+    groups = prints.join(nodes, prints.fp == nodes.node, "left").select(F.col("__h").alias("h"), F.coalesce("component", "fp").alias("g"))
+    named = rows.select(F.col(key).alias("k"), F.col("__h").alias("h")).distinct().join(groups, "h")
+    best = named.groupBy("g").agg(F.min(F.struct(F.col("k").isNull().alias("none"), "k", "h")).alias("best")).select(F.col("best.k").alias("__k"), F.col("best.h").alias("__kh"))
+    kept = rows.join(best, rows[key].eqNullSafe(best["__k"]) & (rows["__h"] == best["__kh"]), "left_semi")
+    return kept.dropDuplicates([key, "__h"]).select(*docs.columns)
 
 
 def as_hex(col):
