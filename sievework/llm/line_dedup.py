@@ -6,48 +6,65 @@ one shingle. Two lines match if the Jaccard similarity of their shingle sets is
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievework.llm.common import table
 from sievework.llm.components import connected_components
 
-#: Characters of a shingle, and shingles of a piece. Pieces overlap, so that time grows with a line's length alone.
-WIDTH, STEP = 9, 16
-PIECE = rf"(?s)(?=(.{{{WIDTH},{WIDTH + STEP - 1}}}|\A.{{1,{WIDTH - 1}}}(?!.))).{{1,{STEP}}}"
+#: Characters of a shingle, and shingles that one row of the signatures' aggregation takes in.
+WIDTH, STRIDE = 9, 4
 #: Bands of a signature, and least hashes in a band.
-BANDS, ROWS = 8, 4
-#: Lines of one band beyond which they are first compared with leaders, and leaders of such a band.
-WIDE, LEADERS = 32, 4
+BANDS, ROWS = 6, 3
+#: Lines of one band beyond which they are first compared with leaders, and leaders by hash order of such a band.
+WIDE, LEADERS = 16, 2
 #: 64-bit words of the membership bitmap that tells which lines' texts a check needs.
 BITMAP_WORDS = 1 << 18
 #: Counters of shingles by which the prefix filter orders them; the driver holds them.
 SLOTS = 1 << 14
 
 
-def pieces(line):
-    """Array of a line's pieces: each holds up to STEP shingles, one from each of its first characters on."""
-    return F.regexp_extract_all(line, F.lit(PIECE), F.lit(1))
+def points(bands: int = BANDS, rows: int = ROWS, seed: int = 1) -> list[list[int]]:
+    """Points of the 32-bit hash space, a list per band.
+
+    The leading bits tell bands apart and the next ones the rows of a band, the rest is random. So
+    points of different bands lie in different parts of the space: only the samples within a band
+    of a very short line may coincide, which raises the chance that two lines share the band.
+    """
+    draw, b_bits, r_bits = random.Random(seed), max(1, (bands - 1).bit_length()), max(1, (rows - 1).bit_length())
+    rest = 32 - b_bits - r_bits
+    at = lambda b, r: b << (32 - b_bits) | r << rest | draw.getrandbits(rest)
+    return [[v - (1 << 32) if (v := at(b, r)) >> 31 else v for r in range(rows)] for b in range(bands)]
 
 
-def shingles(piece, hashed):
-    """Array of the hashes of a piece's shingles."""
-    each = F.array(*[hashed(F.substring(piece, i, WIDTH)) for i in range(1, STEP + 1)])
-    return F.slice(each, 1, F.greatest(F.length(piece) - WIDTH + 1, F.lit(1)))
+def shingle_rows(lines: DataFrame) -> DataFrame:
+    """(lh, x0 to x3): rows of the 32-bit hashes of STRIDE shingles of each line, the last one repeated to fill its row.
+
+    UTF-32 has four bytes for every character, so a shingle is cut out at its place without a walk
+    through the line, and all of it stays in generated code.
+    """
+    wide = lines.select("lh", F.encode("line", "UTF-32").alias("w"))
+    last = F.greatest(F.octet_length("w") / 4 - WIDTH, F.lit(0)).cast("int")
+    at = wide.select("lh", "w", last.alias("last")).select("lh", "w", "last", F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(STRIDE))).alias("i"))
+    cut = lambda j: F.substring(F.col("w"), F.least(F.col("i") + j, F.col("last")) * 4 + 1, F.lit(4 * WIDTH))
+    return at.select("lh", *[F.hash(cut(j)).alias(f"x{j}") for j in range(STRIDE)])
 
 
 def band_keys(lines: DataFrame) -> DataFrame:
     """(lh, bands): a row per different line, with the keys of its bands.
 
-    A signature holds, for each of BANDS * ROWS hash functions, the least hash of the line's shingles;
-    a band's key hashes ROWS of them. Two lines at similarity s share a key with probability
-    1 - (1 - s ** ROWS) ** BANDS: 0.985 at 0.8, 0.9998 at 0.9. Tasks take the minima of their own
-    lines before anything is shuffled.
+    A signature holds, for each of BANDS * ROWS points, the least of the line's shingle hashes when
+    all are XORed with the point: each point orders the hash space anew, so two lines agree there with
+    a chance that is their similarity s, and share one of the bands' keys with probability
+    1 - (1 - s ** ROWS) ** BANDS at least: 0.987 at 0.8, 0.9996 at 0.9. Tasks take the minima of
+    their own lines before anything is shuffled.
     """
-    parts = lines.select("lh", F.explode(pieces(F.col("line"))).alias("piece"))
-    each = parts.select("lh", F.explode(shingles(F.col("piece"), F.xxhash64)).alias("x"))
-    signed = each.groupBy("lh").agg(*[F.min(F.hash("x", F.lit(k))).alias(f"m{k}") for k in range(BANDS * ROWS)])
-    return signed.select("lh", F.array(*[F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)]).alias("bands"))
+    near = lambda p: F.least(*[F.col(f"x{j}").bitwiseXOR(F.lit(p)) for j in range(STRIDE)])
+    sample = [F.min(near(p)).alias(f"m{b}_{r}") for b, ps in enumerate(points()) for r, p in enumerate(ps)]
+    signed = shingle_rows(lines).groupBy("lh").agg(*sample)
+    return signed.select("lh", F.array(*[F.xxhash64(F.lit(b), *[f"m{b}_{r}" for r in range(ROWS)]) for b in range(BANDS)]).alias("bands"))
 
 
 def candidates(bands: DataFrame, wide: int = WIDE) -> tuple[DataFrame, DataFrame]:
@@ -71,8 +88,14 @@ def candidates(bands: DataFrame, wide: int = WIDE) -> tuple[DataFrame, DataFrame
 
 
 def shingle_set(line):
-    """Array of the different shingles' hashes of a line."""
-    return F.array_distinct(F.flatten(F.transform(pieces(line), lambda p: shingles(p, F.xxhash64))))
+    """Array of the different shingles' 32-bit hashes of a line.
+
+    Two different shingles share one with a chance of 2 ** -32, so the similarity of two lines of n
+    shingles is off by n / 2 ** 32 at most on average.
+    """
+    grams = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{WIDTH}}}))."), F.lit(1))
+    grams = F.when(F.length(line) < WIDTH, F.array(line)).otherwise(grams)
+    return F.array_distinct(F.transform(grams, lambda g: F.hash(g)))
 
 
 def asked_lines(pairs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -85,8 +108,8 @@ def asked_lines(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     one, slot = F.expr("shiftleft(1L, cast(pmod(lh, 64) AS int))"), F.expr(f"pmod(shiftright(lh, 6), {BITMAP_WORDS})")
     bitmap = ids.groupBy(slot.alias("slot")).agg(F.bit_or(one).alias("bits"))
     asked = lines.withColumn("slot", slot).join(F.broadcast(bitmap), "slot")
-    asked = asked.where(F.col("bits").bitwiseAND(one) != 0).select("lh", "line")
-    return asked.join(ids, "lh", "left_semi").groupBy("lh").agg(F.min("line").alias("line"))
+    asked = asked.where(F.col("bits").bitwiseAND(one) != 0).groupBy("lh").agg(F.min("line").alias("line"))
+    return asked.join(ids, "lh", "left_semi")
 
 
 def shingle_sets(pairs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -95,20 +118,13 @@ def shingle_sets(pairs: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def matches(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Those of the pairs whose shingle sets have a Jaccard similarity of at least `threshold`.
-
-    `sets` holds the sets (lh, s) or the lines (lh, line); sets take eight times the room of lines, so
-    of lines they are made after the joins.
-    """
-    held = "s" if "s" in sets.columns else "line"
-    both = pairs.join(sets.select(F.col("lh").alias("u"), F.col(held).alias("a")), "u").join(sets.select(F.col("lh").alias("v"), F.col(held).alias("b")), "v")
-    if held == "line":
-        both = both.select(*pairs.columns, shingle_set(F.col("a")).alias("a"), shingle_set(F.col("b")).alias("b"))
+    """Those of the pairs whose shingle sets (lh, s) have a Jaccard similarity of at least `threshold`."""
+    both = pairs.join(sets.select(F.col("lh").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("lh").alias("v"), F.col("s").alias("b")), "v")
     sized = both.select(*pairs.columns, (F.size("a") + F.size("b")).alias("n"), F.size(F.array_intersect("a", "b")).alias("common"))
     return sized.where(F.col("common") >= threshold * (F.col("n") - F.col("common"))).select(*pairs.columns)
 
 
-def across(many: DataFrame, nodes: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+def across(many: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """(u, v) of components that a match between two lines of wide bands joins, without exception.
 
     Bands whose lines one component holds are done. The lines of the others meet by a prefix filter:
@@ -122,7 +138,7 @@ def across(many: DataFrame, nodes: DataFrame, texts: DataFrame, threshold: float
     placed = table(placed, "line-wide")
     divided = placed.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("top")).where("low < top").select("band")
     left = placed.join(divided, "band", "left_semi").select("lh", "c").distinct()
-    lined = table(left.join(texts, "lh"), "line-open").select("lh", "c", shingle_set(F.col("line")).alias("s"))
+    lined = table(left.join(sets, "lh"), "line-open").select("lh", "c", "s")
     # Rarity by counts of a fixed number of slots; any one order for all lines keeps the filter exact.
     slot = lambda x: F.pmod(x, F.lit(SLOTS))
     used = {r["slot"]: r["k"] for r in lined.select(F.explode("s").alias("x")).groupBy(slot(F.col("x")).alias("slot")).agg(F.count("*").alias("k")).collect()}
@@ -138,7 +154,7 @@ def across(many: DataFrame, nodes: DataFrame, texts: DataFrame, threshold: float
     most = F.least(F.col("n_u") - F.col("at_u"), F.col("n_v") - F.col("at_v"))  # what they share from here on
     met = a.join(b, "x").where((F.col("c_u") != F.col("c_v")) & ((F.col("c_v") == F.col("main")) | (F.col("u") < F.col("v"))))
     met = met.where(most >= threshold * (F.col("n_u") + F.col("n_v") - most)).select("u", "v", "c_u", "c_v").distinct()
-    return matches(met, texts, threshold).select(F.col("c_u").alias("u"), F.col("c_v").alias("v")).distinct()
+    return matches(met, lined, threshold).select(F.col("c_u").alias("u"), F.col("c_v").alias("v")).distinct()
 
 
 def line_components(lines: DataFrame, threshold: float = 0.8, wide: int = WIDE) -> DataFrame:
@@ -146,9 +162,9 @@ def line_components(lines: DataFrame, threshold: float = 0.8, wide: int = WIDE)
     bands = table(band_keys(lines), "line-signatures")
     pairs, many = candidates(bands, wide)
     pairs = table(pairs, "line-pairs")
-    texts = table(asked_lines(pairs, lines), "line-asked")
-    nodes = connected_components(matches(pairs, texts, threshold))
-    joined = table(across(many, nodes, texts, threshold), "line-joined")
+    sets = table(shingle_sets(pairs, lines), "line-sets")
+    nodes = connected_components(matches(pairs, sets, threshold))
+    joined = table(across(many, nodes, sets, threshold), "line-joined")
     if joined.isEmpty():
         return nodes
     upper = connected_components(joined).withColumnsRenamed({"node": "part", "component": "whole"})
@@ -163,6 +179,7 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id", te
     occurrence of least key and line number stays. Lines of white space alone stay where they are, and
     so do null and empty texts. Rows that share key and text are one document: a line that the one
     keeps stays in the other too. Null keys come first in the order; an empty table gives an empty one.
+    Columns of `docs` named n_lines or n_dropped give way to the operator's own.
     The line number and hash of occurrences are shuffled, not the lines; texts are, once, at the end.
     """
     rows = docs.withColumn("__h", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
@@ -173,12 +190,19 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id", te
     seen = table(seen.select("key", "h", "at", F.coalesce("component", "lh").alias("g")), "line-places")
     place = F.struct("key", "h", "at")
     first = seen.groupBy("g").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
-    gone = seen.join(first, "g").where(~place.eqNullSafe(F.col("first"))).groupBy(F.col("key").alias("__k"), F.col("h").alias("__kh")).agg(F.collect_set("at").alias("__gone"))
-    out = rows.join(gone, rows[key].eqNullSafe(gone["__k"]) & (rows["__h"] == gone["__kh"]), "left")
-    split = F.split(out[text], "\n")
-    keep = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), "__gone")
-    thin = F.when(F.col("__gone").isNull(), out[text]).otherwise(F.array_join(F.transform(keep, lambda i: F.get(split, i)), "\n"))
-    n_lines = F.when(out[text].isNull(), 0).otherwise(F.size(split)).cast("long")
-    n_gone = F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long")
-    columns = [thin.alias(text) if c == text else out[c] for c in docs.columns]
-    return out.select(*columns, n_lines.alias("n_lines"), n_gone.alias("n_dropped"))
+    gone = seen.join(first, "g").where(~place.eqNullSafe(F.col("first"))).groupBy(F.col("key").alias("k"), "h").agg(F.collect_set("at").alias("gone"))
+    kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    return _thinned(docs.select(*kept), gone, key, text)
+
+
+def _thinned(docs: DataFrame, gone: DataFrame, key: str, text: str) -> DataFrame:
+    """`docs` without the lines at the places of `gone` (k, h, gone); all columns go through one struct, whatever their names."""
+    whole = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("rh"))
+    out = whole.join(gone, F.col(f"row.{key}").eqNullSafe(F.col("k")) & (F.col("rh") == F.col("h")), "left")
+    parted = out.select("row", "gone", F.col(f"row.{text}").alias("value"), F.split(f"row.{text}", "\n").alias("parts"))
+    keep = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), "gone")
+    thin = F.when(F.col("gone").isNull(), F.col("value")).otherwise(F.array_join(F.transform(keep, lambda i: F.get(F.col("parts"), i)), "\n"))
+    n_lines = F.when(F.col("value").isNull(), 0).otherwise(F.size("parts")).cast("long")
+    n_gone = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long")
+    columns = [thin.alias(text) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
+    return parted.select(*columns, n_lines.alias("n_lines"), n_gone.alias("n_dropped"))
