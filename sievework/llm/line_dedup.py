@@ -19,11 +19,11 @@ WIDTH, STRIDE = 9, 4
 #: Bands of a signature, and least hashes in a band.
 BANDS, ROWS = 6, 3
 #: Lines of one band beyond which they are first compared with leaders, and leaders by hash order of such a band.
-WIDE, LEADERS = 16, 2
+WIDE, LEADERS = 32, 3
 #: 64-bit words of the membership bitmap that tells which lines' texts a check needs.
 BITMAP_WORDS = 1 << 18
-#: Counters of shingles by which the prefix filter orders them; the driver holds them.
-SLOTS = 1 << 14
+#: Shingles of all sets together up to which a check of pairs gets the sets by broadcast (4 bytes each), else by a shuffle.
+BROADCAST = 8_000_000
 
 
 def points(bands: int = BANDS, rows: int = ROWS, seed: int = 1) -> list[list[int]]:
@@ -117,10 +117,14 @@ def shingle_sets(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     return asked_lines(pairs, lines).select("lh", shingle_set(F.col("line")).alias("s"))
 
 
-def matches(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Those of the pairs whose shingle sets (lh, s) have a Jaccard similarity of at least `threshold`."""
-    both = pairs.join(sets.select(F.col("lh").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("lh").alias("v"), F.col("s").alias("b")), "v")
-    sized = both.select(*pairs.columns, (F.size("a") + F.size("b")).alias("n"), F.size(F.array_intersect("a", "b")).alias("common"))
+def matches(pairs: DataFrame, sets: DataFrame, threshold: float, hint: str = "shuffle_hash") -> DataFrame:
+    """Those of the pairs whose shingle sets (lh, s) have a Jaccard similarity of at least `threshold`.
+
+    Hash joins, as a sort would move the sets once more.
+    """
+    a, b = (sets.select(F.col("lh").alias(k), F.col("s").alias(f"s_{k}")).hint(hint) for k in "uv")
+    both = pairs.join(a, "u").join(b, "v")
+    sized = both.select(*pairs.columns, (F.size("s_u") + F.size("s_v")).alias("n"), F.size(F.array_intersect("s_u", "s_v")).alias("common"))
     return sized.where(F.col("common") >= threshold * (F.col("n") - F.col("common"))).select(*pairs.columns)
 
 
@@ -128,33 +132,36 @@ def across(many: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: float)
     """(u, v) of components that a match between two lines of wide bands joins, without exception.
 
     Bands whose lines one component holds are done. The lines of the others meet by a prefix filter:
-    with each line's shingles ordered by rarity, two lines that match share one of their first
-    n - ceil(threshold * n) + 1. Shingles that one component alone holds are dropped, and lines of
-    one component are not compared, so a group of near copies gives no pairs of its own; bounds by
-    length and by position prune before the sets are intersected. Lines that share rare shingles and
-    yet do not match are still compared with each other.
+    with each line's n shingles in one order, two lines that match share one of their first
+    n - ceil(threshold * n) + 1. Shingles that one component alone holds come first in that order, as
+    none of them is shared with another component; so a line with too many of them meets nobody, and
+    the place of a shared shingle bounds what two lines have in common. The others come by rarity.
+    Lines of one component are not compared, so a group of near copies gives no pairs of its own.
     """
+    from pyspark.sql import Window
+
     placed = many.join(nodes, F.col("lh") == F.col("node"), "left").select("band", "lh", F.coalesce("component", "lh").alias("c"))
     placed = table(placed, "line-wide")
     divided = placed.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("top")).where("low < top").select("band")
     left = placed.join(divided, "band", "left_semi").select("lh", "c").distinct()
     lined = table(left.join(sets, "lh"), "line-open").select("lh", "c", "s")
-    # Rarity by counts of a fixed number of slots; any one order for all lines keeps the filter exact.
-    slot = lambda x: F.pmod(x, F.lit(SLOTS))
-    used = {r["slot"]: r["k"] for r in lined.select(F.explode("s").alias("x")).groupBy(slot(F.col("x")).alias("slot")).agg(F.count("*").alias("k")).collect()}
-    counts = F.split(F.lit(",".join(str(used.get(k, 0)) for k in range(SLOTS))), ",").cast("array<bigint>")
-    ranked = F.sort_array(F.transform("s", lambda x: F.struct(F.get(counts, slot(x)).alias("used"), x.alias("x"))))
-    first = F.slice(ranked, 1, F.size("s") - F.ceil(F.lit(threshold) * F.size("s") - 1e-9).cast("int") + 1)
-    heads = table(lined.select("lh", "c", F.size("s").alias("n"), F.posexplode(first).alias("at", "p")).select("lh", "c", "n", "at", "p.x"), "line-prefixes")
+    each = lined.select("lh", "c", F.size("s").alias("n"), F.explode("s").alias("x"))
     # Lines outside a shingle's largest component look for partners; that component's own do not meet.
-    main = heads.groupBy("x", "c").agg(F.count("*").alias("k")).groupBy("x").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.count("*").alias("parts"))
-    split = table(heads.join(main.where("parts > 1").drop("parts"), "x"), "line-heads")
-    a, b = (split.select("x", "main", F.col("lh").alias(s), *[F.col(k).alias(f"{k}_{s}") for k in ("c", "n", "at")]) for s in "uv")
+    owners = each.groupBy("x", "c").agg(F.count("*").alias("k")).groupBy("x")
+    owners = owners.agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.count("*").alias("parts"), F.sum("k").alias("used")).where("parts > 1")
+    shared = each.join(owners, "x")
+    own = Window.partitionBy("lh")
+    at = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("used", "x")) - 1
+    heads = shared.select("x", "main", "lh", "c", "n", at.alias("at")).where(F.col("at") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9))
+    heads = table(heads, "line-heads")
+    a, b = (heads.select("x", "main", F.col("lh").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("c", "n", "at")]) for k in "uv")
     a = a.where("c_u <> main").drop("main")
     most = F.least(F.col("n_u") - F.col("at_u"), F.col("n_v") - F.col("at_v"))  # what they share from here on
     met = a.join(b, "x").where((F.col("c_u") != F.col("c_v")) & ((F.col("c_v") == F.col("main")) | (F.col("u") < F.col("v"))))
     met = met.where(most >= threshold * (F.col("n_u") + F.col("n_v") - most)).select("u", "v", "c_u", "c_v").distinct()
-    return matches(met, lined, threshold).select(F.col("c_u").alias("u"), F.col("c_v").alias("v")).distinct()
+    size = lined.agg(F.sum(F.size("s"))).first()[0] or 0
+    found = matches(met, lined, threshold, "broadcast" if size <= BROADCAST else "shuffle_hash")
+    return found.select(F.col("c_u").alias("u"), F.col("c_v").alias("v")).distinct()
 
 
 def line_components(lines: DataFrame, threshold: float = 0.8, wide: int = WIDE) -> DataFrame:
