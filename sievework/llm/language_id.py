@@ -6,6 +6,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,15 +14,15 @@ from pyspark.sql import functions as F
 SYMBOLS = 64
 DIMENSIONS = 1024
 UNKNOWN = "und"
-#: Cosine with the nearest prototype under which the pipeline takes a text for no language at all.
-REJECT_BELOW = 0.2
+#: Trigrams whose vectors a worker makes at a time, and characters and texts that it bundles at a time.
+BLOCK, CHARS, TEXTS = 4_096, 500_000, 256
 
 
 @lru_cache(maxsize=1)
 def _symbol_of() -> np.ndarray:
     codes = np.arange(0x110000)
     letter = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
-    out = np.where(letter, 27 + codes * 2654435761 % (1 << 32) % (SYMBOLS - 27), 0).astype(np.int64)
+    out = np.where(letter, 27 + codes * 2654435761 % (1 << 32) % (SYMBOLS - 27), 0).astype(np.uint8)
     out[ord("a") : ord("z") + 1] = np.arange(1, 27)
     return out
 
@@ -29,12 +30,13 @@ def _symbol_of() -> np.ndarray:
 def grams(text: str | None) -> np.ndarray:
     """Codes of the letter trigrams of a text; what is no letter counts as one gap. No letter: none."""
     if not text:
-        return np.empty(0, np.int64)
+        return np.empty(0, np.int32)
     seen = _symbol_of()[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")]
-    s = np.concatenate(([0], seen, [0]))
+    s = np.concatenate((np.zeros(1, np.uint8), seen, np.zeros(1, np.uint8)))
     s = s[np.r_[True, (s[1:] != 0) | (s[:-1] != 0)]]
     if len(s) < 3:
-        return np.empty(0, np.int64)
+        return np.empty(0, np.int32)
+    s = s.astype(np.int32)
     return (s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:]
 
 
@@ -51,14 +53,22 @@ def gram_vectors(codes: np.ndarray, dimensions: int = DIMENSIONS, seed: int = 7)
 
 
 def bundle(found: list[np.ndarray], dimensions: int = DIMENSIONS, seed: int = 7) -> np.ndarray:
-    """The sum of each text's trigram vectors, one row per text."""
-    sizes = [len(x) for x in found]
-    if not sum(sizes):
-        return np.zeros((len(found), dimensions), np.float32)
-    codes, place = np.unique(np.concatenate(found), return_inverse=True)
-    rows = np.repeat(np.arange(len(found)), sizes)
-    counts = np.bincount(rows * len(codes) + place, minlength=len(found) * len(codes)).reshape(len(found), -1)
-    return counts.astype(np.float32) @ gram_vectors(codes, dimensions, seed)
+    """The sum of each text's trigram vectors, one row per text; only BLOCK trigrams' vectors exist at a time."""
+    out = np.zeros((len(found), dimensions), np.float32)
+    per_text = [np.unique(x, return_counts=True) for x in found]
+    code = np.concatenate([c for c, _ in per_text]) if per_text else np.empty(0, np.int32)
+    row = np.repeat(np.arange(len(found)), [len(c) for c, _ in per_text])
+    times = np.concatenate([n for _, n in per_text]) if per_text else np.empty(0, np.int64)
+    order = np.argsort(code, kind="stable")
+    code, row, times = code[order], row[order], times[order]
+    different, first = np.unique(code, return_index=True)
+    for at in range(0, len(different), BLOCK):
+        part = different[at : at + BLOCK]
+        inside = slice(first[at], first[at + BLOCK] if at + BLOCK < len(different) else len(code))
+        counts = np.zeros((len(found), len(part)), np.float32)
+        counts[row[inside], np.searchsorted(part, code[inside])] = times[inside]
+        out += counts @ gram_vectors(part, dimensions, seed)
+    return out
 
 
 def learn(examples: DataFrame, text: str = "text", lang: str = "lang", dimensions: int = DIMENSIONS, seed: int = 7) -> tuple[list[str], np.ndarray]:
@@ -91,41 +101,67 @@ def learn(examples: DataFrame, text: str = "text", lang: str = "lang", dimension
     return labels, made / np.maximum(np.linalg.norm(made, axis=1, keepdims=True), 1e-12)
 
 
-def predict(docs: DataFrame, labels: list[str], prototypes: np.ndarray, key: str = "doc_id", text: str = "text", dimensions: int = DIMENSIONS, seed: int = 7, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(key, kept columns, lang_pred, score) of every row of `docs`, from its whole text alone.
+def _scores(found: list[np.ndarray], prototypes: np.ndarray, dimensions: int, seed: int) -> np.ndarray:
+    """Cosines of texts with prototypes, a row per text."""
+    v = bundle(found, dimensions, seed)
+    return (v @ prototypes.T) / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+
+
+def _told(docs: DataFrame, text: str, labels: list[str], prototypes: np.ndarray, dimensions: int, seed: int) -> DataFrame:
+    """`docs` with its columns named c0, c1, ... and after them lang_pred and score.
+
+    Every column goes to Python once, as Arrow, and back untouched; only texts become objects there, a
+    few hundred at a time.
+    """
+    share, at = prototypes.astype(np.float32), docs.columns.index(text)
+
+    def verdicts(texts):
+        near, hold, chars = [], [], 0
+        for value in texts:
+            hold.append(grams(value.as_py()))
+            chars += len(hold[-1])
+            if len(hold) == TEXTS or chars > CHARS:
+                near.append(_scores(hold, share, dimensions, seed))
+                hold, chars = [], 0
+        near = np.concatenate([*near, _scores(hold, share, dimensions, seed)])
+        letters = np.abs(near).sum(axis=1) > 0
+        best = np.array(labels, object)[near.argmax(axis=1)] if labels and len(near) else np.full(len(near), UNKNOWN, object)
+        top = near.max(axis=1).clip(0, 1) if labels and len(near) else np.zeros(len(near))
+        return np.where(letters, best, UNKNOWN), np.where(letters, top, 0).astype(float)
+
+    def run(batches):
+        for b in batches:
+            pred, score = verdicts(b.column(at))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
+
+    rows = docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    schema = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields))
+    return rows.mapInArrow(run, schema + ", lang_pred string, score double")
+
+
+def predict(docs: DataFrame, labels: list[str], prototypes: np.ndarray, key: str = "doc_id", text: str = "text", dimensions: int = DIMENSIONS, seed: int = 7) -> DataFrame:
+    """(key, lang_pred, score) of every row of `docs`, from its whole text alone.
 
     score is the cosine with the nearest prototype, 0 where that is negative. A text that is null,
     empty or without a letter is `und` with score 0, as is every text where nothing was learned. Of
-    equal cosines the first label in alphabetical order wins. Null and repeated keys stay as they are.
+    equal cosines the first label in alphabetical order wins. Null and repeated keys stay as they are,
+    repeated rows give repeated rows, other columns are not read, an empty table gives an empty one.
+    Very long texts are counted whole; only their trigrams' counts meet the vectors.
     """
-    share = prototypes.astype(np.float32)
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in (key, *keep))
+    made = _told(docs.select(key, text), text, labels, prototypes, dimensions, seed)
+    return made.select(F.col("c0").alias(key), "lang_pred", "score")
 
-    def flush(found):
-        v = bundle(found, dimensions, seed)
-        size = np.linalg.norm(v, axis=1, keepdims=True)
-        return (v @ share.T) / np.maximum(size, 1e-12)
 
-    def run(batches):
-        for b in batches:
-            near, hold, chars = [], [], 0
-            for value in b["__text"]:
-                hold.append(grams(value))
-                chars += len(hold[-1])
-                if len(hold) == 256 or chars > 1_000_000:
-                    near.append(flush(hold))
-                    hold, chars = [], 0
-            if hold:
-                near.append(flush(hold))
-            near = np.concatenate(near) if near else np.zeros((0, len(labels)), np.float32)
-            out = b.drop(columns="__text")
-            if labels:
-                letters = np.abs(near).sum(axis=1) > 0
-                out["lang_pred"] = np.where(letters, np.array(labels, object)[near.argmax(axis=1)] if len(near) else "", UNKNOWN)
-                out["score"] = np.where(letters, near.max(axis=1).clip(0, 1) if len(near) else 0, 0).astype(float)
-            else:
-                out["lang_pred"], out["score"] = UNKNOWN, 0.0
-            yield out
-
-    rows = docs.select(key, *keep, F.col(text).alias("__text"))
-    return rows.mapInPandas(run, schema + ", lang_pred string, score double")
+def keep_told(docs: DataFrame, labels: list[str], prototypes: np.ndarray, text: str = "text", lang: str = "lang", dimensions: int = DIMENSIONS, seed: int = 7) -> DataFrame:
+    """The rows of `docs` whose language can be told, with an absent `lang` (null or empty) filled in.
+
+    Rejected are null texts and texts without a letter, nothing else: where no language was learned all
+    texts with a letter stay, and their `lang` as it is. Null keys, repeated rows and columns of any name
+    (lang_pred and score too) stay as they are; an empty table gives an empty one.
+    """
+    if not labels:
+        return docs.where(F.col(text).rlike(r"\p{L}"))
+    made = _told(docs, text, labels, prototypes, dimensions, seed).where(F.col("lang_pred") != UNKNOWN)
+    given = f"c{docs.columns.index(lang)}"
+    filled = F.coalesce(F.nullif(F.col(given), F.lit("")), "lang_pred")
+    return made.select(*[(filled if c == lang else F.col(f"c{i}")).alias(c) for i, c in enumerate(docs.columns)])

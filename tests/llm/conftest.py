@@ -10,6 +10,3 @@ def docs_of(spark):
         return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, n int, key string")
 
     return make
-
-
-EDGES = [(1, None), (2, ""), (3, "a b c d e f"), (4, "a b c d e f"), (5, "\n \n"), (None, "x y z"), (7, "word " * 30_000), (7, "twice the same id")]

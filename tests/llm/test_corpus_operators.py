@@ -6,7 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
-from conftest import EDGES
+from edges import EDGES
 from pyspark.sql import functions as F
 
 from sievework.llm import components, decontaminate, imatch, language_id, licenses, line_dedup, packing, registry, sharding, simhash, surrogates, token_counts

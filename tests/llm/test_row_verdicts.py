@@ -1,6 +1,6 @@
 """Stages that drop documents judge each row, whatever its key."""
 
-from conftest import EDGES
+from edges import EDGES
 
 from sievework.llm import decontaminate, simhash
 
