@@ -56,3 +56,147 @@ def hierarchy(nodes: DataFrame, key: str, parent: str, name: str, depth: int = 3
             break
         out = out.unionByName(level)
     return out
+
+
+def rename_tag(tags: DataFrame, old: str, new: str, name: str = "name") -> DataFrame:
+    """`tags` with one renamed; links hold its id, so they stay. A name that another tag has is an error."""
+    if old != new and not tags.where(F.col(name) == new).limit(1).isEmpty():
+        raise ValueError(f"there is a tag named {new} already")
+    return rewrite(tags, F.col(name) == old, **{name: new})
+
+
+def delete_tag(tags: DataFrame, links: DataFrame, gone: str, tag: str = "tag", name: str = "name") -> tuple[DataFrame, DataFrame]:
+    """(tags, links) without a tag and its links."""
+    dead = tags.where(F.col(name) == gone).select(tag)
+    return tags.where(~F.col(name).eqNullSafe(F.lit(gone))), links.join(dead, tag, "left_anti")
+
+
+def get_or_create(dimension: DataFrame, wanted: DataFrame, name: str, key: str) -> DataFrame:
+    """A dimension with a row for every wanted name: those it has keep their key, new ones get keys after the largest.
+
+    Both sides are small dimensions; new names are numbered in alphabetical order.
+    """
+    from pyspark.sql import Window
+
+    new = wanted.select(name).where(F.col(name).isNotNull()).distinct().join(dimension, name, "left_anti")
+    top = dimension.agg(F.coalesce(F.max(key), F.lit(-1)).alias("__t"))
+    numbered = new.withColumn("__n", F.row_number().over(Window.orderBy(name))).join(F.broadcast(top))  # one row
+    return dimension.select(key, name).unionByName(numbered.select((F.col("__t") + F.col("__n")).cast(dimension.schema[key].dataType).alias(key), name))
+
+
+def relabel(annotations: DataFrame, dimension: DataFrame, changes: DataFrame, key: str, label: str, name: str) -> tuple[DataFrame, DataFrame]:
+    """(annotations, dimension) after changes (key, name): each named annotation gets that label, made if it is new."""
+    grown = get_or_create(dimension, changes, name, label)
+    asked = changes.join(grown, name).select(F.col(key).alias("__k"), F.col(label).alias("__l"))
+    joined = annotations.join(asked, F.col(key) == F.col("__k"), "left")
+    return joined.withColumn(label, F.coalesce("__l", label)).select(*annotations.columns), grown
+
+
+def set_span(rows: DataFrame, test: Column, start: str, end: str, low, high) -> DataFrame:
+    """Both ends of a time span replaced together where the test holds; rows without a span keep none."""
+    if low is None or high is None or low > high:
+        raise ValueError("a span has both ends, in order")
+    return rewrite(rows, test & F.col(start).isNotNull() & F.col(end).isNotNull(), **{start: low, end: high})
+
+
+def set_box(rows: DataFrame, test: Column, kinds: list, box: dict) -> DataFrame:
+    """The box of annotations of the given kinds replaced where the test holds; no field is an error."""
+    if not box:
+        raise ValueError("nothing to change")
+    return rewrite(rows, test & F.col("kind").isin(kinds), **box)
+
+
+def put_captions(captions: DataFrame, changes: DataFrame, key: str) -> DataFrame:
+    """Captions after changes: those of a known key are replaced, others added, those with a null text deleted; blank texts fail."""
+    blank = F.col("text").isNotNull() & (F.trim("text") == "")
+    checked = changes.withColumn("text", F.when(blank, F.raise_error(F.lit("a caption has a text"))).otherwise(F.col("text")))
+    return captions.join(changes.select(key), key, "left_anti").unionByName(checked.where(F.col("text").isNotNull()).select(*captions.columns))
+
+
+def attach_tracks(annotations: DataFrame, tracks: DataFrame, links: DataFrame, key: str, track: str) -> DataFrame:
+    """`annotations` with their track set through links (key, track); a track that is not there fails."""
+    known = links.join(tracks.select(F.col(track).alias("__t")), F.col(track) == F.col("__t"), "left")
+    value = F.when(F.col("__t").isNull(), F.raise_error(F.concat(F.lit("no such track: "), F.col(track).cast("string"))).cast(tracks.schema[track].dataType)).otherwise(F.col("__t"))
+    asked = known.select(F.col(key).alias("__k"), value.alias("__v"))
+    joined = annotations.join(asked, F.col(key) == F.col("__k"), "left")
+    had = F.col(track) if track in annotations.columns else F.lit(None)
+    return joined.withColumn(track, F.coalesce("__v", had)).drop("__k", "__v")
+
+
+def attach(samples: DataFrame, annotations: DataFrame, key: str, path: str, source: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(annotations with their sample, coverage, unknown paths) of annotations that name samples by path.
+
+    A row of coverage (source, sample) says that the source looked at a sample, boxes or none: a path
+    with a null label is such a look without a box. annotations: path, label and more.
+    """
+    known = annotations.join(samples.select(F.col(path).alias("__p"), F.col(key).alias("sample")), F.col(path) == F.col("__p"), "left").drop("__p")
+    found = known.where(F.col("sample").isNotNull())
+    covered = found.select(F.lit(source).alias("source"), "sample").distinct()
+    return found.where(F.col("label").isNotNull()), covered, known.where(F.col("sample").isNull()).select(path).distinct()
+
+
+def delete_scope(tables: dict[str, DataFrame], edges: list[tuple[str, str, str, str]], root: str, test: Column) -> dict[str, DataFrame]:
+    """The tables without the root rows that the test holds for, and without all that hangs on them.
+
+    edges: (child table, its column, parent table, its key), parents before children. The keys that go
+    are found downwards; each table is rewritten by one anti-join per edge into it.
+    """
+    gone = {root: tables[root].where(F.coalesce(test, F.lit(False)))}
+    for child, column, parent, key in edges:
+        if parent not in gone:
+            continue
+        dead = tables[child].join(gone[parent].select(F.col(key).alias(column)), column, "left_semi")
+        gone[child] = gone[child].unionByName(dead).distinct() if child in gone else dead
+    out = dict(tables)
+    out[root] = tables[root].where(~F.coalesce(test, F.lit(False)))
+    for child, column, parent, key in edges:
+        if parent in gone:
+            out[child] = out[child].join(gone[parent].select(F.col(key).alias(column)), column, "left_anti")
+    return out
+
+
+def deep_copy(tables: dict[str, DataFrame], keys: dict[str, str], edges: list[tuple[str, str, str]], salt: str) -> dict[str, DataFrame]:
+    """Copies of whole tables with new keys: every key column and every reference to one is replaced.
+
+    keys: key column by table; edges: (table, column, referenced table). A reference without a copy fails.
+    """
+    maps = {t: new_ids(tables[t], k, f"{salt}:{t}") for t, k in keys.items()}
+    out = {}
+    for t, rows in tables.items():
+        made = remap(rows, maps[t], keys[t]) if t in keys else rows
+        for child, column, parent in edges:
+            if child == t:
+                made = remap(made, maps[parent], column, optional=False)
+        out[t] = made
+    return out
+
+
+def copy_name(name: Column, root: str, new: str) -> Column:
+    """The first occurrence of the root's name replaced by the copy's."""
+    at = F.instr(name, root)
+    return F.when(at > 0, F.concat(F.substring(name, F.lit(1), at - 1), F.lit(new), F.substring(name, at + len(root), F.length(name)))).otherwise(name)
+
+
+def put_default(defaults: DataFrame, collection, space) -> DataFrame:
+    """A collection's default embedding space set, or removed with None."""
+    rest = defaults.where(F.col("collection") != F.lit(collection))
+    return rest if space is None else rest.unionByName(defaults.sparkSession.createDataFrame([(collection, space)], defaults.schema))
+
+
+def outcomes(files: DataFrame, known: DataFrame, path: str, readable: Column, exists: Column) -> DataFrame:
+    """`files` with outcome: ALREADY_PRESENT, MISSING, BROKEN or ADDED; a path met twice is added once."""
+    from pyspark.sql import Window
+
+    seen = known.select(F.col(path).alias("__k")).distinct()
+    again = F.row_number().over(Window.partitionBy(path).orderBy(path)) > 1
+    joined = files.withColumn("__a", again).join(seen, F.col(path) == F.col("__k"), "left")
+    present = F.col("__k").isNotNull() | F.col("__a")
+    return joined.withColumn("outcome", F.when(present, "ALREADY_PRESENT").when(~exists, "MISSING").when(~readable, "BROKEN").otherwise("ADDED")).drop("__a", "__k")
+
+
+def outcome_report(found: DataFrame) -> DataFrame:
+    """(outcome, n); fails where files were given and every one was missing or broken."""
+    counts = found.groupBy("outcome").agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n").alias("t"), F.sum(F.when(F.col("outcome").isin("MISSING", "BROKEN"), F.col("n")).otherwise(0)).alias("bad"))
+    n = F.when(F.col("t") == F.col("bad"), F.raise_error(F.lit("no file could be read")).cast("long")).otherwise(F.col("n"))
+    return counts.join(F.broadcast(total)).select("outcome", n.alias("n"))  # total: one row

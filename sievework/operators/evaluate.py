@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,22 +25,24 @@ def match_boxes(truth: DataFrame, predicted: DataFrame, threshold: float = 0.5,
         return rows.groupBy(*keys).agg(F.collect_list(F.struct("id", "x", "y", "width", "height", *more)).alias(name))
 
     def pair(gt: list, pred: list) -> list[tuple]:
-        free = {r["id"]: (r["x"], r["y"], r["x"] + r["width"], r["y"] + r["height"]) for r in sorted(gt, key=lambda r: r["id"])}
+        gt = sorted(gt, key=lambda r: r["id"])
+        boxes = np.array([(r["x"], r["y"], r["x"] + r["width"], r["y"] + r["height"]) for r in gt], np.float64).reshape(-1, 4)
+        areas, free = (boxes[:, 2] - boxes[:, 0]) * (boxes[:, 3] - boxes[:, 1]), np.ones(len(gt), bool)
         out = []
         for p in sorted(pred, key=lambda r: (-(r["confidence"] or 0.0), r["id"])):
-            best, chosen = None, None
-            for g, (x1, y1, x2, y2) in free.items():
-                w = min(x2, p["x"] + p["width"]) - max(x1, p["x"])
-                h = min(y2, p["y"] + p["height"]) - max(y1, p["y"])
-                shared = max(w, 0) * max(h, 0)
-                union = (x2 - x1) * (y2 - y1) + p["width"] * p["height"] - shared
-                iou = shared / union if union > 0 else 0.0
-                if iou >= threshold and (best is None or iou > best):
-                    best, chosen = iou, g
-            if chosen is not None:
-                del free[chosen]
-            out.append((chosen, p["id"], best))
-        return out + [(g, None, None) for g in free]
+            # One prediction against all boxes at a time, so a sample's memory grows with its boxes alone.
+            w = np.minimum(boxes[:, 2], p["x"] + p["width"]) - np.maximum(boxes[:, 0], p["x"])
+            h = np.minimum(boxes[:, 3], p["y"] + p["height"]) - np.maximum(boxes[:, 1], p["y"])
+            shared = np.maximum(w, 0) * np.maximum(h, 0)
+            union = areas + p["width"] * p["height"] - shared
+            iou = np.where(free, np.divide(shared, union, out=np.zeros(len(gt)), where=union > 0), -1.0)
+            at = int(iou.argmax()) if len(gt) else -1
+            if at >= 0 and free[at] and iou[at] >= threshold:
+                free[at] = False
+                out.append((gt[at]["id"], p["id"], float(iou[at])))
+            else:
+                out.append((None, p["id"], None))
+        return out + [(g["id"], None, None) for g, f in zip(gt, free, strict=True) if f]
 
     def run(batches):
         for b in batches:
@@ -60,10 +63,81 @@ def sample_counts(pairs: DataFrame) -> DataFrame:
 
 
 def disagreement(truth: DataFrame, predicted: DataFrame) -> DataFrame:
-    """(sample, disagreement) of single-label samples: 1 - confidence where labels agree, else the confidence (null: 1)."""
-    c = F.coalesce("confidence", F.lit(1.0))
-    both = truth.select("sample", F.col("label").alias("gt_label")).join(predicted.select("sample", "label", "confidence"), "sample")
-    return both.select("sample", F.when(F.col("gt_label") == F.col("label"), 1 - c).otherwise(c).alias("disagreement"))
+    """(sample, disagreement) of single-label samples: 1 - confidence where labels agree, else the confidence (null: 1).
+
+    A sample of either side must have exactly one row on each; any other fails the job with its name.
+    """
+    one = lambda rows, side: rows.select("sample", F.struct(F.lit(side).alias("side"), "label", (F.col("confidence") if side else F.lit(None).cast("double")).alias("confidence")).alias("r"))
+    both = one(truth, 0).unionByName(one(predicted, 1)).groupBy("sample").agg(
+        F.count(F.when(F.col("r.side") == 0, 1)).alias("n_gt"), F.count(F.when(F.col("r.side") == 1, 1)).alias("n_pred"), F.min("r").alias("gt"), F.max("r").alias("pred")
+    )
+    wrong = (F.col("n_gt") != 1) | (F.col("n_pred") != 1)
+    c = F.coalesce("pred.confidence", F.lit(1.0))
+    value = F.when(F.col("gt.label") == F.col("pred.label"), 1 - c).otherwise(c)
+    checked = F.when(wrong, F.raise_error(F.concat(F.lit("not one true and one predicted label: sample "), F.col("sample").cast("string"))).cast("double")).otherwise(value)
+    return both.select("sample", checked.alias("disagreement"))
+
+
+def check_run(annotations: DataFrame, runs: DataFrame, name: str, dataset, truth: str, predicted: str, kind: str) -> None:
+    """Fails unless a run may be made: two different sources, both with annotations of the task's kind alone, a name new to the dataset.
+
+    annotations: source, kind; runs: dataset, name.
+    """
+    if truth == predicted:
+        raise ValueError("truth and prediction are the same source")
+    found = annotations.where(F.col("source").isin(truth, predicted)).groupBy("source").agg(F.bool_and(F.col("kind") == kind).alias("fits")).collect()
+    fits = {r["source"]: r["fits"] for r in found}
+    for source in (truth, predicted):
+        if not fits.get(source, False):
+            raise ValueError(f"{source} must hold {kind} annotations and no others")
+    if not runs.where((F.col("dataset") == F.lit(dataset)) & (F.col("name") == name)).limit(1).isEmpty():
+        raise ValueError(f"the dataset has a run named {name} already")
+
+
+def scope(samples: DataFrame, coverage: DataFrame, truth: str, predicted: str, key: str = "sample") -> DataFrame:
+    """Samples that both sources cover, with annotations or without. coverage: source, sample."""
+    for source in (truth, predicted):
+        samples = samples.join(coverage.where(F.col("source") == source).select(F.col("sample").alias(key)), key, "left_semi")
+    return samples
+
+
+def labelled_pairs(pairs: DataFrame, annotations: DataFrame) -> DataFrame:
+    """`pairs` (gt_id, pred_id) with gt_label and pred_label, null on an absent side; annotations: id, label."""
+    for side in ("gt", "pred"):
+        names = annotations.select(F.col("id").alias(f"__{side}"), F.col("label").alias(f"{side}_label"))
+        pairs = pairs.join(names, F.col(f"{side}_id") == F.col(f"__{side}"), "left").drop(f"__{side}")
+    return pairs
+
+
+def evaluate_boxes(samples: DataFrame, annotations: DataFrame, coverage: DataFrame, truth: str, predicted: str, threshold: float = 0.5, by_class: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(pairs with labels, counts per sample) of one run over the samples that both sources cover.
+
+    A covered sample without boxes on either side has counts of zero.
+    """
+    inside = scope(samples, coverage, truth, predicted)
+    own = lambda source: annotations.where(F.col("source") == source).join(inside.select("sample"), "sample", "left_semi")
+    pairs = labelled_pairs(match_boxes(own(truth), own(predicted), threshold, by_class), annotations)
+    counts = inside.select("sample").join(sample_counts(pairs), "sample", "left").na.fill(0, ["tp", "fp", "fn"])
+    return pairs, counts
+
+
+def summary(samples: DataFrame, annotations: DataFrame, coverage: DataFrame, truth: str, predicted: str) -> DataFrame:
+    """One row (samples, truths, predictions): what a run is about."""
+    inside = scope(samples, coverage, truth, predicted).select("sample")
+    kept = annotations.join(inside, "sample", "left_semi")
+    counts = kept.agg(F.count(F.when(F.col("source") == truth, 1)).alias("truths"), F.count(F.when(F.col("source") == predicted, 1)).alias("predictions"))
+    return inside.agg(F.count("*").alias("samples")).join(F.broadcast(counts))  # one row each
+
+
+def metric_bounds(metrics: DataFrame) -> DataFrame:
+    """(run, metric, low, high) of sample metrics."""
+    return metrics.groupBy("run", "metric").agg(F.min("value").alias("low"), F.max("value").alias("high"))
+
+
+def metric_names(runs: DataFrame, pair_metrics: DataFrame, source: str) -> DataFrame:
+    """(run, metric): the metrics of pairs in the runs that a source takes part in, each once. runs: run, truth, predicted."""
+    own = runs.where((F.col("truth") == source) | (F.col("predicted") == source)).select("run")
+    return pair_metrics.where(F.col("metric").isNotNull()).join(own, "run", "left_semi").select("run", "metric").distinct()
 
 
 def confusion(pairs: DataFrame, gt: str = "gt_label", pred: str = "pred_label") -> DataFrame:
@@ -83,7 +157,8 @@ def mask_iou(truth: DataFrame, predicted: DataFrame) -> DataFrame:
 
     Inputs: sample, label, rle (row-wise runs, the first of zeros). A class's masks are joined; runs
     become intervals of set pixels, and boundaries where either side changes split them, so no bitmap
-    is made. A class that both sides lack does not count; two empty masks have IoU 1.
+    is made. A class that both sides lack does not count; two empty masks have IoU 1. A sample whose
+    masks differ in size fails the job. A sample without any mask has no row: see `require_masks`.
     """
 
     def spans(rows: DataFrame, side: str) -> DataFrame:
@@ -100,6 +175,17 @@ def mask_iou(truth: DataFrame, predicted: DataFrame) -> DataFrame:
     w = Window.partitionBy("sample", "label").orderBy("at")
     on = steps.select("sample", "label", (F.sum("g").over(w) > 0).alias("g"), (F.sum("p").over(w) > 0).alias("p"), (F.coalesce(F.lead("at").over(w), F.col("at")) - F.col("at")).alias("n"))
     sizes = on.groupBy("sample", "label").agg(F.sum(F.when(F.col("g") & F.col("p"), F.col("n")).otherwise(0)).alias("both"), F.sum(F.when(F.col("g") | F.col("p"), F.col("n")).otherwise(0)).alias("any"))
-    present = truth.select("sample", "label").unionByName(predicted.select("sample", "label")).distinct()
+    pixels = F.aggregate("rle", F.lit(0).cast("long"), lambda s, x: s + x)
+    every = truth.select("sample", "label", pixels.alias("size")).unionByName(predicted.select("sample", "label", pixels.alias("size")))
+    shapes = every.groupBy("sample").agg(F.min("size").alias("lo"), F.max("size").alias("hi"))
+    present = every.select("sample", "label").distinct().join(shapes, "sample")
     iou = F.when(F.coalesce("any", F.lit(0)) > 0, F.col("both") / F.col("any")).otherwise(1.0)
-    return present.join(sizes, ["sample", "label"], "left").groupBy("sample").agg(F.avg(iou).alias("miou"))
+    value = F.when(F.col("lo") != F.col("hi"), F.raise_error(F.concat(F.lit("masks of different sizes: sample "), F.col("sample").cast("string"))).cast("double")).otherwise(iou)
+    return present.join(sizes, ["sample", "label"], "left").groupBy("sample").agg(F.avg(value).alias("miou"))
+
+
+def require_masks(samples: DataFrame, truth: DataFrame, predicted: DataFrame) -> DataFrame:
+    """`samples`, failing the job for one without a mask on either side, which has no IoU."""
+    held = truth.select("sample").unionByName(predicted.select("sample")).distinct().withColumn("__m", F.lit(True))
+    checked = F.when(F.col("__m").isNull(), F.raise_error(F.concat(F.lit("no mask on either side: sample "), F.col("sample").cast("string"))).cast("boolean")).otherwise(True)
+    return samples.join(held, "sample", "left").where(checked).drop("__m")

@@ -97,3 +97,42 @@ def pair_metric(annotations: DataFrame, pairs: DataFrame, key: str, side: str) -
         raise ValueError("the annotations are on neither side of the run")
     value = pairs.where(F.col(side).isNotNull()).groupBy(F.col(side).alias("__a")).agg(F.max(F.coalesce("value", F.lit(0.0))).alias("pair_value"))
     return annotations.join(value, F.col(key) == F.col("__a"), "left").drop("__a")
+
+
+def neighbours_of(rows: DataFrame, keys: list[str], anchors: DataFrame) -> DataFrame:
+    """The anchors (columns `keys`, the last unique) with previous and following of the whole order.
+
+    Rows are cut into ranges of the order; a range's first and last rows stand for it when its
+    neighbours look beyond their own range, so no task sees all rows.
+    """
+    from sievework.operators.scratch import cut
+
+    last = keys[-1]
+    placed = rows.select(*keys).repartitionByRange(*keys).withColumn("__p", F.spark_partition_id())
+    placed = cut(placed)
+    own = Window.partitionBy("__p").orderBy(*keys)
+    inside = placed.withColumns({"__a": F.lag(last).over(own), "__b": F.lead(last).over(own)})
+    ends = placed.groupBy("__p").agg(F.min(F.struct(*keys))[last].alias("low"), F.max(F.struct(*keys))[last].alias("high"))  # a row per range
+    ranges = Window.orderBy("__p")
+    beyond = ends.select("__p", F.lag("high").over(ranges).alias("__c"), F.lead("low").over(ranges).alias("__d"))
+    joined = inside.join(anchors.select(*keys), keys, "left_semi").join(F.broadcast(beyond), "__p")
+    return joined.select(*keys, F.coalesce("__a", "__c").alias("previous"), F.coalesce("__b", "__d").alias("following"))
+
+
+def random_rows(rows: DataFrame, n: int, key: str, seed: int) -> DataFrame:
+    """n rows at random; the same seed takes the same rows, however they are spread."""
+    return rows.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
+
+
+def cursor(page: DataFrame, keys: list[str]) -> dict | None:
+    """The values of the last row of a page, from which the next one goes on; None for an empty page."""
+    held = page.agg(F.max(F.struct(*keys)).alias("k")).first()["k"]
+    return None if held is None else held.asDict()
+
+
+def after(rows: DataFrame, keys: list[str], at: dict | None, size: int) -> DataFrame:
+    """The next `size` rows of an ascending order after a cursor, the first ones without one."""
+    if at is not None:
+        test = reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, [F.col(p) == F.lit(at[p]) for p in keys[:i]], F.lit(True)) & (F.col(k) > F.lit(at[k])) for i, k in enumerate(keys)])
+        rows = rows.where(test)
+    return rows.orderBy(*keys).limit(size)

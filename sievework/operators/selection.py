@@ -1,11 +1,20 @@
-"""Subset selection: weighted, diverse, without near-duplicates, class-balanced, in sequences."""
+"""Subset selection: weighted, diverse, without near-duplicates, class-balanced, combined, in sequences."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework.functions.vectors import distance
+from sievework.operators.catalog import add_links
+from sievework.operators.ordering import chunks
+from sievework.operators.scratch import cut
+
+#: Candidates that a round of the greedy search takes to the driver, and different class counts it may hold.
+BATCH, MOST_COUNTS = 64, 100_000
 
 
 def weighted(rows: DataFrame, n: int, weights: list[tuple[str, float]], key: str) -> DataFrame:
@@ -14,70 +23,202 @@ def weighted(rows: DataFrame, n: int, weights: list[tuple[str, float]], key: str
     Each weight column is divided by its largest absolute value and multiplied by its strength; a
     negative strength prefers small values.
     """
+    scored = _scored(rows, weights)
+    return scored.orderBy(F.desc_nulls_last("score"), key).limit(n).select(*rows.columns, "score")
+
+
+def _scored(rows: DataFrame, weights: list[tuple[str, float]]) -> DataFrame:
+    for c, _ in weights:
+        if rows.schema[c].dataType.typeName() in ("string", "boolean", "array", "struct", "map"):
+            raise ValueError(f"{c} is no number, so it cannot be a weight")
+    if not weights:
+        return rows.withColumn("score", F.lit(0.0))
     top = rows.agg(*[F.max(F.abs(c)).alias(f"__m{i}") for i, (c, _) in enumerate(weights)])
     share = lambda i, c: F.when(F.col(f"__m{i}") > 0, F.col(c) / F.col(f"__m{i}")).otherwise(0.0)
     score: Column = sum((share(i, c) * s for i, (c, s) in enumerate(weights)), F.lit(0.0))
-    scored = rows.join(F.broadcast(top)).withColumn("score", score)  # top: one row
-    return scored.orderBy(F.desc_nulls_last("score"), key).limit(n).select(*rows.columns, "score")
+    return rows.join(F.broadcast(top)).withColumn("score", score).drop(*[f"__m{i}" for i in range(len(weights))])  # top: one row
 
 
-def diverse(rows: DataFrame, n: int, key: str, vector: str, least: float | None = None, chosen: list | None = None) -> DataFrame:
-    """(key, step): greedy farthest-first choice; the least key first, ties by key.
+def _split(rows: DataFrame, key: str, chosen: DataFrame | None) -> tuple[DataFrame, DataFrame | None, int]:
+    """(rows not chosen before, those chosen, number of the first); chosen keys must differ and be among the rows."""
+    if chosen is None:
+        return rows, None, rows.count()
+    counted = chosen.select(key).join(rows.select(F.col(key).alias("__k")), F.col(key) == F.col("__k"), "left")
+    bad = counted.agg(F.count("*").alias("n"), F.count_distinct(key).alias("d"), F.count("__k").alias("k")).first()
+    if bad["n"] != bad["d"] or bad["n"] != bad["k"]:
+        raise ValueError("rows chosen before must be different rows of the input")
+    rest = rows.join(chosen.select(key), key, "left_anti")
+    return rest, rows.join(chosen.select(key), key, "left_semi"), rest.count()
+
+
+def diverse(rows: DataFrame, n: int, key: str, vector: str, least: float | None = None, chosen: DataFrame | None = None, weights: list[tuple[str, float]] | None = None, strength: float = 1.0) -> DataFrame:
+    """(key, step): greedy farthest-first choice; with nothing chosen before, the least key is first; ties by key.
 
     With `least`, it stops when no row is that far from all chosen ones, so near-duplicates stay out.
-    `chosen` keys count as chosen before and are not returned. Every step is one pass over the rows
-    (nearest distance so far and the next maximum in one aggregation); lineage is cut every few steps.
+    `chosen` (keys) count as chosen before and are not returned; n is cut to what is there. With
+    `weights`, a row's value is its summed weight plus `strength` times its distance, divided by the
+    largest distance from the first choice.
+
+    The search is exact but takes many steps per pass: a pass brings the BATCH best rows to the driver,
+    and as values only fall, the best of these is the best of all while it is above the first one left
+    behind. Each pass then updates every row's distance once for all new choices.
     """
-    state = rows.select(key, F.col(vector).alias("__v"), F.lit(float("inf")).alias("__d"))
-    before = [r[vector] for r in rows.where(F.col(key).isin(chosen or [])).select(vector).collect()]
-    for v in before:
-        state = state.withColumn("__d", F.least("__d", distance(F.col("__v"), F.array(*map(F.lit, v)))))
-    out, taken = [], list(chosen or [])
-    for step in range(n):
-        far = F.struct(F.col("__d"), (-F.col(key)).alias("k"), F.col(key).alias("key"), F.col("__v").alias("v"))
-        best = state.where(~F.col(key).isin(taken) if taken else F.lit(True)).agg(F.max(far).alias("b")).first()["b"]
-        if best is None or (least is not None and best["__d"] < least):
+    rest, before, available = _split(rows, key, chosen)
+    n = min(n, available)
+    scored = _scored(rest, weights or [])
+    state = scored.select(key, F.col(vector).cast("array<double>").alias("__v"), F.col("score").alias("__s"), F.lit(None).cast("double").alias("__d"))
+    if before is not None:
+        for part in _parts(before.select(vector).toLocalIterator()):
+            state = _nearer(state, part)
+    out: list = []
+    scale: float | None = None
+    while len(out) < n:
+        if scale is None:
+            top = state.agg(F.max("__d")).first()[0]
+            scale = (top or 1.0) if top is not None else None
+        value = F.col("__s") + F.lit(strength) * F.coalesce(F.col("__d"), F.lit(1.0)) / F.lit(scale or 1.0)
+        best = state.withColumn("__x", value).orderBy(F.desc("__x"), key).limit(1 if scale is None else BATCH + 1).collect()
+        if not best:
             break
-        out.append((best["key"], step))
-        taken.append(best["key"])
-        state = state.withColumn("__d", F.least("__d", distance(F.col("__v"), F.array(*map(F.lit, best["v"])))))
-        if step % 8 == 7:
-            context = state.sparkSession.sparkContext
-            if not context.getCheckpointDir():
-                import tempfile
-
-                context.setCheckpointDir(state.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-            state = state.checkpoint()
+        bound = best[-1]["__x"] if len(best) > BATCH else -np.inf
+        vectors, static = np.array([r["__v"] for r in best]), np.array([r["__s"] for r in best])
+        far = np.array([np.inf if r["__d"] is None else r["__d"] for r in best])
+        worth, open_ = np.array([r["__x"] for r in best]), np.ones(len(best), bool)
+        picks: list[int] = []
+        while open_.any() and len(out) + len(picks) < n:
+            i = int(np.where(open_, worth, -np.inf).argmax())  # the first of equals has the least key
+            if picks and worth[i] <= bound:
+                break
+            if least is not None and np.isfinite(far[i]) and far[i] < least:
+                open_[i] = False
+                if not weights:
+                    break
+                continue
+            picks.append(i)
+            open_[i] = False
+            far = np.minimum(far, np.sqrt(((vectors - vectors[i]) ** 2).sum(axis=1)))
+            worth = static + strength * far / (scale or 1.0)
+            if scale is None:
+                break
+        if not picks:
+            break
+        out += [(best[i][key], len(out) + k) for k, i in enumerate(picks)]
+        gone = [best[i][key] for i in picks]
+        state = cut(_nearer(state.where(~F.col(key).isin(gone)), [vectors[i].tolist() for i in picks]))
     kind = rows.schema[key].dataType.simpleString()
     return rows.sparkSession.createDataFrame(out, f"{key} {kind}, step int")
 
 
-def balanced(rows: DataFrame, n: int, key: str, classes: dict[str, float], labels: str = "labels") -> DataFrame:
-    """(key, step): each step takes the row that brings the summed class counts nearest to the target.
+def _parts(vectors, size: int = 256):
+    held: list = []
+    for r in vectors:
+        held.append([float(x) for x in r[0]])
+        if len(held) == size:
+            yield held
+            held = []
+    if held:
+        yield held
+
 
-    `labels`: array of a row's class names, repeated as often as it has them. Targets may sum to less
-    than one; the rest goes to all other classes. Nearness is the Euclidean distance of the shares.
+def _nearer(state: DataFrame, vectors: list) -> DataFrame:
+    """`state` with each row's distance lowered to the nearest of a few vectors."""
+    near = F.array_min(F.transform(F.lit(vectors) if vectors else F.array(), lambda p: distance(F.col("__v"), p)))
+    return state.withColumn("__d", F.least("__d", near))
+
+
+def class_targets(rows: DataFrame, labels: str, target) -> dict:
+    """Target share per class: a dict as it is, "uniform" over all classes, or "input" as the rows have them.
+
+    A dict may name only known classes; the classes themselves are a small dimension.
     """
-    names = list(classes)
-    target = [classes[c] for c in names] + [max(1.0 - sum(classes.values()), 0.0)]
-    count = lambda c: F.size(F.filter(labels, lambda x: x == c))
-    known = [count(c) for c in names]
-    other = F.size(labels) - sum(known, F.lit(0))
-    state = rows.select(key, F.array(*known, other).cast("array<double>").alias("__c"))
-    so_far, taken, out = [0.0] * len(target), [], []
-    for step in range(n):
-        total = F.aggregate("__c", F.lit(float(sum(so_far))), lambda s, x: s + x)
-        gaps = [((F.col("__c")[i] + so_far[i]) / F.greatest(total, F.lit(1e-12)) - target[i]) for i in range(len(target))]
-        gap = F.sqrt(sum((g * g for g in gaps), F.lit(0.0)))
-        left = state.where(~F.col(key).isin(taken)) if taken else state
-        best = left.agg(F.min(F.struct(F.round(gap, 12).alias("g"), F.col(key).alias("key"), F.col("__c").alias("c"))).alias("b")).first()["b"]
-        if best is None:
-            break
-        out.append((best["key"], step))
-        taken.append(best["key"])
-        so_far = [a + b for a, b in zip(so_far, best["c"], strict=True)]
-    kind = rows.schema[key].dataType.simpleString()
-    return rows.sparkSession.createDataFrame(out, f"{key} {kind}, step int")
+    counts = {r["c"]: r["n"] for r in rows.select(F.explode(labels).alias("c")).groupBy("c").agg(F.count("*").alias("n")).orderBy("c").collect()}
+    if target == "uniform":
+        return {c: 1.0 / len(counts) for c in counts}
+    if target == "input":
+        return {c: n / sum(counts.values()) for c, n in counts.items()}
+    if not isinstance(target, dict):
+        raise ValueError("a target is uniform, input or a share per class")
+    for c in target:
+        if c not in counts:
+            raise ValueError(f"no such class: {c}")
+    return dict(target)
+
+
+def balanced(rows: DataFrame, n: int, key: str, target, labels: str = "labels", chosen: DataFrame | None = None) -> DataFrame:
+    """(key, step): each step takes a row that brings the summed class counts nearest to the target shares.
+
+    `labels`: array of a row's class names, repeated as often as it has them. target: see
+    `class_targets`; shares may sum to less than one, the rest goes to all other classes. Nearness is the
+    Euclidean distance of the shares. Rows with the same class counts are alike, so the search runs
+    over the different counts (at most MOST_COUNTS of them) and one join takes the rows, least keys
+    first; of equally near counts the one with the least key of all its rows comes first. n is cut to
+    what is there; `chosen` (keys) count as chosen before.
+    """
+    shares = class_targets(rows, labels, target)
+    names = list(shares)
+    goal = np.array([shares[c] for c in names] + [max(1.0 - sum(shares.values()), 0.0)])
+    rest, before, available = _split(rows, key, chosen)
+    held_of = lambda c: F.size(F.filter(labels, lambda x: x == F.lit(c)))
+    counts = [held_of(c) for c in names]
+    vector = F.array(*counts, F.size(labels) - sum(counts, F.lit(0))).cast("array<double>")
+    held = rest.select(key, vector.alias("c"))
+    kinds = held.groupBy("c").agg(F.count("*").alias("n"), F.min(key).alias("least")).orderBy("least").limit(MOST_COUNTS + 1).collect()
+    if len(kinds) > MOST_COUNTS:
+        raise ValueError(f"over {MOST_COUNTS} different class counts: balance fewer classes")
+    so_far = np.zeros(len(goal))
+    if before is not None:
+        sums = before.select(F.posexplode(vector).alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect()
+        so_far = np.array([x for _, x in sorted((r["i"], r["x"]) for r in sums)]) if sums else so_far
+    matrix, left = np.array([r["c"] for r in kinds]).reshape(len(kinds), len(goal)), np.array([r["n"] for r in kinds])
+    taken, order = np.zeros(len(kinds), int), []
+    for step in range(min(n, available)):
+        sums = matrix + so_far
+        gap = np.sqrt(((sums / np.maximum(sums.sum(axis=1, keepdims=True), 1e-12) - goal) ** 2).sum(axis=1)).round(12)
+        i = int(np.where(taken < left, gap, np.inf).argmin())
+        order.append((kinds[i]["c"], int(taken[i]), step))
+        taken[i] += 1
+        so_far = so_far + matrix[i]
+    from pyspark.sql import Window
+
+    places = rows.sparkSession.createDataFrame(order, "c array<double>, r int, step int")
+    ranked = held.withColumn("r", F.row_number().over(Window.partitionBy("c").orderBy(key)) - 1)
+    return ranked.join(places, ["c", "r"]).select(key, "step")
+
+
+@dataclass
+class Strategy:
+    """How to select: any of weights (column, strength), a vector for diversity with its strength and least
+    distance, or class balance (target of `balanced`, with the labels' column)."""
+
+    weights: list = field(default_factory=list)
+    vector: str | None = None
+    strength: float = 1.0
+    least: float | None = None
+    balance: object = None
+    labels: str = "labels"
+
+
+def select(rows: DataFrame, n: int, key: str, how: Strategy, chosen: DataFrame | None = None) -> DataFrame:
+    """(key, step) of the n rows to take by a strategy; rows chosen before are not returned but count."""
+    if how.balance is not None:
+        if how.weights or how.vector:
+            raise ValueError("balance stands alone: its nearness and the other values have no common scale")
+        return balanced(rows, n, key, how.balance, how.labels, chosen)
+    if how.vector:
+        return diverse(rows, n, key, how.vector, how.least, chosen, how.weights, how.strength)
+    if not how.weights:
+        raise ValueError("a strategy has weights, a vector or a balance")
+    rest, _, available = _split(rows, key, chosen)
+    best = weighted(rest, min(n, available), how.weights, key)
+    ranked = best.agg(F.array_sort(F.collect_list(F.struct((-F.coalesce("score", F.lit(float("-inf")))).alias("s"), key))).alias("a"))  # n rows, which were asked for
+    return ranked.select(F.posexplode("a").alias("step", "e")).select(F.col(f"e.{key}").alias(key), "step")
+
+
+def tag_result(links: DataFrame, picked: DataFrame, key: str, tag: str) -> DataFrame:
+    """`links` (key, tag) with the picked rows under a new tag; a tag that is there already is an error."""
+    if not links.where(F.col("tag") == tag).limit(1).isEmpty():
+        raise ValueError(f"the tag {tag} exists already")
+    return add_links(links.select(key, "tag"), picked.select(key, F.lit(tag).alias("tag")))
 
 
 def mean_vectors(rows: DataFrame, keys: list[str], vector: str) -> DataFrame:
@@ -88,3 +229,25 @@ def mean_vectors(rows: DataFrame, keys: list[str], vector: str) -> DataFrame:
     places = rows.select(*keys, F.posexplode(vector).alias("__at", "__x")).groupBy(*keys, "__at").agg(F.avg("__x").alias("__m"))
     listed = places.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("__at", "__m"))).alias("__ms"))
     return listed.select(*keys, F.transform("__ms", lambda p: p["__m"]).alias(vector))
+
+
+def sequences(frames: DataFrame, n: int, length: int, key: str, video: str, order: str, vector: str, chosen: DataFrame | None = None) -> DataFrame:
+    """(key, step) of n frames in diverse sequences of `length` consecutive frames; n must be its multiple.
+
+    Frames chosen before and the others are cut into sequences separately; unfilled ends are left out.
+    Sequences are compared by their mean vectors, and every frame of a chosen sequence is returned.
+    """
+    if length < 2 or n % length:
+        raise ValueError("sequences have at least two frames, and n is a multiple of their length")
+    cut_up = lambda part: chunks(part, video, order, length)
+    parts = [(cut_up(frames), 0)] if chosen is None else [(cut_up(frames.join(chosen.select(key), key, "left_anti")), 0), (cut_up(frames.join(chosen.select(key), key, "left_semi")), 1)]
+    held = None
+    for part, before in parts:
+        named = part.withColumn("__b", F.lit(before))
+        held = named if held is None else held.unionByName(named)
+    named = F.concat_ws("/", F.lpad(F.col(video).cast("string"), 24, "0"), F.lpad(F.col("chunk").cast("string"), 12, "0"), F.col("__b").cast("string"))
+    held = held.withColumn("__id", named)  # in the order of videos and their frames
+    proxies = mean_vectors(held, ["__id", "__b"], vector)
+    old = proxies.where("__b = 1").select("__id") if chosen is not None else None
+    picked = diverse(proxies, n // length, "__id", vector, chosen=old)
+    return held.join(picked, "__id").select(key, "step")

@@ -290,19 +290,18 @@ def _vectors(s, d):
     return read(s, d, "embeddings")
 
 
-@query(f"SELECT vec_id, round({_COS}, 5) AS similarity FROM (SELECT e.vec_id, e.embedding AS a, q.embedding AS b FROM embeddings e, embeddings q WHERE q.vec_id = 0) ORDER BY {_COS} DESC, vec_id LIMIT 10")
+@query(f"WITH p AS (SELECT query_id, vec_id, {_COS} AS c FROM (SELECT e.vec_id, q.vec_id AS query_id, e.embedding AS a, q.embedding AS b FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0)) SELECT query_id, vec_id, round(c, 5) AS similarity FROM p QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(c, 9) DESC, vec_id) <= 10")
 def cosine_topk(s, d):
-    q = _vectors(s, d).where("vec_id = 0").first()["embedding"]
-    return embeddings.top_k(_vectors(s, d), q, 10).select("vec_id", F.round("similarity", 5).alias("similarity"))
+    queries = _vectors(s, d).where("vec_id % 100 = 0")
+    return embeddings.search(_vectors(s, d), queries, 10).select("query_id", "vec_id", F.round("similarity", 5).alias("similarity"))
 
 
 _DIST = "sqrt(list_sum([(CAST(a[i] AS DOUBLE) - CAST(b[i] AS DOUBLE)) ** 2 for i in range(1, len(a) + 1)]))"
 
 
-@query(f"WITH p AS (SELECT e.vec_id, min({_DIST}) AS dist FROM (SELECT e.vec_id, e.embedding AS a, q.embedding AS b FROM embeddings e, embeddings q WHERE q.vec_id < 5) e GROUP BY e.vec_id) SELECT vec_id, round(exp(-dist / (SELECT avg(dist) FROM p)), 4) AS similarity FROM p")
+@query(f"WITH p AS (SELECT e.vec_id, min({_DIST}) AS dist FROM (SELECT e.vec_id, e.embedding AS a, q.embedding AS b FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0) e GROUP BY e.vec_id) SELECT vec_id, round(exp(-dist / (SELECT avg(dist) FROM p)), 4) AS similarity FROM p")
 def nn_similarity(s, d):
-    queries = [r["embedding"] for r in _vectors(s, d).where("vec_id < 5").collect()]
-    return embeddings.similarity_to(_vectors(s, d), queries).select("vec_id", F.round("similarity", 4).alias("similarity"))
+    return embeddings.similarity_to(_vectors(s, d), _vectors(s, d).where("vec_id % 100 = 0")).select("vec_id", F.round("similarity", 4).alias("similarity"))
 
 
 @query(f"WITH p AS (SELECT x.vec_id, {_DIST} AS dist FROM (SELECT e.vec_id, e.embedding AS a, q.embedding AS b FROM embeddings e JOIN embeddings q ON e.vec_id != q.vec_id) x), k AS (SELECT vec_id, dist FROM p QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY dist) <= 20) SELECT vec_id, round(avg(exp(-dist / (SELECT avg(dist) FROM k))), 4) AS typicality FROM k GROUP BY vec_id")
@@ -321,12 +320,6 @@ def projection_2d(s, d):
     return embeddings.project(_vectors(s, d))
 
 
-@query()
-def few_shot_classes(s, d):
-    model = embeddings.train_forest(_vectors(s, d).where("vec_id < 200"), "label")
-    return embeddings.classify(model, _vectors(s, d)).select("vec_id", "predicted", "confidence")
-
-
 # Selection -------------------------------------------------------------------------------------
 
 
@@ -380,14 +373,14 @@ def eval_confusion_predicate(s, d):
 
 def _boxes(s, d, shift):
     x = (F.col("l_partkey") % 50 + shift).cast("int")
-    rows = read(s, d, "lineitem").where("l_linenumber <= 3").select(
+    rows = read(s, d, "lineitem").select(
         F.col("l_orderkey").alias("sample"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_returnflag").alias("label"),
         x.alias("x"), (F.col("l_suppkey") % 10).cast("int").alias("y"), (F.col("l_quantity") + 1).cast("int").alias("width"), F.lit(20).alias("height"), F.col("l_discount").alias("confidence"),
     )
     return rows
 
 
-@query("""WITH b AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_partkey % 50 AS x, l_suppkey % 10 AS y, l_quantity + 1 AS w FROM lineitem WHERE l_linenumber <= 3),
+@query("""WITH b AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_partkey % 50 AS x, l_suppkey % 10 AS y, l_quantity + 1 AS w FROM lineitem),
 i AS (SELECT id, w, greatest(0, least(x + w, x + 5 + w) - greatest(x, x + 5)) * 20 AS shared FROM b) SELECT id, round(shared / (2 * w * 20 - shared), 9) AS iou FROM i""")
 def eval_box_iou(s, d):
     box = lambda x: F.struct(x.alias("x"), "y", "width", "height")
@@ -451,7 +444,7 @@ def collection_hierarchy(s, d):
 def export_dense_ids(s, d):
     docs = read(s, d, "documents").select("doc_id", "source")
     numbered = writers.number_rows(docs, ["source", "doc_id"], "image_id")
-    return numbered.join(F.broadcast(writers.dense_ids(docs, "source", 1)), "source").select("doc_id", "image_id", F.col("id").cast("long").alias("category_id"))
+    return numbered.join(writers.dense_ids(docs, "source", 1), "source").select("doc_id", "image_id", F.col("id").cast("long").alias("category_id"))
 
 
 @query("SELECT 'doc-' || doc_id AS file_path_abs, CAST(quality AS VARCHAR) AS class_name, CAST(0.5 AS DOUBLE) AS confidence, 'human' AS annotation_source FROM labels JOIN documents USING (doc_id)")
@@ -463,9 +456,9 @@ def export_csv_rows(s, d):
 
 @query("SELECT d.doc_id, coalesce(n, 0) AS n_turns FROM documents d LEFT JOIN (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id) c ON c.conv_id = d.doc_id")
 def view_with_children(s, d):
-    turns = read(s, d, "conversations").groupBy("conv_id").agg(F.collect_list("turn").alias("turns"))
+    turns = read(s, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"))
     rows = read(s, d, "documents").select("doc_id").join(turns, F.col("doc_id") == F.col("conv_id"), "left")
-    return rows.select("doc_id", F.when(F.col("turns").isNull(), 0).otherwise(F.size("turns")).cast("long").alias("n_turns"))
+    return rows.select("doc_id", F.coalesce("n", F.lit(0)).alias("n_turns"))
 
 
 # Groups, metric orders, sequence proxies -----------------------------------------------------------

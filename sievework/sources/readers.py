@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-IMAGE_EXTENSIONS = ("png", "jpg", "jpeg", "gif", "webp", "bmp", "tiff", "tif")
-_DETECTION = "images array<struct<id:long,file_name:string,width:int,height:int>>, categories array<struct<id:long,name:string>>, annotations array<struct<id:long,image_id:long,category_id:long,bbox:array<double>,caption:string>>"
+#: Extensions of files that count as images.
+IMAGE_EXTENSIONS = ("png", "jpg", "jpeg", "gif", "webp", "bmp", "tif", "tiff")
+_DETECTION = "images array<struct<id:long,file_name:string,width:int,height:int>>, categories array<struct<id:long,name:string>>, annotations array<struct<id:long,image_id:long,category_id:long,bbox:array<double>,caption:string,segmentation:struct<size:array<int>,counts:array<long>>>>"
 
 
-def list_files(spark: SparkSession, root: str, extensions: tuple[str, ...] = IMAGE_EXTENSIONS) -> DataFrame:
-    """(path, length) of the files below `root` with one of the extensions, without reading them."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
+def list_files(spark: SparkSession, root: str | list[str], extensions: tuple[str, ...] = IMAGE_EXTENSIONS) -> DataFrame:
+    """(path, length) of the files below `root` (a folder, a file, a glob or several) with one of the extensions, each once, without reading them."""
+    roots = [root] if isinstance(root, str) else list(root)  # folders, files or glob patterns
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(roots).select("path", "length").dropDuplicates(["path"])
     return found.where(F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)).isin(*extensions))
 
 
@@ -66,3 +68,62 @@ def read_tracks(spark: SparkSession, path: str) -> DataFrame:
     names = doc.select(F.explode("categories").alias("c")).select(F.col("c.id").alias("category_id"), F.col("c.name").alias("label"))
     tracks = doc.select(F.explode("annotations").alias("a")).select(F.col("a.id").alias("track"), "a.video_id", "a.category_id", F.posexplode("a.bboxes").alias("frame", "b")).where("b IS NOT NULL")
     return tracks.join(videos, "video_id").join(names, "category_id").select("file_name", "track", "label", "frame", *[F.col("b")[i].cast("int").alias(c) for i, c in enumerate(("x", "y", "width", "height"))])
+
+
+def read_masks(spark: SparkSession, path: str) -> DataFrame:
+    """(file_name, annotation_id, label, height, width, counts) of an instance-mask JSON; counts run column by column."""
+    doc = spark.read.schema(_DETECTION).json(path, multiLine=True)
+    images = doc.select(F.explode("images").alias("i")).select(F.col("i.id").alias("image_id"), "i.file_name")
+    names = doc.select(F.explode("categories").alias("c")).select(F.col("c.id").alias("category_id"), F.col("c.name").alias("label"))
+    masks = doc.select(F.explode("annotations").alias("a")).where("a.segmentation.counts IS NOT NULL")
+    masks = masks.select(F.col("a.id").alias("annotation_id"), "a.image_id", "a.category_id", F.col("a.segmentation.size")[0].alias("height"), F.col("a.segmentation.size")[1].alias("width"), F.col("a.segmentation.counts").alias("counts"))
+    return masks.join(images, "image_id").join(names, "category_id").select("file_name", "annotation_id", "label", "height", "width", "counts")
+
+
+def read_splits(spark: SparkSession, config: str) -> tuple[list[str], dict[str, str]]:
+    """(class names, folder by split) of a data.yaml with `names` as a list or a numbered map, and paths of splits.
+
+    Only what such files hold is read: top-level scalars, and the names. Known splits: train, val, test, minival.
+    """
+    import re
+
+    names: dict[int, str] = {}
+    splits: dict[str, str] = {}
+    plain = lambda v: v.strip().strip("\"'")
+    inside = False
+    for line in spark.read.text(config, wholetext=True).first()["value"].splitlines():
+        if m := re.match(r"^(\w+)\s*:\s*(.*)$", line):
+            inside = m[1] == "names"
+            if inside and m[2].startswith("["):
+                names = dict(enumerate(plain(v) for v in m[2].strip().strip("[]").split(",") if v.strip()))
+            elif m[1] in ("train", "val", "test", "minival") and m[2].strip():
+                splits[m[1]] = plain(m[2])
+        elif inside and (m := re.match(r"^\s+(\d+)\s*:\s*(.+)$", line)):
+            names[int(m[1])] = plain(m[2])
+        elif inside and (m := re.match(r"^\s*-\s*(.+)$", line)):
+            names[len(names)] = plain(m[1])
+    return [names[i] for i in sorted(names)], splits
+
+
+def read_label_splits(spark: SparkSession, root: str, names: list[str], sizes: DataFrame, splits: list[str], limit: int | None = None) -> DataFrame:
+    """`read_label_lines` of labels/<split> for each split, with the split as tag; `limit` images in all, splits in order, stems in order."""
+    out = None
+    for i, split in enumerate(splits):
+        part = read_label_lines(spark, f"{root}/labels/{split}", names, sizes).withColumns({"tag": F.lit(split), "__s": F.lit(i)})
+        out = part if out is None else out.unionByName(part)
+    if limit is not None:
+        kept = out.select("__s", "stem").distinct().orderBy("__s", "stem").limit(limit)
+        out = out.join(kept, ["__s", "stem"], "left_semi")
+    return out.drop("__s")
+
+
+def read_native(spark: SparkSession, folder: str) -> DataFrame:
+    """(file_name, label, x, y, width, height, confidence) of a folder with a JSON file per image.
+
+    A file has file_name and predictions, each with category_id, bbox and score; schema.json beside them
+    names the categories.
+    """
+    names = spark.read.schema("categories array<struct<id:long,name:string>>").json(f"{folder}/schema.json", multiLine=True).select(F.explode("categories").alias("c")).select(F.col("c.id").alias("category_id"), F.col("c.name").alias("label"))
+    files = spark.read.schema("file_name string, predictions array<struct<category_id:long,bbox:array<double>,score:double>>").json(f"{folder}/predictions", multiLine=True, recursiveFileLookup=True)
+    rows = files.select("file_name", F.explode("predictions").alias("p")).select("file_name", F.col("p.category_id").alias("category_id"), F.col("p.bbox").alias("b"), F.col("p.score").alias("confidence"))
+    return rows.join(names, "category_id").select("file_name", "label", *[F.col("b")[i].cast("int").alias(c) for i, c in enumerate(("x", "y", "width", "height"))], "confidence")
