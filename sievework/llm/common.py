@@ -23,11 +23,18 @@ def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a fresh local one where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir; where that is unset, a fresh one in a local session alone.
+
+    What operators write there stays; whoever runs them removes it, as only they know when results are read.
+    """
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not set_dir:
-        set_dir = context.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
+        set_dir = context.getCheckpointDir()
+    if not set_dir:
+        if not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        set_dir = tempfile.mkdtemp(prefix="spark-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(set_dir)
     return set_dir
@@ -46,6 +53,14 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def forget(df: DataFrame) -> None:
+    """Removes what `table` wrote for `df`: for tables that no later step reads, so that they don't add up."""
+    if files := df.inputFiles():
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(files[0].rpartition("/")[0])
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ascii_lower(col):
     """A-Z lowered, all other characters as they are; texts of ASCII alone take the faster function."""
     return F.when(F.octet_length(col) == F.length(col), F.lower(col)).otherwise(F.translate(col, UPPER, LOWER))

@@ -18,6 +18,8 @@ SHARES = (2.0**-1, 2.0**-3, 2.0**-5, 2.0**-7, 2.0**-9, 2.0**-11)
 #: Most terms that the band holds, and the share of documents above which a term is too common for it.
 LEXICON = 1_000_000
 TOO_COMMON = 0.2
+#: Share of a document's terms that the band must hold; a document with less of them there keeps all its terms.
+LEAST_HELD = 0.25
 _TERM = re.compile(r"\w+")
 
 
@@ -107,12 +109,16 @@ def lexicon(docs: DataFrame, text: str = "text", most: int = LEXICON, too_common
 
 
 def in_band(terms: np.ndarray, band: np.ndarray) -> np.ndarray:
-    """The terms that the band holds; all of them where it holds none, so that texts still differ."""
+    """The terms that the band holds; all terms where it holds less than LEAST_HELD of them.
+
+    So texts without band terms still differ, and members of a family so large that its own words are
+    too common for the band are still told by those words.
+    """
     if not len(terms) or not len(band):
         return terms
     at = np.minimum(np.searchsorted(band, terms), len(band) - 1)
     held = terms[band[at] == terms]
-    return held if len(held) else terms
+    return held if len(held) >= LEAST_HELD * len(terms) else terms
 
 
 def fingerprint(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -132,36 +138,55 @@ def fingerprint(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 def _in_order(docs: DataFrame, key: str, text: str, rows_per_range: int) -> DataFrame:
     """Rows of each range of keys, descending, and after them (ahead = 1) the row that follows the range.
 
-    Ranges come from the keys' quantiles. The row after a range is the first of the next range that
-    has any, found from each range's largest key; the last range is followed by the first row.
+    Ranges come from the keys' quantiles; null keys form the last one. The row after a range is the first
+    of the next range that has any; the last range is followed by the first row. What tasks need to know
+    of the ranges is one small array each of edges, first rows and successors, by broadcast: a binary
+    search places a key, so nothing in the plan grows with the number of ranges.
     """
-    ids = docs.select(F.col(key).alias("key"))
-    n = ids.count()
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).withColumn("h", F.xxhash64(F.coalesce("text", F.lit(""))))
+    n = docs.count()
     parts = max(1, min(20_000, n // rows_per_range))
     marks = [i / parts for i in range(1, parts)]
-    edges = sorted(set(ids.agg(F.percentile_approx("key", marks, 10 * parts).alias("q")).first()["q"] or [])) if marks else []
-    # Null keys form the last range of the descending order.
-    below = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e < F.col("key"))) if edges else F.lit(0)
-    range_of = F.when(F.col("key").isNull(), -1).otherwise(below)
-    tops = ids.withColumn("r", range_of).groupBy("r").agg(F.max("key").alias("top")).orderBy(F.desc("r")).collect()  # a row per range
-    follows = {tops[(i + 1) % len(tops)]["top"]: r["r"] for i, r in enumerate(tops)}
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).withColumn("r", range_of)
-    known = {k: v for k, v in follows.items() if k is not None}
-    spots = F.array(F.struct(F.col("r").cast("int").alias("r"), F.lit(0).alias("ahead")))
-    if known:
-        extra = F.element_at(F.create_map(*[F.lit(x) for kv in known.items() for x in kv]), F.col("key"))
-        spots = F.when(F.col("key").isin(list(known)), F.concat(spots, F.array(F.struct(extra.cast("int").alias("r"), F.lit(1).alias("ahead"))))).otherwise(spots)
-    if None in follows:
-        spots = F.when(F.col("key").isNull(), F.concat(F.array(F.struct(F.lit(-1).alias("r"), F.lit(0).alias("ahead"))), F.array(F.struct(F.lit(int(follows[None])).alias("r"), F.lit(1).alias("ahead"))))).otherwise(spots)
-    rows = rows.withColumn("spot", F.explode(spots)).select("key", "text", "spot.r", "spot.ahead")
+    edges = np.array(sorted(set(docs.agg(F.percentile_approx(key, marks, 10 * parts).alias("q")).first()["q"] or [])) if marks else [])
+    context = docs.sparkSession.sparkContext
+    held = context.broadcast(edges)
+
+    def below(keys):
+        return np.searchsorted(held.value, keys.to_numpy(), side="left") if len(held.value) else np.zeros(len(keys), np.int64)
+
+    @F.pandas_udf("int")
+    def range_of(keys: pd.Series) -> pd.Series:
+        return pd.Series(below(keys), dtype="int32")
+
+    # The first row of a range: its largest key and, of rows with that key, the least text hash.
+    ranged = F.when(F.col("key").isNull(), -1).otherwise(range_of(F.coalesce("key", F.lit(0))))
+    tops = rows.select("key", "h", ranged.alias("r")).groupBy("r").agg(F.max(F.struct("key", F.bitwise_not("h").alias("nh"))).alias("top")).collect()  # a row per range
+    tops = sorted(tops, key=lambda t: -t["r"])
+    first, hashes, goes = [None] * (len(edges) + 2), np.zeros(len(edges) + 2, np.int64), np.full(len(edges) + 2, -2)
+    for i, t in enumerate(tops):
+        before = tops[i - 1]["r"]  # of the first range, the last one
+        first[t["r"]], hashes[t["r"]], goes[t["r"]] = t["top"]["key"], ~t["top"]["nh"], before
+    known = context.broadcast(([0 if v is None else v for v in first], hashes, goes))
+
+    @F.pandas_udf("struct<r:int,ahead:int,h:long>")
+    def spot_of(keys: pd.Series, null: pd.Series) -> pd.DataFrame:
+        r = np.where(null.to_numpy(bool), -1, below(keys))
+        top, h, to = known.value
+        is_top = null.to_numpy(bool) | (np.array(top)[r] == keys.to_numpy())
+        return pd.DataFrame({"r": r.astype("int32"), "ahead": np.where(is_top, to[r], -2).astype("int32"), "h": h[r]})
+
+    placed = rows.withColumn("spot", spot_of(F.coalesce("key", F.lit(0)), F.col("key").isNull()))
+    own, more = F.struct(F.col("spot.r").alias("r"), F.lit(0).alias("ahead")), F.struct(F.col("spot.ahead").alias("r"), F.lit(1).alias("ahead"))
+    spots = F.when((F.col("spot.ahead") >= -1) & (F.col("spot.h") == F.col("h")), F.array(own, more)).otherwise(F.array(own))
+    placed = placed.select("key", "text", "h", F.explode(spots).alias("at")).select("key", "text", "h", "at.r", "at.ahead")
     # Several ranges to a task, as hashing deals them unevenly.
-    return rows.repartition(max(1, parts // 4), "r").sortWithinPartitions(F.desc("r"), "ahead", F.desc_nulls_last("key"), "text")
+    return placed.repartition(max(1, parts // 4), "r").sortWithinPartitions(F.desc("r"), "ahead", F.desc_nulls_last("key"), "h", "text")
 
 
 def compare_with_edits(docs: DataFrame, key: str = "doc_id", text: str = "text", rows_per_range: int = 1_000) -> DataFrame:
     """Each document's fingerprint beside those of its edited text and of the next document.
 
-    Documents stand in descending key order (null keys last, equal keys by text); the next of the
+    Documents stand in descending key order (null keys last, equal keys by their texts' hashes); the next of the
     last is the first. The edited text replaces the last third (rounded down) of the code points by
     as many of the next document's first, or all it has. Texts cross the network once, into ranges
     of keys, and tasks read them in order. Null texts count as empty; an only document is its own

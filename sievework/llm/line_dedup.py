@@ -11,7 +11,7 @@ import random
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.common import table
+from sievework.llm.common import forget, table
 from sievework.llm.components import connected_components
 
 #: Characters of a shingle, and shingles that one row of the signatures' aggregation takes in.
@@ -169,9 +169,12 @@ def line_components(lines: DataFrame, threshold: float = 0.8, wide: int = WIDE)
     bands = table(band_keys(lines), "line-signatures")
     pairs, many = candidates(bands, wide)
     pairs = table(pairs, "line-pairs")
+    forget(bands)
     sets = table(shingle_sets(pairs, lines), "line-sets")
     nodes = connected_components(matches(pairs, sets, threshold))
     joined = table(across(many, nodes, sets, threshold), "line-joined")
+    for done in (many, pairs, sets):
+        forget(done)
     if joined.isEmpty():
         return nodes
     upper = connected_components(joined).withColumnsRenamed({"node": "part", "component": "whole"})

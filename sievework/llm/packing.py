@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import os
 import zlib
 from functools import lru_cache
@@ -72,8 +73,8 @@ def _chunk_ids(path: str) -> ChunkIds:
     return ChunkIds(path)
 
 
-def pieces_of(docs: DataFrame, path: str, capacity: int, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, start, length, ids_crc32, doc_tokens) of every document's pieces.
+def pieces_of(docs: DataFrame, path: str, capacity: int, end_id: int, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
+    """(key, start, length, ids_crc32, doc_tokens) of every document's pieces, and their ids if asked for.
 
     A document is cut after every `capacity` ids; only what is left over at its end is shorter.
     A null text counts as empty: its only id is the end id. Null and repeated keys stay.
@@ -83,7 +84,7 @@ def pieces_of(docs: DataFrame, path: str, capacity: int, end_id: int, key: str =
     def run(batches):
         ids_of, end = _chunk_ids(path).ids, np.array([end_id], "<u4").tobytes()
         for b in batches:
-            keys, starts, sizes, crcs, totals = [], [], [], [], []
+            keys, starts, sizes, crcs, totals, held = [], [], [], [], [], []
             for k, value in zip(b["key"].astype(object).where(b["key"].notna(), None), b["text"], strict=True):
                 ids = ids_of(value or "") + end
                 n = len(ids) // 4
@@ -94,10 +95,14 @@ def pieces_of(docs: DataFrame, path: str, capacity: int, end_id: int, key: str =
                     sizes.append(size)
                     crcs.append(zlib.crc32(ids[4 * start : 4 * (start + size)]))
                     totals.append(n)
-            yield pd.DataFrame({"key": pd.array(keys, dtype="object"), "start": starts, "length": sizes, "ids_crc32": crcs, "doc_tokens": totals})
+                    if with_ids:
+                        held.append(np.frombuffer(ids[4 * start : 4 * (start + size)], "<u4").astype(np.int32))
+            out = {"key": pd.array(keys, dtype="object"), "start": starts, "length": sizes, "ids_crc32": crcs, "doc_tokens": totals}
+            yield pd.DataFrame(out | ({"ids": held} if with_ids else {}))
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return rows.mapInPandas(run, f"key {kind}, start long, length long, ids_crc32 long, doc_tokens long").withColumnRenamed("key", key)
+    made = rows.mapInPandas(run, f"key {kind}, start long, length long, ids_crc32 long, doc_tokens long" + (", ids array<int>" if with_ids else ""))
+    return made.withColumnRenamed("key", key)
 
 
 def _best_pattern(prices: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -155,6 +160,8 @@ def plan_patterns(histogram: dict[int, int], capacity: int, gap: float = 3e-3, r
         pivot = inverse[out] / column[out]
         inverse -= np.outer(column, pivot)
         inverse[out] = pivot
+    else:
+        logging.getLogger(__name__).warning("column generation ended after %d rounds, at most %.4f times the linear program's optimum", rounds, value)
     left = need.astype(np.int64)
     made: list[tuple[int, dict[int, int]]] = []
     for j in np.argsort(-use, kind="stable"):
@@ -214,6 +221,22 @@ def pack(pieces: DataFrame, capacity: int = 4096, key: str = "doc_id", unit: int
     return placed.select(*pieces.columns, "sequence_id", "offset")
 
 
-def pack_documents(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Tokenised pieces of all documents, packed: see `pieces_of` and `pack`."""
-    return pack(table(pieces_of(docs, path, capacity, end_id, key, text), "pack-pieces"), capacity, key)
+def pack_documents(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 2, key: str = "doc_id", text: str = "text", with_ids: bool = True) -> DataFrame:
+    """Tokenised pieces of all documents, packed, each with its ids: see `pieces_of` and `pack`.
+
+    The plan and the places are made of narrow columns, which name a piece by its file's position; the
+    ids join their piece's place at the end, once. Without ids the narrow rows are all that is written.
+    """
+    made = table(pieces_of(docs, path, capacity, end_id, key, text, with_ids).withColumn("__piece", F.monotonically_increasing_id()), "pack-pieces")
+    placed = pack(made.drop("ids"), capacity, key)
+    if not with_ids:
+        return placed.drop("__piece")
+    return placed.join(made.select(F.col("__piece").alias("__own"), "ids"), F.col("__piece") == F.col("__own")).drop("__piece", "__own")
+
+
+def sequences(packed: DataFrame, capacity: int = 4096, end_id: int = 2) -> DataFrame:
+    """(sequence_id, ids, n_tokens) of packed pieces: their ids in the order of offsets, padded with the end id to the capacity."""
+    held = packed.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("p"), F.sum("length").alias("n_tokens"))
+    ids = F.flatten(F.transform("p", lambda x: x["ids"]))
+    padding = F.array_repeat(F.lit(end_id), (F.lit(capacity) - F.col("n_tokens")).cast("int"))
+    return held.select("sequence_id", F.concat(ids, padding).alias("ids"), "n_tokens")

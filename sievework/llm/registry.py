@@ -41,7 +41,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(common.documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
+    return packing.pack_documents(common.documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), with_ids=False)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

