@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from sievework.llm.common import table, words
 
-#: Words of benchmark items that one pass over the documents looks for; more items take more passes.
-WORDS_PER_PASS = 40_000
+#: Windows that one pass over the documents' words looks for, so what a pass broadcasts is bounded; more take more passes.
+WINDOWS_PER_PASS = 40_000
 
 
 def windows(items: DataFrame, width: int, key: str, text: str) -> DataFrame:
@@ -20,36 +20,21 @@ def windows(items: DataFrame, width: int, key: str, text: str) -> DataFrame:
     return split.select("item", F.explode(F.transform(starts, lambda i: F.slice("all", i, width))).alias("w")).distinct()
 
 
-def _in_list(values: set[str]) -> str:
-    # Words hold no ASCII character but letters and digits, so they need no escapes.
-    return ", ".join(f"'{v}'" for v in sorted(values or {""}))
-
-
-def _pass(docs: DataFrame, wins: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
-    """(all documents' key, h and word count; this pass's occurrences: key, h, item, start, size)."""
-    vocabulary = {r["x"] for r in wins.select(F.explode("w").alias("x")).distinct().collect()}
+def _found(docs: DataFrame, wins: DataFrame, width: int) -> DataFrame:
+    """(key, h, item, start, size): occurrences of a pass's windows in documents (key, h, all)."""
+    vocabulary = wins.select(F.explode("w").alias("x")).distinct()  # at most width words for each window of a pass
     # How often each benchmark word occurs in all documents: the order by rarity.
-    used = docs.select(F.explode(F.expr(f"filter(`all`, x -> x IN ({_in_list(vocabulary)}))")).alias("x"))
-    counts = used.groupBy("x").agg(F.count("*").alias("n"))
+    counts = docs.select(F.explode("all").alias("x")).join(F.broadcast(vocabulary), "x", "left_semi").groupBy("x").agg(F.count("*").alias("n"))
     placed = wins.select("item", "w", F.posexplode("w").alias("at", "x"))
     ranked = placed.join(counts, "x", "left").groupBy("item", "w").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "x", "at")).alias("rare"))
     # A window occurs only where its rarest word does: with whole containment one prefix token is enough.
     keyed = table(ranked.where("rare.n > 0").select("item", "w", F.col("rare.x").alias("token"), F.col("rare.at").alias("at")), "leak-windows")
-    tokens = {r["token"] for r in keyed.select("token").distinct().collect()}
-    # Each place of a prefix token keeps the words around it, so that the document's words can go.
-    hits = F.expr(
-        f"transform(filter(transform(`all`, (x, i) -> struct(i AS i, x AS x)), p -> p.x IN ({_in_list(tokens)})), "
-        f"p -> struct(p.i AS i, p.x AS token, greatest(p.i - {width - 1}, 0) AS low, slice(`all`, greatest(p.i - {width - 1}, 0) + 1, least(p.i, {width - 1}) + {width}) AS near))"
-    )
-    base = table(docs.select("key", "h", F.size("all").cast("long").alias("n_words"), hits.alias("hits")), "leak-places")
-    spots = base.select("key", "h", "n_words", F.explode("hits").alias("p")).select("key", "h", "n_words", "p.*")
-    # The pass bounds the windows (WORDS_PER_PASS), so the join may hold them in every task.
-    met = spots.join(F.broadcast(keyed), "token")
+    # Words meet the pass's windows in generated code; only those at a prefix token look at the words around them.
+    met = docs.select("key", "h", "all", F.posexplode("all").alias("i", "x")).join(F.broadcast(keyed), F.col("x") == F.col("token"))
     start = F.col("i") - F.col("at")
-    inside = (start >= 0) & (start + F.size("w") <= F.col("n_words"))  # positional bounds
-    same = F.slice("near", F.greatest(start - F.col("low"), F.lit(0)) + 1, F.size("w")) == F.col("w")
-    found = met.where(inside).where(same).select("key", "h", "item", start.alias("start"), F.size("w").alias("size"))
-    return base.select("key", "h", "n_words"), found.distinct()
+    inside = (start >= 0) & (start + F.size("w") <= F.size("all"))  # positional bounds
+    same = F.slice("all", F.greatest(start, F.lit(0)) + 1, F.size("w")) == F.col("w")
+    return met.where(inside & same).select("key", "h", "item", start.alias("start"), F.size("w").alias("size")).distinct()
 
 
 def contamination(docs: DataFrame, items: DataFrame, width: int = 10, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -59,20 +44,20 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = 10, key: str =
     with an occurring window, as strings, sorted. Null texts and texts without words have no words
     and no hits; such items have no window. Null keys stay, repeated rows give repeated rows, rows
     that share key and text share their result; without items nothing is hit; other columns are not
-    read. Items are taken in passes of a bounded number of words, each over all documents.
+    read; very long texts are taken whole. Documents are cut into words once and kept; windows are taken
+    in passes of a bounded number, each over all documents' words.
     """
     return _marked(docs, items, width, key, text, item_key, item_text).drop("__h")
 
 
 def _marked(docs: DataFrame, items: DataFrame, width: int, key: str, text: str, item_key: str, item_text: str) -> DataFrame:
     """`contamination` with each text's hash, __h."""
-    rows = docs.select(F.col(key).alias("key"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"), words(F.col(text)).alias("all"))
+    rows = table(docs.select(F.col(key).alias("key"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"), words(F.col(text)).alias("all")), "leak-words")
     wins = table(windows(items, width, item_key, item_text), "leak-items")
-    total = wins.agg(F.sum(F.size("w"))).first()[0] or 0
-    passes = max(1, -(-total // (WORDS_PER_PASS * width)))
-    made = [_pass(rows, wins.where(F.pmod(F.xxhash64("item"), F.lit(passes)) == p), width) for p in range(passes)]
-    base, found = made[0][0], reduce(DataFrame.unionByName, [f for _, f in made])
-    found = table(found, "leak-found")
+    passes = max(1, -(-wins.count() // WINDOWS_PER_PASS))
+    parts = [wins.where(F.pmod(F.xxhash64("item", "w"), F.lit(passes)) == p) if passes > 1 else wins for p in range(passes)]
+    found = table(reduce(DataFrame.unionByName, [_found(rows, p, width) for p in parts]), "leak-found")
+    base = rows.select("key", "h", F.size("all").cast("long").alias("n_words"))
     spread = found.select("key", "h", F.explode(F.sequence("start", F.col("start") + F.col("size") - 1)).alias("at")).distinct()
     hit = spread.groupBy("key", "h").agg(F.count("*").alias("n_hit"))
     of_items = found.select("key", "h", "item").distinct().groupBy("key", "h").agg(F.sort_array(F.collect_list("item")).alias("items"))

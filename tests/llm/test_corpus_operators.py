@@ -193,8 +193,8 @@ def test_decontamination_equals_brute_force(spark, docs_of, monkeypatch):
     texts += [(90, None), (91, "ü x. Ü X!"), (92, texts[1][1])]
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = brute_leaks(texts, items)
-    for per_pass in (40_000, 30):
-        monkeypatch.setattr(decontaminate, "WORDS_PER_PASS", per_pass)
+    for per_pass in (40_000, 20):
+        monkeypatch.setattr(decontaminate, "WINDOWS_PER_PASS", per_pass)
         rows = {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in decontaminate.contamination(docs_of(texts), bench).collect()}
         assert rows == want
     assert decontaminate.contamination(docs_of(EDGES), bench.limit(0)).where("contaminated").count() == 0
