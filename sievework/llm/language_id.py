@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 SYMBOLS = 64
 DIMENSIONS = 1024
 UNKNOWN = "und"
-#: Trigrams whose vectors a worker makes at a time, and characters and texts that it bundles at a time.
-BLOCK, CHARS, TEXTS = 4_096, 500_000, 256
+#: Trigrams whose vectors a worker makes at a time, characters and texts that it bundles at a time, rows that it returns at a time.
+BLOCK, CHARS, TEXTS, ROWS = 4_096, 500_000, 256, 512
 
 
 @lru_cache(maxsize=1)
@@ -130,7 +130,7 @@ def _told(docs: DataFrame, text: str, labels: list[str], prototypes: np.ndarray,
         return np.where(letters, best, UNKNOWN), np.where(letters, top, 0).astype(float)
 
     def run(batches):
-        for b in batches:
+        for b in (whole.slice(i, ROWS) for whole in batches for i in range(0, max(whole.num_rows, 1), ROWS)):
             pred, score = verdicts(b.column(at))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
 

@@ -16,8 +16,8 @@ from sievework.llm.common import table
 
 #: Lengths are planned in units of this many tokens, rounded up.
 UNIT = 8
-#: White-space-free chunks whose ids a worker remembers.
-REMEMBER = 600_000
+#: White-space-free chunks whose ids a worker remembers, some 200 bytes each, and documents that it returns at a time.
+REMEMBER, ROWS = 600_000, 512
 #: Pieces that one task ranks at a time, on average.
 RANKED_AT_ONCE = 50_000
 #: White space by the Unicode property, which leaves out the separators U+001C to U+001F.
@@ -32,9 +32,11 @@ class ChunkIds:
     sees each word, and each new chunk beyond ASCII, once.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remember: int = REMEMBER):
         import re
 
+        self.remember = remember
+
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -52,7 +54,7 @@ class ChunkIds:
         except KeyError:
             pass
         for held in (self.known, self.parts):
-            if len(held) > REMEMBER:
+            if len(held) > self.remember:
                 held.clear()
         new = set(chunks).difference(self.known)
         plain = {c: self.words(c.lower()) for c in new if c.isascii() and "<|" not in c}
@@ -69,11 +71,11 @@ class ChunkIds:
 
 
 @lru_cache(maxsize=4)
-def _chunk_ids(path: str) -> ChunkIds:
-    return ChunkIds(path)
+def _chunk_ids(path: str, remember: int) -> ChunkIds:
+    return ChunkIds(path, remember)
 
 
-def pieces_of(docs: DataFrame, path: str, capacity: int, end_id: int, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
+def pieces_of(docs: DataFrame, path: str, capacity: int, end_id: int, key: str = "doc_id", text: str = "text", with_ids: bool = False, remember: int = REMEMBER) -> DataFrame:
     """(key, start, length, ids_crc32, doc_tokens) of every document's pieces, and their ids if asked for.
 
     A document is cut after every `capacity` ids; only what is left over at its end is shorter.
@@ -82,8 +84,8 @@ def pieces_of(docs: DataFrame, path: str, capacity: int, end_id: int, key: str =
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
-        ids_of, end = _chunk_ids(path).ids, np.array([end_id], "<u4").tobytes()
-        for b in batches:
+        ids_of, end = _chunk_ids(path, remember).ids, np.array([end_id], "<u4").tobytes()
+        for b in (whole[i : i + ROWS] for whole in batches for i in range(0, max(len(whole), 1), ROWS)):
             keys, starts, sizes, crcs, totals, held = [], [], [], [], [], []
             for k, value in zip(b["key"].astype(object).where(b["key"].notna(), None), b["text"], strict=True):
                 ids = ids_of(value or "") + end
@@ -221,13 +223,13 @@ def pack(pieces: DataFrame, capacity: int = 4096, key: str = "doc_id", unit: int
     return placed.select(*pieces.columns, "sequence_id", "offset")
 
 
-def pack_documents(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 2, key: str = "doc_id", text: str = "text", with_ids: bool = True) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 2, key: str = "doc_id", text: str = "text", with_ids: bool = True, remember: int = REMEMBER) -> DataFrame:
     """Tokenised pieces of all documents, packed, each with its ids: see `pieces_of` and `pack`.
 
     The plan and the places are made of narrow columns, which name a piece by its file's position; the
     ids join their piece's place at the end, once. Without ids the narrow rows are all that is written.
     """
-    made = table(pieces_of(docs, path, capacity, end_id, key, text, with_ids).withColumn("__piece", F.monotonically_increasing_id()), "pack-pieces")
+    made = table(pieces_of(docs, path, capacity, end_id, key, text, with_ids, remember).withColumn("__piece", F.monotonically_increasing_id()), "pack-pieces")
     placed = pack(made.drop("ids"), capacity, key)
     if not with_ids:
         return placed.drop("__piece")
