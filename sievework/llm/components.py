@@ -30,9 +30,10 @@ def _state(edges: DataFrame):
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of `edges` (u, v: long); component is its smallest node.
 
-    Each round joins edges with each node's smallest neighbour, so no node's neighbours meet in one
-    group; rounds grow with the logarithm of the largest component. Self links, repeated links and
-    an empty input are fine: a node with only self links has no row.
+    Each round joins edges with each node's smallest neighbour; a hub's edges share a join key, which
+    adaptive execution splits, and are never gathered into a list. Rounds grow with the logarithm of the
+    largest component. Self links, repeated links and an empty input are fine: a node with only self
+    links has no row.
     """
     edges = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     state = _state(edges)

@@ -47,7 +47,12 @@ def test_packing_holds_every_id_once(spark, docs_of):
     path = registry.vocabulary("word_bpe_49k.json")
     library, rnd = Tokenizer.from_file(path), random.Random(4)
     texts = {i: soup(rnd, 200) for i in range(60)} | {99: "some more words " * 3000, 98: None}
-    rows = packing.pack_documents(docs_of(texts.items()), path).toPandas()
+    packed = packing.pack_documents(docs_of(texts.items()), path)
+    rows = packed.toPandas()
+    assert all(zlib.crc32(np.array(i, "<u4").tobytes()) == c and len(i) == n for i, c, n in zip(rows.ids, rows.ids_crc32, rows.length, strict=True))
+    for r in packing.sequences(packed).collect():
+        own = rows[rows.sequence_id == r["sequence_id"]].sort_values("offset")
+        assert r["ids"] == [x for i in own.ids for x in i] + [2] * (4096 - r["n_tokens"]) and len(r["ids"]) == 4096
     for i, t in texts.items():
         ids = np.array([*library.encode(t or "", add_special_tokens=False).ids, 2], "<u4").tobytes()
         own = rows[rows.doc_id == i].sort_values("start")
