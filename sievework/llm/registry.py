@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import common, decontaminate, imatch, language_id, licenses, line_dedup, packing, sharding, simhash, surrogates, token_counts
+from sievework.llm import byte_pairs, common, decontaminate, imatch, language_id, licenses, line_dedup, packing, ranked_search, sharding, simhash, surrogates, token_counts
 
 #: Keys of surrogates and names of shards are settings of a deployment; these serve the queries.
 SURROGATE_KEY = "sievework-query-key"
@@ -71,6 +71,19 @@ def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.pseudonymise(common.documents(spark, sf_dir), SURROGATE_KEY)
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(common.documents(spark, sf_dir), common.benchmark(spark, sf_dir))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path, pattern = vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    made = byte_pairs.decode(byte_pairs.encode(common.documents(spark, sf_dir), path, pattern), path, pattern)
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return made.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 OP8_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w
@@ -93,15 +106,38 @@ FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN i ON d.doc_id = i.doc_id
 """
 
 
+OP12_SQL = r"""
+WITH dw AS (
+  SELECT row_number() OVER () AS d, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+d AS (SELECT d, doc_id, w, CAST(len(w) AS BIGINT) AS n FROM dw WHERE len(w) > 0),
+s AS (SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(n) AS BIGINT) AS total FROM d),
+q AS (
+  SELECT DISTINCT item, item_id, unnest(w) AS term
+  FROM (SELECT row_number() OVER () AS item, item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark)),
+p AS (
+  SELECT d, doc_id, n, term, CAST(count(*) AS BIGINT) AS tf
+  FROM (SELECT d, doc_id, n, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+t AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM p GROUP BY term), s),
+f AS (
+  SELECT d, doc_id, p.term, w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * n_docs) // total))) AS part
+  FROM p JOIN t ON p.term = t.term, s),
+r AS (
+  SELECT item, item_id, doc_id, CAST(sum(part) AS BIGINT) AS score FROM f JOIN q ON f.term = q.term GROUP BY item, item_id, d, doc_id),
+o AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM r WHERE score > 0)
+SELECT * FROM o WHERE rank <= 50
+"""
+
+
 def queries() -> dict:
     import corpus_pipeline
 
-    own = (op1_imatch, op2_line_dedup, op3_language_id, op4_packing, op5_simhash, op6_license_scan, op7_token_counts, op8_decontamination, op9_sharding, op10_surrogates)
+    own = (op1_imatch, op2_line_dedup, op3_language_id, op4_packing, op5_simhash, op6_license_scan, op7_token_counts, op8_decontamination, op9_sharding, op10_surrogates, op12_ranked_search, op13_byte_bpe)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    found = {"op8_decontamination": OP8_SQL}
+    found = {"op8_decontamination": OP8_SQL, "op12_ranked_search": OP12_SQL}
     return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
