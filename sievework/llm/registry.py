@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import byte_pairs, common, decontaminate, imatch, language_id, licenses, line_dedup, packing, ranked_search, sharding, simhash, surrogates, token_counts
+from sievework.llm import byte_pairs, common, decontaminate, imatch, language_id, licenses, line_dedup, packing, prefix_trie, ranked_search, sharding, simhash, surrogates, token_counts
 
 #: Keys of surrogates and names of shards are settings of a deployment; these serve the queries.
 SURROGATE_KEY = "sievework-query-key"
@@ -71,6 +71,10 @@ def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.pseudonymise(common.documents(spark, sf_dir), SURROGATE_KEY)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.rebuilt_trie(common.conversations(spark, sf_dir))
+
+
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.search(common.documents(spark, sf_dir), common.benchmark(spark, sf_dir))
 
@@ -106,6 +110,42 @@ FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN i ON d.doc_id = i.doc_id
 """
 
 
+OP11_SQL = """
+WITH t AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha) AS pos, sha, chars
+  FROM (
+    SELECT conv_id, turn, sha256(concat(strlen(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) AS sha, length(coalesce(text, '')) AS chars
+    FROM conversations WHERE conv_id IS NOT NULL)),
+u AS (
+  SELECT c, count(*) AS own, c - c % 100 AS base,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, flatten([[ord(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1] FOR x IN string_split(c::VARCHAR, '')])),
+      lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END), 4294967295) % 6 AS h
+  FROM t GROUP BY c),
+v AS (
+  SELECT u.*, least(u.h, coalesce(b.own, 0)) AS taken, least(u.h, coalesce(b.own, 0)) + greatest(u.own - u.h, 0) AS n
+  FROM u LEFT JOIN u AS b ON b.c = u.base),
+r AS (
+  SELECT v.c, t.pos AS depth, sha, chars FROM v JOIN t ON t.c = v.base WHERE t.pos <= v.taken
+  UNION ALL SELECT v.c, v.taken + t.pos - v.h, sha, chars FROM v JOIN t ON t.c = v.c WHERE t.pos > v.h),
+p AS (
+  SELECT c, depth, string_agg(sha, '' ORDER BY depth) OVER (PARTITION BY c ORDER BY depth) AS path, chars FROM r
+  UNION ALL SELECT c, 0, '', 0 FROM v),
+k AS (SELECT depth, path, min(c) AS c, count(*) AS n_convs, max(chars) AS chars FROM p GROUP BY depth, path),
+w AS (SELECT k.*, left(path, CAST(64 * (depth - 1) AS BIGINT)) AS up FROM k),
+n AS (
+  SELECT w.*, coalesce(ch.n_children, 0) AS n_children FROM w
+  LEFT JOIN (SELECT depth - 1 AS depth, up, count(*) AS n_children FROM w WHERE depth > 0 GROUP BY ALL) ch ON ch.depth = w.depth AND ch.up = w.path),
+g AS (
+  SELECT d, left(path, CAST(64 * d AS BIGINT)) AS top, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * chars) AS saved
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM n) GROUP BY ALL),
+e AS (SELECT p.depth, p.path, string_agg(p.c::VARCHAR, ',' ORDER BY p.c) AS ids FROM p JOIN v ON v.c = p.c AND v.n = p.depth GROUP BY ALL)
+SELECT n.c AS conv_id, CAST(n.depth AS BIGINT) AS depth, f.c AS parent_conv_id, n.n_convs, CAST(n.n_children AS BIGINT) AS n_children, g.n_leaves,
+  CAST(g.saved AS BIGINT) AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM n LEFT JOIN n AS f ON n.depth > 0 AND f.depth = n.depth - 1 AND f.path = n.up
+JOIN g ON g.d = n.depth AND g.top = n.path
+LEFT JOIN e ON e.depth = n.depth AND e.path = n.path
+"""
+
 OP12_SQL = r"""
 WITH dw AS (
   SELECT row_number() OVER () AS d, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
@@ -132,12 +172,12 @@ SELECT * FROM o WHERE rank <= 50
 def queries() -> dict:
     import corpus_pipeline
 
-    own = (op1_imatch, op2_line_dedup, op3_language_id, op4_packing, op5_simhash, op6_license_scan, op7_token_counts, op8_decontamination, op9_sharding, op10_surrogates, op12_ranked_search, op13_byte_bpe)
+    own = (op1_imatch, op2_line_dedup, op3_language_id, op4_packing, op5_simhash, op6_license_scan, op7_token_counts, op8_decontamination, op9_sharding, op10_surrogates, op11_prefix_trie, op12_ranked_search, op13_byte_bpe)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    found = {"op8_decontamination": OP8_SQL, "op12_ranked_search": OP12_SQL}
+    found = {"op8_decontamination": OP8_SQL, "op11_prefix_trie": OP11_SQL, "op12_ranked_search": OP12_SQL}
     return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
