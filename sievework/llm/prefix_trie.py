@@ -67,7 +67,7 @@ def _chained(rows: DataFrame) -> DataFrame:
                 made.append(digest := hashlib.sha256(digest + sha).digest())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("conv", "block", "depth", "chars")), pa.array(made, pa.binary()), pa.array(parents, pa.binary())], ["conv", "block", "depth", "chars", "digest", "parent"])
 
-    rows = rows.select("conv", "block", "depth", "chars", "sha", "seed").repartition("conv", "block").sortWithinPartitions("conv", "block", "depth")
+    rows = rows.select(*[F.col(c).cast("long").alias(c) for c in ("conv", "block", "depth", "chars")], "sha", "seed").repartition("conv", "block").sortWithinPartitions("conv", "block", "depth")
     return rows.mapInArrow(run, "conv long, block long, depth long, chars long, digest binary, parent binary")
 
 
@@ -75,14 +75,18 @@ def prefixes(turns: DataFrame) -> DataFrame:
     """(conv, depth, digest, parent, chars) of every prefix with a turn, by chained SHA-256.
 
     Conversations of over BLOCK turns are cut into blocks: each whole block has a digest of its own, a chain
-    of these gives the seed of each block's chain. Equal prefixes have equal digests, as blocks begin at equal depths.
+    of these gives the seed of each block's chain, which is also the digest of the prefix that ends there. Equal
+    prefixes have equal digests, as blocks begin at equal depths.
     """
     turns = common.table(turns.withColumn("block", F.floor((F.col("depth") - 1) / BLOCK)), "trie-rebuilt")
     alone = common.table(_chained(turns.withColumn("seed", F.lit(ROOT))), "trie-chains")
-    ends = alone.where(F.col("depth") == (F.col("block") + 1) * BLOCK).select("conv", F.lit(0).alias("block"), F.col("block").alias("depth"), "chars", F.col("digest").alias("sha"))
-    seeds = _chained(ends.withColumn("seed", F.lit(ROOT))).select("conv", (F.col("depth") + 1).alias("block"), F.col("digest").alias("seed"))
+    ends = alone.where(F.col("depth") == (F.col("block") + 1) * BLOCK).select("conv", F.lit(0).cast("long").alias("block"), F.col("block").cast("long").alias("depth"), "chars", F.col("digest").alias("sha"))
+    seeds = common.table(_chained(ends.withColumn("seed", F.lit(ROOT))).select("conv", (F.col("depth") + 1).alias("block"), F.col("digest").alias("seed")), "trie-seeds")
     later = _chained(turns.where("block > 0").join(seeds, ["conv", "block"]))
-    return alone.where("block = 0").unionByName(later).drop("block")
+    chains = alone.where("block = 0").unionByName(later)
+    at_end = F.col("depth") % BLOCK == 0
+    closed = chains.where(at_end).withColumn("block", F.col("block") + 1).join(seeds, ["conv", "block"]).drop("digest").withColumnRenamed("seed", "digest")
+    return chains.where(~at_end).unionByName(closed).drop("block")
 
 
 def _path_sums(rows: DataFrame, values: list[str]) -> DataFrame:
