@@ -7,8 +7,8 @@ import heapq
 import re
 import sys
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
-from itertools import chain
+from functools import cached_property, lru_cache
+from itertools import chain, filterfalse, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -18,13 +18,17 @@ from pyspark.sql import functions as F
 from sievework.llm.token_counts import SPACE
 
 #: Units of text whose ids a worker remembers.
-REMEMBER = 200_000
+REMEMBER = 500_000
 #: Cells of one matrix.
 CELLS = 1 << 18
+#: After letters each of these is a pre-token by itself.
+MARKS = frozenset(".,;:!?")
+#: Pre-tokens stand in the narrowest matrix that holds them.
+WIDTHS = (0, 4, 6, 8, 10, 12, 14, 16, 20, 24, 32, 48, 64, 128, 256, 512, 1024)
 #: Pre-tokens of more bytes are merged one by one from a heap, as a round for each merge would cost the square of their length.
-LONG = 1024
+LONG = WIDTHS[-1]
 #: Characters of text (or ids) in one batch that a worker returns.
-SLICE = 1 << 20
+SLICE = 1 << 22
 NONE = np.iinfo(np.int32).max
 
 
@@ -32,7 +36,7 @@ class PairTable:
     """Hash table with open addressing: (left id, right id) to the id that both make together."""
 
     def __init__(self, keys: np.ndarray, made: np.ndarray):
-        self.shift = np.uint64(64 - (2 * max(len(keys), 1)).bit_length())
+        self.shift = np.uint64(64 - (4 * max(len(keys), 1)).bit_length())
         size = 1 << int(64 - self.shift)
         self.mask, self.keys, self.made = size - 1, np.full(size, -1, np.int64), np.full(size, NONE, np.int32)
         left, at = np.arange(len(keys)), self._slot(keys)
@@ -76,14 +80,19 @@ class Vocabulary:
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
-        made = [(a, b, rank) for token, rank in self.ranks.items() for i in range(1, len(token)) if (a := self.ranks.get(token[:i])) is not None and (b := self.ranks.get(token[i:])) is not None]
-        parts = np.array(made, np.int64).reshape(-1, 3)
-        self.pair = PairTable((parts[:, 0] << 32) | parts[:, 1], parts[:, 2].astype(np.int32))
         # \s is Unicode's white space here, which leaves out U+001C to U+001F.
         own = pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"\S", f"[^{SPACE}]").replace(r"\s", f"[{SPACE}]")
         self.pretokens = regex.compile(own).findall
         self.spaces = re.compile(r"\s ").search
         self.known: dict[str, bytes] = {}
+        self.after_blank: dict[str, bytes] = {}
+
+    @cached_property
+    def pair(self) -> PairTable:
+        """All pairs of tokens that make a token together."""
+        made = [(a, b, rank) for token, rank in self.ranks.items() for i in range(1, len(token)) if (a := self.ranks.get(token[:i])) is not None and (b := self.ranks.get(token[i:])) is not None]
+        parts = np.array(made, np.int64).reshape(-1, 3)
+        return PairTable((parts[:, 0] << 32) | parts[:, 1], parts[:, 2].astype(np.int32))
 
     def merge_rows(self, symbols: np.ndarray) -> list[bytes]:
         """Ids (int32) of every row of a padded matrix (-1 from a row's end on) once no pair of it makes a token.
@@ -107,10 +116,10 @@ class Vocabulary:
                     break
             line = np.arange(len(rows))
             symbols[line, at] = low
-            columns = np.arange(symbols.shape[1] - 1)
-            symbols = np.take_along_axis(symbols, columns + (columns > at[:, None]), 1)
-            columns = columns[:-1]
-            ranks = np.take_along_axis(ranks, columns + (columns >= at[:, None]), 1)
+            stays = np.ones(symbols.shape, bool)
+            stays[line, at + 1] = False
+            symbols = symbols[stays].reshape(len(rows), -1)
+            ranks = ranks[stays[:, 1:]].reshape(len(rows), -1)
             if len(left := line[at > 0]):
                 ranks[left, at[left] - 1] = self.pair(symbols[left, at[left] - 1], symbols[left, at[left]])
             if len(right := line[at < ranks.shape[1]]):
@@ -147,36 +156,62 @@ class Vocabulary:
         sizes = np.array([0 if done else len(p) for p, done in zip(pretokens, out, strict=True)], np.int64)
         for i in np.flatnonzero(sizes > LONG).tolist():
             out[i] = self.merge_long(pretokens[i])
-        width = 2
-        while width < 2 * LONG:
-            bucket = np.flatnonzero((sizes > width // 2) & (sizes <= width)) if width > 2 else np.flatnonzero((sizes > 0) & (sizes <= 2))
+        for least, width in pairwise(WIDTHS):
+            bucket = np.flatnonzero((sizes > least) & (sizes <= width))
             for part in np.split(bucket, range(CELLS // width, len(bucket), CELLS // width)):
                 raw = np.frombuffer(b"".join([pretokens[i] for i in part.tolist()]), np.uint8)
                 matrix = np.full((len(part), width), -1, np.int32)
                 matrix[np.arange(width) < sizes[part][:, None]] = self.byte_ids[raw]
                 for i, ids in zip(part.tolist(), self.merge_rows(matrix), strict=True):
                     out[i] = ids
-            width *= 2
         return out
 
-    def units(self, text: str) -> list[str]:
-        """Parts of a text that no pre-token reaches across: cut before single blanks, else pre-tokens themselves."""
-        if self.spaces(text):
-            return self.pretokens(text)
-        first, *rest = text.split(" ")
-        return [*([first] if first else []), *[" " + x for x in rest]]
+    def learn(self, units: list[str]) -> None:
+        """Remembers the ids of units: a blank and what follows by what follows, others by themselves."""
+        # A blank and letters are one pre-token; others are cut, and their parts are often known by themselves.
+        mixed = [unit for unit in units if not unit[1:].isalpha() or unit[0] != " "]
+        pieces = [[unit[:-1], unit[-1]] if unit[-1] in MARKS and unit[0] == " " and unit[1:-1].isalpha() else self.pretokens(unit) for unit in mixed]
+        parts = [p for p in {*units, *chain.from_iterable(pieces)}.difference(mixed) if not self.has(p)]
+        parts += [unit for unit, own in zip(mixed, pieces, strict=True) if len(own) == 1]
+        found = dict(zip(parts, self.merge([p.encode("utf-8", "surrogatepass") for p in parts]), strict=True))
+        self.after_blank.update((p[1:], ids) for p, ids in found.items() if p[0] == " ")
+        self.known.update((p, ids) for p, ids in found.items() if p[0] != " ")
+        for unit, own in zip(mixed, pieces, strict=True):
+            if len(own) > 1:
+                ids = b"".join(map(self.ids, own))
+                if unit[0] == " ":
+                    self.after_blank[unit[1:]] = ids
+                else:
+                    self.known[unit] = ids
+
+    def has(self, unit: str) -> bool:
+        return unit[1:] in self.after_blank if unit[0] == " " else unit in self.known
+
+    def ids(self, unit: str) -> bytes:
+        return self.after_blank[unit[1:]] if unit[0] == " " else self.known[unit]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids (int32) of texts."""
-        cut = [self.units(t) for t in texts]
-        if len(self.known) > REMEMBER:
+        """Ids (int32) of texts.
+
+        A text is cut before each blank that follows no white space, as no pre-token reaches across; other
+        texts are cut into pre-tokens. Units that a worker doesn't remember are encoded together.
+        """
+        if len(self.known) + len(self.after_blank) > REMEMBER:
             self.known.clear()
-        new = list(set(chain.from_iterable(cut)).difference(self.known))
-        pieces = list(map(self.pretokens, new))
-        distinct = list(set(chain.from_iterable(pieces)))
-        ids = dict(zip(distinct, self.merge([p.encode("utf-8", "surrogatepass") for p in distinct]), strict=True))
-        self.known.update(zip(new, [b"".join(map(ids.__getitem__, p)) for p in pieces], strict=True))
-        return [b"".join(map(self.known.__getitem__, units)) for units in cut]
+            self.after_blank.clear()
+        heads, tails = [], []
+        for text in texts:
+            if self.spaces(text):
+                heads.append(self.pretokens(text))
+                tails.append([])
+            else:
+                first, *rest = text.split(" ")
+                heads.append([first] if first else [])
+                tails.append(rest)
+        new = {unit for unit in chain.from_iterable(heads) if not self.has(unit)}
+        new.update(" " + x for x in set(filterfalse(self.after_blank.__contains__, chain.from_iterable(tails))))
+        self.learn(list(new))
+        return [b"".join([*map(self.ids, head), *map(self.after_blank.__getitem__, tail)]) for head, tail in zip(heads, tails, strict=True)]
 
     def decode(self, ids: list[int]) -> bytes:
         if ids and not (min(ids) >= 0 and max(ids) < len(self.tokens) and all(self.tokens[i] is not None for i in set(ids))):
