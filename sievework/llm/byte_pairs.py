@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from sievework.llm.token_counts import SPACE
 
 #: Units of text whose ids a worker remembers.
-REMEMBER = 500_000
+REMEMBER = 300_000
 #: Cells of one matrix.
 CELLS = 1 << 18
 #: After letters each of these is a pre-token by itself.
@@ -28,7 +28,7 @@ WIDTHS = (0, 4, 6, 8, 10, 12, 14, 16, 20, 24, 32, 48, 64, 128, 256, 512, 1024)
 #: Pre-tokens of more bytes are merged one by one from a heap, as a round for each merge would cost the square of their length.
 LONG = WIDTHS[-1]
 #: Characters of text (or ids) in one batch that a worker returns.
-SLICE = 1 << 22
+SLICE = 1 << 20
 NONE = np.iinfo(np.int32).max
 
 
