@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sievework.operators.scratch import cut
+
 
 def add_links(links: DataFrame, new: DataFrame) -> DataFrame:
     """A set of links with new ones; those it has already change nothing."""
@@ -45,17 +47,27 @@ def new_ids(rows: DataFrame, key: str, salt: str) -> DataFrame:
     return rows.select(F.col(key).alias("old"), F.sha2(F.concat_ws(":", F.lit(salt), F.col(key).cast("string")), 256).alias("new"))
 
 
-def hierarchy(nodes: DataFrame, key: str, parent: str, name: str, depth: int = 32) -> DataFrame:
-    """(key, root, level, path) of a tree, level by level."""
-    level = nodes.where(F.col(parent).isNull()).select(F.col(key), F.col(key).alias("root"), F.lit(0).alias("level"), F.col(name).cast("string").alias("path"))
-    out = level
-    for i in range(1, depth):
-        up = level.select(F.col(key).alias("__p"), "root", F.col("path").alias("__path"))
-        level = nodes.join(up, F.col(parent) == F.col("__p")).select(key, "root", F.lit(i).alias("level"), F.concat_ws("/", "__path", F.col(name).cast("string")).alias("path"))
-        if level.isEmpty():
-            break
-        out = out.unionByName(level)
-    return out
+def hierarchy(nodes: DataFrame, key: str, parent: str, name: str) -> DataFrame:
+    """(key, root, level, path) of every node of a forest, whatever its depth.
+
+    Pointer doubling: each node holds the stretch from some ancestor down to itself, and a round puts the
+    ancestor's own stretch before it, so a chain of n nodes takes log2(n) rounds, each with its lineage cut.
+    A loop fails. Nodes whose parent is not there, or below such a node, are left out. A null name
+    is left out of the path; keys must differ.
+    """
+    level = F.lit(0).cast("long").alias("level")
+    held = cut(nodes.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(key).alias("root"), F.col(parent).alias("up"), level, F.col(name).cast("string").alias("path")))
+    open_, rounds = held.where("up IS NOT NULL").count(), 0
+    most = held.count().bit_length() + 1
+    while open_:
+        if rounds > most:
+            loop = held.where("up IS NOT NULL").select("k").first()[0]
+            raise ValueError(f"a loop of parents at or above {loop}")
+        above = held.select(F.col("k").alias("up"), F.col("root").alias("r"), F.col("up").alias("u"), F.col("level").alias("l"), F.col("path").alias("p"))
+        grown = held.where("up IS NOT NULL").join(above, "up").select("k", F.col("r").alias("root"), F.col("u").alias("up"), (F.col("level") + F.col("l") + 1).alias("level"), F.concat_ws("/", "p", "path").alias("path"))
+        held = cut(held.where("up IS NULL").unionByName(grown))
+        open_, rounds = held.where("up IS NOT NULL").count(), rounds + 1
+    return held.select(F.col("k").alias(key), "root", F.col("level").cast("int").alias("level"), "path")
 
 
 def rename_tag(tags: DataFrame, old: str, new: str, name: str = "name") -> DataFrame:
@@ -183,6 +195,27 @@ def put_default(defaults: DataFrame, collection, space) -> DataFrame:
     return rest if space is None else rest.unionByName(defaults.sparkSession.createDataFrame([(collection, space)], defaults.schema))
 
 
+def add_images(wanted: DataFrame, files: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(images, outcomes) of adding the files at the `wanted` paths to those `known`.
+
+    wanted and known: path; files: path, width, height of what is there (see `readers.read_images`), null
+    for what is no whole image. images: path, file_name, width, height of the new ones, each once. outcomes:
+    (path, outcome, n), n the number of times that a path was wanted with that outcome: ALREADY_PRESENT
+    for known paths and for repeats of one that was added, MISSING, BROKEN, ADDED. A null path is missing.
+    """
+    asked = wanted.groupBy("path").agg(F.count("*").alias("n"))
+    there = files.groupBy("path").agg(F.max("width").alias("width"), F.max("height").alias("height"), F.lit(True).alias("there"))
+    seen = known.select("path").distinct().withColumn("seen", F.lit(True))
+    joined = asked.join(there, "path", "left").join(seen, "path", "left")
+    one = lambda outcome, n: F.struct(F.lit(outcome).alias("outcome"), n.alias("n"))
+    again = F.when(F.col("n") > 1, F.array(one("ALREADY_PRESENT", F.col("n") - 1)))
+    fresh = F.concat(F.array(one("ADDED", F.lit(1).cast("long"))), F.coalesce(again, F.array().cast("array<struct<outcome:string,n:bigint>>")))
+    found = F.when(F.col("seen"), F.array(one("ALREADY_PRESENT", F.col("n")))).when(F.col("there").isNull(), F.array(one("MISSING", F.col("n")))).when(F.col("width").isNull(), F.array(one("BROKEN", F.col("n")))).otherwise(fresh)
+    told = joined.withColumn("o", F.explode(found)).select("path", "width", "height", "o.outcome", "o.n")
+    images = told.where("outcome = 'ADDED'").select("path", F.substring_index("path", "/", -1).alias("file_name"), "width", "height")
+    return images, told.select("path", "outcome", "n")
+
+
 def outcomes(files: DataFrame, known: DataFrame, path: str, readable: Column, exists: Column) -> DataFrame:
     """`files` with outcome: ALREADY_PRESENT, MISSING, BROKEN or ADDED; a path met twice is added once."""
     from pyspark.sql import Window
@@ -195,8 +228,8 @@ def outcomes(files: DataFrame, known: DataFrame, path: str, readable: Column, ex
 
 
 def outcome_report(found: DataFrame) -> DataFrame:
-    """(outcome, n); fails where files were given and every one was missing or broken."""
-    counts = found.groupBy("outcome").agg(F.count("*").alias("n"))
+    """(outcome, n) of rows with an outcome, each counted once or as often as its n says; fails where files were given and every one was missing or broken."""
+    counts = found.groupBy("outcome").agg((F.sum("n") if "n" in found.columns else F.count("*")).alias("n"))
     total = counts.agg(F.sum("n").alias("t"), F.sum(F.when(F.col("outcome").isin("MISSING", "BROKEN"), F.col("n")).otherwise(0)).alias("bad"))
     n = F.when(F.col("t") == F.col("bad"), F.raise_error(F.lit("no file could be read")).cast("long")).otherwise(F.col("n"))
     return counts.join(F.broadcast(total)).select("outcome", n.alias("n"))  # total: one row

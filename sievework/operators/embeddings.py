@@ -7,7 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.functions.vectors import cosine
+from sievework.functions.vectors import cosine, norm
+from sievework.operators.cells import neighbours
 
 
 def top_k(vectors: DataFrame, query: list[float], k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -41,26 +42,30 @@ def _meet(rows: DataFrame, queries: DataFrame, key: str, vector: str, block: int
 def search(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", block: int = 4_096) -> DataFrame:
     """(query_id, key, similarity) of the k nearest of every query by cosine, ties by key; vectors without length are left out.
 
-    Exact: each task keeps the k best of its block for every query, and one ranking merges the blocks.
+    Exact: vectors are brought to unit length, so their distances order as their cosines, and blocks of
+    queries meet the cells that can hold one of their k nearest (see `cells.neighbours`). Null keys and
+    vectors are left out; a similarity counts to nine decimals.
     """
-    from pyspark.sql import Window
+    def unit(rows: DataFrame) -> DataFrame:
+        held = rows.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).alias("k"), F.col(vector).alias("v"))
+        length = norm(F.col("v"))
+        return held.where(length > 0).select("k", F.transform("v", lambda x: x.cast("double") / length).alias("v"))
 
+    lists = neighbours(unit(vectors), unit(queries), k, block, cosine=True).lists.select("k", F.explode("near").alias("n"))
+    return lists.select(F.col("k").alias("query_id"), F.col("n.o").alias(key), F.round(1 - F.col("n.d"), 9).alias("similarity"))
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, key: str, vector: str, block: int = 4_096) -> DataFrame:
+    """(k, d): the Euclidean distance of each vector to the nearest of the queries; without queries no row."""
     kind = vectors.schema[key].dataType.simpleString()
 
     def pair(ka, x, kb, q):
-        size, long = np.linalg.norm(x, axis=1), np.linalg.norm(q, axis=1)
-        held = np.flatnonzero(size > 0)
-        ka, x, size = ka[held], x[held], size[held]
-        out = []
-        for i in np.flatnonzero(long > 0):
-            near = np.round((x @ q[i]) / (size * long[i]), 9)
-            best = np.lexsort((ka, -near))[:k]
-            out.append(pd.DataFrame({"q": kb[i], "k": ka[best], "c": near[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"q": kb[:0], "k": ka[:0], "c": np.empty(0)})
+        best = np.full(len(x), np.inf)
+        for row in q:
+            best = np.minimum(best, np.sqrt(((x - row) ** 2).sum(axis=1)))
+        return pd.DataFrame({"k": ka, "d": best})
 
-    near = _meet(vectors, queries, key, vector, block, pair, f"q {kind}, k {kind}, c double")
-    place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("c"), "k"))
-    return near.withColumn("r", place).where(F.col("r") <= k).select(F.col("q").alias("query_id"), F.col("k").alias(key), F.col("c").alias("similarity"))
+    return _meet(vectors, queries, key, vector, block, pair, f"k {kind}, d double").groupBy("k").agg(F.min("d").alias("d"))
 
 
 def similarity_to(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", block: int = 4_096) -> DataFrame:
@@ -71,15 +76,7 @@ def similarity_to(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", v
     """
     if queries.limit(1).isEmpty():
         raise ValueError("no query vectors")
-    kind = vectors.schema[key].dataType.simpleString()
-
-    def pair(ka, x, kb, q):
-        best = np.full(len(x), np.inf)
-        for row in q:
-            best = np.minimum(best, np.sqrt(((x - row) ** 2).sum(axis=1)))
-        return pd.DataFrame({"k": ka, "d": best})
-
-    near = _meet(vectors, queries, key, vector, block, pair, f"k {kind}, d double").groupBy("k").agg(F.min("d").alias("d"))
+    near = nearest(vectors, queries, key, vector, block)
     mean = near.agg(F.avg("d").alias("m"))
     score = F.when(F.col("m") > 0, F.exp(-F.col("d") / F.col("m"))).otherwise(1.0)
     return near.join(F.broadcast(mean)).select(F.col("k").alias(key), score.alias("similarity"))  # mean: one row
@@ -88,34 +85,15 @@ def similarity_to(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", v
 def typicality(vectors: DataFrame, k: int = 20, key: str = "vec_id", vector: str = "embedding", block: int = 4_096) -> DataFrame:
     """(key, typicality): mean of exp(-d / D) over the k nearest others, D the mean of all those distances.
 
-    Exact search in blocks: every block of rows meets every block of vectors in one task, which keeps
-    the k nearest of each row; an aggregation merges the blocks' lists. Costs n * n / block rows of
-    shuffle, so it suits collections up to some millions.
+    Exact: a block of vectors meets only the cells around pivots that can hold a nearer one, see
+    `cells.neighbours`. Keys of any type that has an order; null keys and vectors are left out, a single vector has no typicality.
     """
-    n = vectors.count()
-    parts, k = max(1, -(-n // block)), min(k, n - 1)
-    rows = vectors.select(F.col(key).cast("long").alias("k"), F.col(vector).alias("v"), F.pmod(F.xxhash64(key), F.lit(parts)).cast("int").alias("b"))
-    left = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    right = rows.withColumnRenamed("b", "o").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-
-    def nearest(_, a, b):
-        if not len(a) or not len(b) or k < 1:
-            return pd.DataFrame({"k": [], "d": []}).astype({"k": "int64", "d": object})
-        x, y, kb = _blocks(a, "v"), _blocks(b, "v"), b["k"].to_numpy()
-        out = []
-        for i in range(0, len(x), 256):
-            square = (x[i : i + 256] ** 2).sum(1)[:, None] + (y**2).sum(1) - 2 * x[i : i + 256] @ y.T
-            d = np.sqrt(np.maximum(square, 0))
-            d[a["k"].to_numpy()[i : i + 256, None] == kb[None]] = np.inf
-            out += [row[np.isfinite(row)].tolist() for row in np.sort(d, axis=1)[:, :k]]
-        return pd.DataFrame({"k": a["k"], "d": out})
-
-    lists = left.groupBy("b", "o").cogroup(right.groupBy("b", "o")).applyInPandas(nearest, "k long, d array<double>")
-    merged = lists.groupBy("k").agg(F.slice(F.sort_array(F.flatten(F.collect_list("d"))), 1, max(k, 1)).alias("d"))
-    scale = merged.select(F.explode("d").alias("d")).agg(F.avg("d").alias("m"))
+    rows = vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"))
+    lists = neighbours(rows, None, min(k, rows.count() - 1), block).lists.select("k", F.transform("near", lambda n: n["d"]).alias("d"))
+    scale = lists.select(F.explode("d").alias("d")).agg(F.avg("d").alias("m"))
     weight = F.transform("d", lambda x: F.when(F.col("m") > 0, F.exp(-x / F.col("m"))).otherwise(1.0))
     mean = F.aggregate(weight, F.lit(0.0), lambda s, x: s + x) / F.size("d")
-    return merged.join(F.broadcast(scale)).select(F.col("k").alias(key), mean.alias("typicality"))  # scale: one row
+    return lists.join(F.broadcast(scale)).select(F.col("k").alias(key), mean.alias("typicality"))  # scale: one row
 
 
 def project(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievework.functions.vectors import box_iou
+from sievework.operators.scratch import cut
+
+#: Boxes of a side that are matched in arrays.
+GROUP = 256
+BOX = ["x", "y", "width", "height"]
 #: How the margins of a confusion matrix are called.
 NO_TRUTH, NO_PREDICTION = "(no ground truth)", "(no prediction)"
 
@@ -16,43 +20,107 @@ def match_boxes(truth: DataFrame, predicted: DataFrame, threshold: float = 0.5,
 
     Both inputs: sample, id, label, x, y, width, height; `predicted` also confidence. Predictions go
     by confidence, highest first (null as 0), then by id; each takes the free box of highest IoU of at
-    least `threshold`, the lowest id on ties. What stays free has a row with one null side and null iou.
-    One sample's boxes are one group; samples are spread over tasks.
+    least `threshold` (above 0), the lowest id on ties. What stays free has a row with one null side and null iou.
+    Boxes of a null sample (or, by class, label) match none.
+
+    Groups of up to GROUP boxes a side are matched in arrays. Larger ones are never listed: boxes meet over a
+    grid, and rounds fix the pairs that are each other's best. Where most boxes of a large sample
+    lie on top of each other, the overlapping pairs grow with their square.
     """
+    if not 0 < threshold <= 1:
+        raise ValueError("a threshold is above 0 and at most 1")
     keys = ["sample", "label"] if by_class else ["sample"]
-
-    def listed(rows: DataFrame, name: str, *more: str) -> DataFrame:
-        return rows.groupBy(*keys).agg(F.collect_list(F.struct("id", "x", "y", "width", "height", *more)).alias(name))
-
-    def pair(gt: list, pred: list) -> list[tuple]:
-        gt = sorted(gt, key=lambda r: r["id"])
-        boxes = np.array([(r["x"], r["y"], r["x"] + r["width"], r["y"] + r["height"]) for r in gt], np.float64).reshape(-1, 4)
-        areas, free = (boxes[:, 2] - boxes[:, 0]) * (boxes[:, 3] - boxes[:, 1]), np.ones(len(gt), bool)
-        out = []
-        for p in sorted(pred, key=lambda r: (-(r["confidence"] or 0.0), r["id"])):
-            # One prediction against all boxes at a time, so a sample's memory grows with its boxes alone.
-            w = np.minimum(boxes[:, 2], p["x"] + p["width"]) - np.maximum(boxes[:, 0], p["x"])
-            h = np.minimum(boxes[:, 3], p["y"] + p["height"]) - np.maximum(boxes[:, 1], p["y"])
-            shared = np.maximum(w, 0) * np.maximum(h, 0)
-            union = areas + p["width"] * p["height"] - shared
-            iou = np.where(free, np.divide(shared, union, out=np.zeros(len(gt)), where=union > 0), -1.0)
-            at = int(iou.argmax()) if len(gt) else -1
-            if at >= 0 and free[at] and iou[at] >= threshold:
-                free[at] = False
-                out.append((gt[at]["id"], p["id"], float(iou[at])))
-            else:
-                out.append((None, p["id"], None))
-        return out + [(g["id"], None, None) for g, f in zip(gt, free, strict=True) if f]
-
-    def run(batches):
-        for b in batches:
-            some = lambda v: [] if v is None else v
-            rows = [(k, *r) for k, gt, pred in zip(b["sample"], b["gt"], b["pred"], strict=True) for r in pair(some(gt), some(pred))]
-            yield pd.DataFrame(rows, columns=["sample", "gt_id", "pred_id", "iou"], dtype=object)
-
-    kind, ids = truth.schema["sample"].dataType.simpleString(), truth.schema["id"].dataType.simpleString()
-    both = listed(truth, "gt").join(listed(predicted, "pred", "confidence"), keys, "full").select("sample", "gt", "pred")
-    return both.mapInPandas(run, f"sample {kind}, gt_id {ids}, pred_id {ids}, iou double")
+    placed = F.lit(True)
+    for c in keys:
+        placed = placed & F.col(c).isNotNull()
+    gt, pred = truth.select(*keys, "id", *BOX), predicted.select(*keys, "id", *BOX, F.coalesce(F.col("confidence").cast("double"), F.lit(0.0)).alias("confidence"))
+    alone = gt.where(~placed).select("sample", F.col("id").alias("gt_id"), F.lit(None).cast(pred.schema["id"].dataType).alias("pred_id"), F.lit(None).cast("double").alias("iou"))
+    alone = alone.unionByName(pred.where(~placed).select("sample", F.lit(None).cast(gt.schema["id"].dataType).alias("gt_id"), F.col("id").alias("pred_id"), F.lit(None).cast("double").alias("iou")))
+    gt, pred = gt.where(placed), pred.where(placed)
+    sides = gt.select(*keys, F.lit(1).alias("g"), F.lit(0).alias("p")).unionByName(pred.select(*keys, F.lit(0).alias("g"), F.lit(1).alias("p")))
+    large = cut(sides.groupBy(*keys).agg(F.sum("g").alias("g"), F.sum("p").alias("p")).where((F.col("g") > GROUP) | (F.col("p") > GROUP)).select(*keys))
+    if large.isEmpty():
+        return _match_lists(gt, pred, keys, threshold).unionByName(alone)
+    small = lambda rows: rows.join(large, keys, "left_anti")
+    own = lambda rows: rows.join(large, keys, "left_semi")
+    return _match_lists(small(gt), small(pred), keys, threshold).unionByName(_match_rounds(own(gt), own(pred), keys, threshold)).unionByName(alone)
+
+
+def _match_lists(gt: DataFrame, pred: DataFrame, keys: list[str], threshold: float) -> DataFrame:
+    """The greedy match of groups that fit an array: predictions in their order, each against the boxes that are free."""
+    boxes = gt.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("id", *BOX))).alias("gt"))
+    asked = pred.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct((-F.col("confidence")).alias("order"), "id", *BOX))).alias("pred"))
+    ids, others = gt.schema["id"].dataType.simpleString(), pred.schema["id"].dataType.simpleString()
+    pairs = f"array<struct<gt_id:{ids},pred_id:{others},iou:double>>"
+    row = lambda g, p, iou: F.array(F.struct(g.cast(ids).alias("gt_id"), p.cast(others).alias("pred_id"), iou.cast("double").alias("iou")))
+    none = F.lit(None)
+
+    def step(state, p):
+        score = F.transform(state["free"], lambda g, i: F.struct((-box_iou(g, p)).alias("s"), i.alias("i"), g["id"].alias("id")))
+        best = F.array_min(F.filter(score, lambda c: c["s"] <= -threshold))
+        hit = best.isNotNull()
+        free = F.when(hit, F.filter(state["free"], lambda g, i: i != best["i"])).otherwise(state["free"])
+        return F.struct(free.alias("free"), F.concat(state["out"], F.when(hit, row(best["id"], p["id"], -best["s"])).otherwise(row(none, p["id"], none))).alias("out"))
+
+    both = boxes.join(asked, keys, "full")
+    start = F.struct(F.coalesce("gt", F.array()).alias("free"), F.array().cast(pairs).alias("out"))
+    done = F.aggregate(F.coalesce("pred", F.array()), start, step, lambda s: F.concat(s["out"], F.flatten(F.transform(s["free"], lambda g: row(g["id"], none, none)))))
+    return both.select("sample", F.explode(done).alias("m")).select("sample", "m.gt_id", "m.pred_id", "m.iou")
+
+
+def _cells(rows: DataFrame, threshold: float, spread: bool) -> DataFrame:
+    """Rows with the cells of a grid, whose sizes follow the boxes' own sides (`level` x, y), that they must meet in.
+
+    Two boxes of an IoU of at least t have sides that differ by a factor of at most 1 / t, and centres at most
+    (1 - t) / t of either side apart. A box stands in the cell of its own size (by powers of two) that holds its
+    centre; with `spread` it stands in all cells, of all sizes, that a partner's centre can lie in.
+    """
+    import math
+
+    level = lambda side: F.floor(F.log2(F.greatest(F.col(side).cast("double"), F.lit(1e-9))))
+    centre = lambda at, side: F.col(at) + F.col(side) / 2
+    made = rows
+    for at, side in (("x", "width"), ("y", "height")):
+        if not spread:
+            made = made.withColumn(f"level_{at}", level(side)).withColumn(f"cell_{at}", F.floor(centre(at, side) / F.pow(F.lit(2.0), F.col(f"level_{at}"))))
+            continue
+        steps = math.ceil(math.log2(1 / threshold)) + 1
+        made = made.withColumn(f"level_{at}", F.explode(F.sequence(level(side) - steps, level(side) + steps)))
+        reach, size = F.col(side) * ((1 - threshold) / threshold) * (1 + 1e-9) + 1e-9, F.pow(F.lit(2.0), F.col(f"level_{at}"))
+        made = made.withColumn(f"cell_{at}", F.explode(F.sequence(F.floor((centre(at, side) - reach) / size), F.floor((centre(at, side) + reach) / size))))
+    return made
+
+
+def _match_rounds(gt: DataFrame, pred: DataFrame, keys: list[str], threshold: float) -> DataFrame:
+    """The greedy match of groups of any size, by rounds over the pairs of boxes that overlap enough.
+
+    A round fixes each pair of which the prediction comes first of all that still overlap the box, and the
+    box is the prediction's best that is left; what touches a fixed pair goes. The first prediction left
+    is always in such a pair, so rounds end, and the result is that of the greedy order.
+    """
+    ids, others = gt.schema["id"].dataType, pred.schema["id"].dataType
+    copies = lambda rows: rows.groupBy(*rows.columns).agg(F.count("*").alias("n")).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).drop("n")  # noqa: E731  repeated rows are boxes each
+    gt, pred = cut(copies(gt).withColumn("g", F.struct("id", *BOX, "copy"))), cut(copies(pred).withColumn("p", F.struct((-F.col("confidence")).alias("order"), "id", *BOX, "copy")))
+    grid = [*keys, "level_x", "level_y", "cell_x", "cell_y"]
+    met = _cells(gt, threshold, True).select(*grid, "g").join(_cells(pred, threshold, False).select(*grid, "p"), grid)
+    pairs = cut(met.withColumn("iou", box_iou(F.col("g"), F.col("p"))).where(F.col("iou") >= threshold).select(*keys, "g", "p", "iou"))
+    fixed = None
+    while not pairs.isEmpty():
+        first = pairs.withColumns({
+            "best": F.row_number().over(Window.partitionBy(*keys, "p").orderBy(F.desc("iou"), "g")),
+            "turn": F.row_number().over(Window.partitionBy(*keys, "g").orderBy("p")),
+        }).where("best = 1 AND turn = 1").select(*keys, "g", "p", "iou")
+        first = cut(first)
+        fixed = first if fixed is None else fixed.unionByName(first)
+        pairs = cut(pairs.join(first.select(*keys, "g"), [*keys, "g"], "left_anti").join(first.select(*keys, "p"), [*keys, "p"], "left_anti"))
+    side = lambda name, kind: F.col(f"{name}.id").cast(kind)
+    null = lambda kind: F.lit(None).cast(kind)
+    if fixed is None:
+        return gt.select("sample", side("g", ids).alias("gt_id"), null(others).alias("pred_id"), null("double").alias("iou")).unionByName(pred.select("sample", null(ids).alias("gt_id"), side("p", others).alias("pred_id"), null("double").alias("iou")))
+    fixed = cut(fixed)
+    left = gt.join(fixed.select(*keys, "g"), [*keys, "g"], "left_anti").select("sample", side("g", ids).alias("gt_id"), null(others).alias("pred_id"), null("double").alias("iou"))
+    right = pred.join(fixed.select(*keys, "p"), [*keys, "p"], "left_anti").select("sample", null(ids).alias("gt_id"), side("p", others).alias("pred_id"), null("double").alias("iou"))
+    return fixed.select("sample", side("g", ids).alias("gt_id"), side("p", others).alias("pred_id"), "iou").unionByName(left).unionByName(right)
 
 
 def sample_counts(pairs: DataFrame) -> DataFrame:
@@ -167,8 +235,6 @@ def mask_iou(truth: DataFrame, predicted: DataFrame) -> DataFrame:
         ones = runs.where("i % 2 = 1 AND run > 0").select("sample", "label", start.alias("a"), (start + F.col("run")).alias("b"))
         return ones.select("sample", "label", F.explode(F.array(F.struct(F.col("a").alias("at"), F.lit(1).alias("d")), F.struct(F.col("b").alias("at"), F.lit(-1).alias("d")))).alias("e")).select("sample", "label", "e.at", F.lit(side).alias("side"), "e.d")
 
-    from pyspark.sql import Window
-
     events = spans(truth, "g").unionByName(spans(predicted, "p"))
     delta = lambda s: F.sum(F.when(F.col("side") == s, F.col("d")).otherwise(0))
     steps = events.groupBy("sample", "label", "at").agg(delta("g").alias("g"), delta("p").alias("p"))

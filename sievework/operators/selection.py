@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from sievework.functions.vectors import distance
 from sievework.operators.catalog import add_links
+from sievework.operators.embeddings import nearest
 from sievework.operators.ordering import chunks
 from sievework.operators.scratch import cut
+from sievework.sources.writers import number_rows
 
 #: Candidates that a round of the greedy search takes to the driver, and different class counts it may hold.
 BATCH, MOST_COUNTS = 64, 100_000
@@ -55,21 +57,24 @@ def diverse(rows: DataFrame, n: int, key: str, vector: str, least: float | None
     """(key, step): greedy farthest-first choice; with nothing chosen before, the least key is first; ties by key.
 
     With `least`, it stops when no row is that far from all chosen ones, so near-duplicates stay out.
-    `chosen` (keys) count as chosen before and are not returned; n is cut to what is there. With
-    `weights`, a row's value is its summed weight plus `strength` times its distance, divided by the
+    `chosen` (keys) count as chosen before and are not returned; n is cut to what is there. Rows with a null
+    key or vector cannot be chosen and are left out, also of what was chosen before. With `weights`, a row's value is its summed weight plus `strength` times its distance, divided by the
     largest distance from the first choice.
 
     The search is exact but takes many steps per pass: a pass brings the BATCH best rows to the driver,
     and as values only fall, the best of these is the best of all while it is above the first one left
     behind. Each pass then updates every row's distance once for all new choices.
     """
+    rows = rows.where(F.col(key).isNotNull() & F.col(vector).isNotNull())
+    if chosen is not None:
+        chosen = chosen.join(rows.select(key), key, "left_semi")
     rest, before, available = _split(rows, key, chosen)
     n = min(n, available)
     scored = _scored(rest, weights or [])
     state = scored.select(key, F.col(vector).cast("array<double>").alias("__v"), F.col("score").alias("__s"), F.lit(None).cast("double").alias("__d"))
     if before is not None:
-        for part in _parts(before.select(vector).toLocalIterator()):
-            state = _nearer(state, part)
+        near = nearest(rest, before, key, vector).select(F.col("k").alias(key), F.col("d").alias("__n"))
+        state = cut(state.join(near, key, "left").withColumn("__d", F.least("__d", "__n")).drop("__n"))
     out: list = []
     scale: float | None = None
     while len(out) < n:
@@ -109,17 +114,6 @@ def diverse(rows: DataFrame, n: int, key: str, vector: str, least: float | None
     return rows.sparkSession.createDataFrame(out, f"{key} {kind}, step int")
 
 
-def _parts(vectors, size: int = 256):
-    held: list = []
-    for r in vectors:
-        held.append([float(x) for x in r[0]])
-        if len(held) == size:
-            yield held
-            held = []
-    if held:
-        yield held
-
-
 def _nearer(state: DataFrame, vectors: list) -> DataFrame:
     """`state` with each row's distance lowered to the nearest of a few vectors."""
     near = F.array_min(F.transform(F.lit(vectors) if vectors else F.array(), lambda p: distance(F.col("__v"), p)))
@@ -147,7 +141,7 @@ def class_targets(rows: DataFrame, labels: str, target) -> dict:
 def balanced(rows: DataFrame, n: int, key: str, target, labels: str = "labels", chosen: DataFrame | None = None) -> DataFrame:
     """(key, step): each step takes a row that brings the summed class counts nearest to the target shares.
 
-    `labels`: array of a row's class names, repeated as often as it has them. target: see
+    `labels`: array of a row's class names, repeated as often as it has them (null: none). target: see
     `class_targets`; shares may sum to less than one, the rest goes to all other classes. Nearness is the
     Euclidean distance of the shares. Rows with the same class counts are alike, so the search runs
     over the different counts (at most MOST_COUNTS of them) and one join takes the rows, least keys
@@ -161,6 +155,7 @@ def balanced(rows: DataFrame, n: int, key: str, target, labels: str = "labels",
     held_of = lambda c: F.size(F.filter(labels, lambda x: x == F.lit(c)))
     counts = [held_of(c) for c in names]
     vector = F.array(*counts, F.size(labels) - sum(counts, F.lit(0))).cast("array<double>")
+    vector = F.when(F.col(labels).isNull(), F.array_repeat(F.lit(0.0), len(names) + 1)).otherwise(vector)
     held = rest.select(key, vector.alias("c"))
     kinds = held.groupBy("c").agg(F.count("*").alias("n"), F.min(key).alias("least")).orderBy("least").limit(MOST_COUNTS + 1).collect()
     if len(kinds) > MOST_COUNTS:
@@ -210,8 +205,8 @@ def select(rows: DataFrame, n: int, key: str, how: Strategy, chosen: DataFrame |
         raise ValueError("a strategy has weights, a vector or a balance")
     rest, _, available = _split(rows, key, chosen)
     best = weighted(rest, min(n, available), how.weights, key)
-    ranked = best.agg(F.array_sort(F.collect_list(F.struct((-F.coalesce("score", F.lit(float("-inf")))).alias("s"), key))).alias("a"))  # n rows, which were asked for
-    return ranked.select(F.posexplode("a").alias("step", "e")).select(F.col(f"e.{key}").alias(key), "step")
+    placed = number_rows(best.select(key, (-F.coalesce("score", F.lit(float("-inf")))).alias("__s")), ["__s", key], "step")
+    return placed.select(key, F.col("step").cast("int").alias("step"))
 
 
 def tag_result(links: DataFrame, picked: DataFrame, key: str, tag: str) -> DataFrame:
@@ -245,8 +240,11 @@ def sequences(frames: DataFrame, n: int, length: int, key: str, video: str, orde
     for part, before in parts:
         named = part.withColumn("__b", F.lit(before))
         held = named if held is None else held.unionByName(named)
-    named = F.concat_ws("/", F.lpad(F.col(video).cast("string"), 24, "0"), F.lpad(F.col("chunk").cast("string"), 12, "0"), F.col("__b").cast("string"))
-    held = held.withColumn("__id", named)  # in the order of videos and their frames
+    # In the order of videos and their frames; what follows the video has a fixed width, so no two sequences share a name.
+    name = F.col(video).cast("string")
+    if frames.schema[video].dataType.typeName() in ("byte", "short", "integer", "long"):
+        name = F.concat(F.when(F.col(video) < 0, "-").otherwise("0"), F.lpad(F.regexp_replace(name, "-", ""), 20, "0"))
+    held = held.withColumn("__id", F.concat(name, F.lit("\u0001"), F.lpad(F.col("chunk").cast("string"), 12, "0"), F.col("__b").cast("string")))
     proxies = mean_vectors(held, ["__id", "__b"], vector)
     old = proxies.where("__b = 1").select("__id") if chosen is not None else None
     picked = diverse(proxies, n // length, "__id", vector, chosen=old)

@@ -2,21 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievework.functions.images import header
+
 #: Extensions of files that count as images.
 IMAGE_EXTENSIONS = ("png", "jpg", "jpeg", "gif", "webp", "bmp", "tif", "tiff")
 _DETECTION = "images array<struct<id:long,file_name:string,width:int,height:int>>, categories array<struct<id:long,name:string>>, annotations array<struct<id:long,image_id:long,category_id:long,bbox:array<double>,caption:string,segmentation:struct<size:array<int>,counts:array<long>>>>"
 
 
-def list_files(spark: SparkSession, root: str | list[str], extensions: tuple[str, ...] = IMAGE_EXTENSIONS) -> DataFrame:
-    """(path, length) of the files below `root` (a folder, a file, a glob or several) with one of the extensions, each once, without reading them."""
+def list_files(spark: SparkSession, root: str | list[str], extensions: tuple[str, ...] = IMAGE_EXTENSIONS, limit: int | None = None) -> DataFrame:
+    """(path, length) of the files below `root` (a folder, a file, a glob or several) with one of the extensions, each once, without reading them.
+
+    `limit`: at most so many, in the order of their paths.
+    """
+    found = _files(spark, root, extensions).select("path", "length").dropDuplicates(["path"])
+    return found if limit is None else found.orderBy("path").limit(limit)
+
+
+def _files(spark: SparkSession, root: str | list[str], extensions: tuple[str, ...]) -> DataFrame:
     roots = [root] if isinstance(root, str) else list(root)  # folders, files or glob patterns
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(roots).select("path", "length").dropDuplicates(["path"])
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(roots)
     return found.where(F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)).isin(*extensions))
 
 
+def plain_path(path: Column) -> Column:
+    """A local path without its scheme; paths of other stores as they are."""
+    return F.regexp_replace(path, "^file:/+", "/")
+
+
+def read_images(spark: SparkSession, root: str | list[str], extensions: tuple[str, ...] = IMAGE_EXTENSIONS) -> DataFrame:
+    """(path, length, format, width, height) of the image files below `root`; the last three are null for files without a whole header.
+
+    Headers are parsed where Spark reads the files, which it reads whole; see `functions.images.header`.
+    """
+    found = _files(spark, root, extensions).select("path", "length", header(F.col("content")).alias("h")).dropDuplicates(["path"])
+    return found.select(plain_path(F.col("path")).alias("path"), "length", "h.format", "h.width", "h.height")
+
+
 def directory_tags(files: DataFrame, root: str, depth: int) -> DataFrame:
     """(path, tag): the names of the first `depth` folders below the root."""
     inner = F.split(F.regexp_replace(F.substring_index("path", root.rstrip("/") + "/", -1), r"/?[^/]+$", ""), "/")
