@@ -213,10 +213,17 @@ class Vocabulary:
         self.learn(list(new))
         return [b"".join([*map(self.ids, head), *map(self.after_blank.__getitem__, tail)]) for head, tail in zip(heads, tails, strict=True)]
 
-    def decode(self, ids: list[int]) -> bytes:
-        if ids and not (min(ids) >= 0 and max(ids) < len(self.tokens) and all(self.tokens[i] is not None for i in set(ids))):
+    @cached_property
+    def held(self) -> np.ndarray:
+        """Whether there is a token, by id."""
+        return np.array([t is not None for t in self.tokens])
+
+    def decode(self, ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+        """The bytes of texts from all their ids, one after another, and how many each has."""
+        if len(ids) and not (ids.min() >= 0 and ids.max() < len(self.tokens) and self.held[ids].all()):
             raise ValueError("an id that the vocabulary doesn't have")
-        return b"".join(map(self.tokens.__getitem__, ids))
+        ends = np.cumsum(sizes).tolist()
+        return [b"".join(map(self.tokens.__getitem__, ids[a:b].tolist())) for a, b in zip([0, *ends], ends, strict=False)]
 
 
 @lru_cache(maxsize=2)
@@ -275,8 +282,12 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids", decode
         v = vocabulary(path, pattern)
         for batch in batches:
             texts = batch.column(at)
-            for a, b in _slices(x.as_py() or 0 for x in pa.compute.list_value_length(texts)):
-                found = [v.decode(x or []) for x in texts[a:b].to_pylist()]
+            lengths = pa.compute.fill_null(pa.compute.list_value_length(texts), 0).to_numpy(zero_copy_only=False)
+            for a, b in _slices(lengths.tolist()):
+                flat = texts[a:b].flatten()
+                if flat.null_count:
+                    raise ValueError("an id that the vocabulary doesn't have")
+                found = v.decode(flat.to_numpy(), lengths[a:b])
                 yield pa.RecordBatch.from_arrays([*[c[a:b] for c in batch.columns], pa.array(found, pa.binary())], [*names, "made"])
 
     schema = ", ".join(f"{n} {rows.schema[n].dataType.simpleString()}" for n in names)
