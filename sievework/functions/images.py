@@ -96,6 +96,10 @@ def header(content: Column) -> Column:
     found = F.when(_starts(content, b"MM\x00*"), F.struct(F.lit("tiff").alias("format"), _tiff(content, False).alias("size")))
     for name, (test, size) in formats.items():
         found = found.when(test, F.struct(F.lit(name).alias("format"), size.alias("size")))
-    width, height = found["size"]["width"], found["size"]["height"]
-    whole = (width > 0) & (height > 0) & (width * height <= MOST_PIXELS)
-    return F.when(whole, F.struct(found["format"].alias("format"), width.cast("int").alias("width"), height.cast("int").alias("height")))
+
+    def checked(f: Column) -> Column:
+        width, height = f["size"]["width"], f["size"]["height"]
+        whole = (width > 0) & (height > 0) & (width * height <= MOST_PIXELS)
+        return F.when(whole, F.struct(f["format"].alias("format"), width.cast("int").alias("width"), height.cast("int").alias("height")))
+
+    return F.get(F.transform(F.array(found), checked), F.lit(0))  # so that it is parsed once, not for each use

@@ -121,7 +121,7 @@ def neighbours_of(rows: DataFrame, keys: list[str], anchors: DataFrame) -> DataF
 
 def random_rows(rows: DataFrame, n: int, key: str, seed: int) -> DataFrame:
     """n rows at random; the same seed takes the same rows, however they are spread."""
-    return rows.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
+    return rows.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")).cast("binary")), key).limit(n)
 
 
 def cursor(page: DataFrame, keys: list[str]) -> dict | None:

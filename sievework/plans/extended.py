@@ -182,7 +182,7 @@ def metadata_read_typed(s, d):
     return read(s, d, "events").select("event_id", M.typed(F.col("props"), "k", "integer").alias("k"))
 
 
-@query("SELECT 'k' AS key, 'integer' AS kind, 'integer' AS kinds")
+@query("SELECT key, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kind, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds FROM (SELECT unnest(json_keys(props)) AS key, CASE json_type(props, '$.k') WHEN 'UBIGINT' THEN 'integer' WHEN 'BIGINT' THEN 'integer' WHEN 'DOUBLE' THEN 'float' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' END AS kind FROM events) GROUP BY key")
 def metadata_types(s, d):
     return M.key_types(read(s, d, "events"), "props").select("key", "kind", F.array_join("kinds", ",").alias("kinds"))
 
@@ -425,6 +425,6 @@ def neighbours_of_many(s, d):
     return ordering.neighbours_of(rows, ["label", "vec_id"], rows.where("vec_id % 100 = 0").select("label", "vec_id")).select("vec_id", "previous", "following")
 
 
-@query()
+@query("SELECT doc_id, lang FROM documents ORDER BY md5('7:' || doc_id), doc_id LIMIT 50")
 def random_sample(s, d):
     return ordering.random_rows(read(s, d, "documents").select("doc_id", "lang"), 50, "doc_id", seed=7)
