@@ -175,6 +175,11 @@ def line_components(lines: DataFrame, threshold: float = 0.8, wide: int = WIDE)
     joined = table(across(many, nodes, sets, threshold), "line-joined")
     for done in (many, pairs, sets):
         forget(done)
+    return lifted(nodes, joined)
+
+
+def lifted(nodes: DataFrame, joined: DataFrame) -> DataFrame:
+    """Components (node, component) after links (u, v) between components have joined some of them; what was no node is one of its own."""
     if joined.isEmpty():
         return nodes
     upper = connected_components(joined).withColumnsRenamed({"node": "part", "component": "whole"})

@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from sievework.llm.common import forget, table
 from sievework.llm.components import connected_components
-from sievework.llm.line_dedup import matches
+from sievework.llm.line_dedup import across, lifted, matches
 
 BITS = 64
 #: Wide fingerprints: 64-bit words, bits of a segment, and the share of differing bits that chains allow.
 WORDS, SEGMENT, BUDGET = 32, 21, 0.1875
+#: Texts that a task remembers to have signed; those met again later are signed again.
+SIGNED = 1 << 16
 #: Fingerprints with one key beyond which a key's links are found through shared variants, not pairs.
 WIDE = 64
 
@@ -165,14 +167,13 @@ def chains(bits: np.ndarray) -> np.ndarray:
     return segment << (2 * SEGMENT) | np.roll(segment, -1) << SEGMENT | np.roll(segment, -2)
 
 
-def wide_candidates(prints: DataFrame, wide: int = WIDE) -> DataFrame:
-    """(u, v) of texts (h, chains) that may be near-duplicates.
+def wide_candidates(prints: DataFrame, wide: int = WIDE) -> tuple[DataFrame, DataFrame]:
+    """((u, v), (band, lh)): pairs of texts (h, chains) that may be near-duplicates, and the members of wide keys.
 
     A text may have a row from every task that met it. Two candidates share a start at which their segments are equal and from which the chains of two and of three
     segments differ by no more than their share of the budget: the chain is tested in the join, so
     hardly any pair but near ones comes out of it. The members of a key with over `wide` texts meet its
-    leaders alone, the least under two hash orders; as texts share many keys with different members,
-    groups of near copies still hang together.
+    leaders alone, the least under two hash orders; `line_dedup.across` finds the links that leaves out.
     """
     keyed = prints.select("h", F.posexplode("chains").alias("start", "chain"))
     keyed = keyed.select("h", "chain", F.xxhash64("start", F.shiftright("chain", 2 * SEGMENT)).alias("key")).repartition("key")
@@ -190,8 +191,9 @@ def wide_candidates(prints: DataFrame, wide: int = WIDE) -> DataFrame:
     pairs = a.join(b, "key").where(F.col("u") < F.col("v")).where(holds(F.col("cu").bitwiseXOR(F.col("cv")))).select("u", "v")
     led = many.select("h", F.explode(F.array_distinct(F.array("low", "other"))).alias("head")).where("h <> head")
     found = table(pairs.unionByName(led.select(F.least("h", "head").alias("u"), F.greatest("h", "head").alias("v"))).distinct(), "simhash-wide-pairs")
+    crowd = table(many.select(F.col("key").alias("band"), F.col("h").alias("lh")).distinct(), "simhash-crowd")
     forget(members)
-    return found
+    return found, crowd
 
 
 def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
@@ -211,7 +213,8 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, key: st
     Near-duplicates are texts whose sets of word shingles have a Jaccard similarity of at least
     `similarity`, and what such links join. SimHash fingerprints of WORDS * 64 bits find the candidates
     (see `wide_candidates`), exact similarities decide; of pairs at 0.8 to 0.82 0.98 were found, nearly
-    all above.
+    all above. Texts of a wide key that these pairs leave in several components are compared by a
+    prefix filter over their exact shingles, so no link between them is lost.
     Rows are told apart by key and text, so null and repeated keys neither lose nor keep a row; a null
     key comes last. Of rows that share both, any one stays. Null and wordless texts are one group. Very
     long texts are taken whole, in parts. Other columns, whatever their names, stay as they are; an
@@ -225,6 +228,8 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, key: st
             hs, cs = [], []
             for h, value in zip(b["h"], b["text"], strict=True):
                 if h not in seen:
+                    if len(seen) == SIGNED:
+                        seen.clear()
                     seen.add(h)
                     hashes = np.array(shingle_hashes(value or "", shingle), np.uint64)
                     hs.append(h)
@@ -233,10 +238,11 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, key: st
 
     texts = rows.select("h", F.col(f"row.`{text}`").alias("text"))
     prints = table(texts.mapInPandas(run, "h long, chains array<long>"), "simhash-wide-prints")
-    pairs = wide_candidates(prints.where("chains IS NOT NULL"))
+    pairs, crowd = wide_candidates(prints.where("chains IS NOT NULL"), WIDE)
     asked = pairs.select(F.explode(F.array("u", "v")).alias("h")).distinct()
     sets = table(shingle_sets(texts.join(asked, "h", "left_semi"), shingle), "simhash-sets")
     nodes = connected_components(matches(pairs, sets, similarity))
+    nodes = lifted(nodes, table(across(crowd, nodes, sets, similarity), "simhash-joined"))
     wordless = prints.where("chains IS NULL").select("h", F.lit(0).alias("g")).distinct()
     groups = nodes.select(F.col("node").alias("h"), F.col("component").alias("g")).unionByName(wordless)
     named = rows.select("k", "h").distinct().join(groups, "h", "left").withColumn("g", F.coalesce("g", "h"))
