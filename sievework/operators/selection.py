@@ -19,6 +19,20 @@ from sievework.sources.writers import number_rows
 BATCH, MOST_COUNTS = 64, 100_000
 
 
+@dataclass
+class Strategy:
+    """How to select: any of weights (column, strength), a vector for diversity with its strength and least
+    distance, and class balance (target of `balanced`, with the labels' column and a strength)."""
+
+    weights: list = field(default_factory=list)
+    vector: str | None = None
+    strength: float = 1.0
+    least: float | None = None
+    balance: object = None
+    labels: str = "labels"
+    balance_strength: float = 1.0
+
+
 def weighted(rows: DataFrame, n: int, weights: list[tuple[str, float]], key: str) -> DataFrame:
     """The n rows of largest summed weight, ties by key.
 
@@ -138,38 +152,121 @@ def class_targets(rows: DataFrame, labels: str, target) -> dict:
     return dict(target)
 
 
+def _class_counts(rows: DataFrame, labels: str, target) -> tuple[np.ndarray, Column]:
+    """(target shares, array of a row's counts): the classes of the target, then all others together."""
+    shares = class_targets(rows, labels, target)
+    held_of = lambda c: F.size(F.filter(labels, lambda x: x == F.lit(c)))
+    counts = [held_of(c) for c in shares]
+    vector = F.array(*counts, F.size(labels) - sum(counts, F.lit(0))).cast("array<double>")
+    goal = np.array([*shares.values(), max(1.0 - sum(shares.values()), 0.0)])
+    return goal, F.when(F.col(labels).isNull(), F.array_repeat(F.lit(0.0), len(goal))).otherwise(vector)
+
+
+def _summed(before: DataFrame | None, vector: Column, size: int) -> np.ndarray:
+    """The class counts of rows chosen before."""
+    out = np.zeros(size)
+    if before is not None:
+        for r in before.select(F.posexplode(vector).alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect():
+            out[r["i"]] = r["x"]
+    return out
+
+
+def _gaps(counts: np.ndarray, so_far: np.ndarray, goal: np.ndarray) -> np.ndarray:
+    """How far the class shares are from the target once each of some rows is taken."""
+    sums = counts + so_far
+    return np.sqrt(((sums / np.maximum(sums.sum(axis=1, keepdims=True), 1e-12) - goal) ** 2).sum(axis=1)).round(12)
+
+
+def combined(rows: DataFrame, n: int, key: str, how: Strategy, chosen: DataFrame | None = None) -> DataFrame:
+    """(key, step): each step takes the row of largest value, ties by key.
+
+    A value is the row's summed weight (see `weighted`), plus the strength of diversity times the distance to the
+    nearest chosen row as a share of the largest distance from the first choice (before it: one), plus
+    the strength of balance times 1 - gap / sqrt(2), the gap being how far the class shares are from the
+    target once the row is taken (see `balanced`). `how.least` keeps out rows nearer than that to a
+    chosen one. What `how` lacks does not count. Rows with a null key, or a null vector where one counts, are left out;
+    null labels are none. n is cut to what is there.
+
+    The search is exact but takes many steps per pass. A pass brings the BATCH best rows to the driver. Of
+    the others no value rises but for balance, and that by at most sqrt(2) * m / t once m of t class counts are new;
+    while the best of the batch is above the first row left behind and that rise, it is the best of all.
+    """
+    rows = rows.where(F.col(key).isNotNull())
+    rows = rows if how.vector is None else rows.where(F.col(how.vector).isNotNull())
+    if chosen is not None:
+        chosen = chosen.join(rows.select(key), key, "left_semi")
+    goal, counts = _class_counts(rows, how.labels, how.balance) if how.balance is not None else (np.zeros(1), F.array(F.lit(0.0)))
+    force = how.balance_strength if how.balance is not None else 0.0
+    spread = how.strength if how.vector else 0.0
+    rest, before, available = _split(rows, key, chosen)
+    n, so_far = min(n, available), _summed(before, counts, len(goal))
+    place = F.col(how.vector).cast("array<double>") if how.vector else F.array(F.lit(0.0))
+    state = _scored(rest, how.weights).select(key, place.alias("__v"), F.coalesce("score", F.lit(0.0)).alias("__s"), F.lit(None).cast("double").alias("__d"), counts.alias("__c"))
+    if before is not None and how.vector:
+        near = nearest(rest, before, key, how.vector).select(F.col("k").alias(key), F.col("d").alias("__d"))
+        state = state.drop("__d").join(near, key, "left")
+    state = cut(state)
+    out: list = []
+    scale: float | None = None if how.vector else 1.0
+    while len(out) < n:
+        if scale is None and (top := state.agg(F.max("__d")).first()[0]) is not None:
+            scale = top or 1.0
+        sums = F.zip_with("__c", F.lit(so_far.tolist()), lambda a, b: a + b)
+        total = F.greatest(F.aggregate(sums, F.lit(0.0), lambda a, x: a + x), F.lit(1e-12))
+        gap = F.round(F.sqrt(F.aggregate(F.zip_with(F.transform(sums, lambda x: x / total), F.lit(goal.tolist()), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x)), 12)
+        far_share = F.coalesce(F.col("__d"), F.lit(scale or 1.0)) / F.lit(scale or 1.0)
+        value = F.col("__s") + F.lit(spread) * far_share + F.lit(force) * (1 - gap / 2**0.5)
+        open_rows = state if how.least is None or not how.vector else state.where(F.col("__d").isNull() | (F.col("__d") >= how.least))
+        best = open_rows.withColumn("__x", value).orderBy(F.desc("__x"), key).limit(BATCH + 1).collect()
+        if not best:
+            break
+        bound = best[-1]["__x"] if len(best) > BATCH else -np.inf
+        vectors, static, held = (np.array([r[c] for r in best]) for c in ("__v", "__s", "__c"))
+        far = np.array([np.inf if r["__d"] is None else r["__d"] for r in best])
+        open_, picks, new = np.ones(len(best), bool), [], 0.0
+        while open_.any() and len(out) + len(picks) < n:
+            shares = np.where(np.isfinite(far), far, scale or 1.0) / (scale or 1.0)
+            worth = np.where(open_, static + spread * shares + force * (1 - _gaps(held, so_far, goal) / 2**0.5), -np.inf)
+            i = int(worth.argmax())  # the first of equals has the least key
+            rise = force * 2**0.5 * new / max(so_far.sum(), 1e-12) if new else 0.0
+            if picks and worth[i] <= bound + abs(rise) + 1e-9 * bool(force):
+                break
+            picks.append(i)
+            open_[i] = False
+            so_far, new = so_far + held[i], new + held[i].sum()
+            if how.vector:
+                far = np.minimum(far, np.sqrt(((vectors - vectors[i]) ** 2).sum(axis=1)))
+                open_ &= how.least is None or far >= how.least
+            if scale is None:
+                break
+        out += [(best[i][key], len(out) + k) for k, i in enumerate(picks)]
+        state = state.where(~F.col(key).isin([best[i][key] for i in picks]))
+        state = cut(_nearer(state, [vectors[i].tolist() for i in picks]) if how.vector else state)
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.sparkSession.createDataFrame(out, f"{key} {kind}, step int")
+
+
 def balanced(rows: DataFrame, n: int, key: str, target, labels: str = "labels", chosen: DataFrame | None = None) -> DataFrame:
     """(key, step): each step takes a row that brings the summed class counts nearest to the target shares.
 
     `labels`: array of a row's class names, repeated as often as it has them (null: none). target: see
     `class_targets`; shares may sum to less than one, the rest goes to all other classes. Nearness is the
     Euclidean distance of the shares. Rows with the same class counts are alike, so the search runs
-    over the different counts (at most MOST_COUNTS of them) and one join takes the rows, least keys
-    first; of equally near counts the one with the least key of all its rows comes first. n is cut to
-    what is there; `chosen` (keys) count as chosen before.
+    over the different counts and one join takes the rows, least keys first; of equally near counts the
+    one with the least key of all its rows comes first. Beyond MOST_COUNTS different counts the rows
+    themselves are searched, see `combined`. n is cut to what is there; `chosen` (keys) count as chosen before.
     """
-    shares = class_targets(rows, labels, target)
-    names = list(shares)
-    goal = np.array([shares[c] for c in names] + [max(1.0 - sum(shares.values()), 0.0)])
+    goal, vector = _class_counts(rows, labels, target)
     rest, before, available = _split(rows, key, chosen)
-    held_of = lambda c: F.size(F.filter(labels, lambda x: x == F.lit(c)))
-    counts = [held_of(c) for c in names]
-    vector = F.array(*counts, F.size(labels) - sum(counts, F.lit(0))).cast("array<double>")
-    vector = F.when(F.col(labels).isNull(), F.array_repeat(F.lit(0.0), len(names) + 1)).otherwise(vector)
     held = rest.select(key, vector.alias("c"))
     kinds = held.groupBy("c").agg(F.count("*").alias("n"), F.min(key).alias("least")).orderBy("least").limit(MOST_COUNTS + 1).collect()
     if len(kinds) > MOST_COUNTS:
-        raise ValueError(f"over {MOST_COUNTS} different class counts: balance fewer classes")
-    so_far = np.zeros(len(goal))
-    if before is not None:
-        sums = before.select(F.posexplode(vector).alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect()
-        so_far = np.array([x for _, x in sorted((r["i"], r["x"]) for r in sums)]) if sums else so_far
+        return combined(rows, n, key, Strategy(balance=target, labels=labels), chosen)
+    so_far = _summed(before, vector, len(goal))
     matrix, left = np.array([r["c"] for r in kinds]).reshape(len(kinds), len(goal)), np.array([r["n"] for r in kinds])
     taken, order = np.zeros(len(kinds), int), []
     for step in range(min(n, available)):
-        sums = matrix + so_far
-        gap = np.sqrt(((sums / np.maximum(sums.sum(axis=1, keepdims=True), 1e-12) - goal) ** 2).sum(axis=1)).round(12)
-        i = int(np.where(taken < left, gap, np.inf).argmin())
+        i = int(np.where(taken < left, _gaps(matrix, so_far, goal), np.inf).argmin())
         order.append((kinds[i]["c"], int(taken[i]), step))
         taken[i] += 1
         so_far = so_far + matrix[i]
@@ -180,24 +277,11 @@ def balanced(rows: DataFrame, n: int, key: str, target, labels: str = "labels",
     return ranked.join(places, ["c", "r"]).select(key, "step")
 
 
-@dataclass
-class Strategy:
-    """How to select: any of weights (column, strength), a vector for diversity with its strength and least
-    distance, or class balance (target of `balanced`, with the labels' column)."""
-
-    weights: list = field(default_factory=list)
-    vector: str | None = None
-    strength: float = 1.0
-    least: float | None = None
-    balance: object = None
-    labels: str = "labels"
-
-
 def select(rows: DataFrame, n: int, key: str, how: Strategy, chosen: DataFrame | None = None) -> DataFrame:
     """(key, step) of the n rows to take by a strategy; rows chosen before are not returned but count."""
     if how.balance is not None:
         if how.weights or how.vector:
-            raise ValueError("balance stands alone: its nearness and the other values have no common scale")
+            return combined(rows, n, key, how, chosen)
         return balanced(rows, n, key, how.balance, how.labels, chosen)
     if how.vector:
         return diverse(rows, n, key, how.vector, how.least, chosen, how.weights, how.strength)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sievework.functions import images, masks
-from sievework.operators import catalog, evaluate, plot
+from sievework.operators import catalog, evaluate, plot, projection, selection
 from sievework.operators.scratch import cut
 from sievework.plans.registry import query, read
 from sievework.sources import png_masks
@@ -160,3 +160,15 @@ def eval_matched_boxes(s, d):
 @query(_TURNS + "SELECT sample, tp, n - tp AS fp, n - tp AS fn FROM (SELECT sample, count(*) AS n FROM b GROUP BY 1) JOIN (SELECT sample, count(i) AS tp FROM p LEFT JOIN m USING (sample, label, turn) GROUP BY 1) USING (sample)")
 def eval_counts_per_sample(s, d):
     return evaluate.sample_counts(evaluate.match_boxes(_boxes(s, d, 0).drop("confidence"), _boxes(s, d, 4)))
+
+
+@query()
+def select_combined(s, d):
+    how = selection.Strategy(weights=[("w", 0.5)], vector="embedding", strength=1.0, balance="uniform", balance_strength=2.0)
+    rows = read(s, d, "embeddings").select("vec_id", "embedding", (F.col("vec_id") % 97).cast("double").alias("w"), F.array(F.col("label").cast("string")).alias("labels"))
+    return selection.select(rows, 60, "vec_id", how)
+
+
+@query()
+def projection_map(s, d):
+    return projection.project(read(s, d, "embeddings"))
