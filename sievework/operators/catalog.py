@@ -70,6 +70,53 @@ def hierarchy(nodes: DataFrame, key: str, parent: str, name: str) -> DataFrame:
     return held.select(F.col("k").alias(key), "root", F.col("level").cast("int").alias("level"), "path")
 
 
+def create_collection(nodes: DataFrame, row: tuple) -> DataFrame:
+    """`nodes` (key, parent, name and more) with a further one; a name that its parent has a child of already is an error.
+
+    `row` has the columns' values in order; a null parent makes a root, and roots have different names too.
+    """
+    made = nodes.sparkSession.createDataFrame([row], nodes.schema)
+    same = nodes.join(made.select(F.col("parent").alias("__p"), F.col("name").alias("__n")), F.col("parent").eqNullSafe(F.col("__p")) & (F.col("name") == F.col("__n")), "left_semi")
+    if not same.limit(1).isEmpty():
+        raise ValueError(f"there is a collection named {made.first()['name']} already")
+    parent = made.select(F.col("parent").alias("key")).where(F.col("key").isNotNull())
+    if not parent.join(nodes.select("key"), "key", "left_anti").isEmpty():
+        raise ValueError("no such parent")
+    return nodes.unionByName(made)
+
+
+def rename_collection(nodes: DataFrame, key, name: str) -> DataFrame:
+    """`nodes` (key, parent, name and more) with one renamed; blank and taken names are errors."""
+    if not name.strip():
+        raise ValueError("a collection has a name")
+    own = nodes.where(F.col("key") == F.lit(key)).select("parent").limit(1).collect()
+    if not own:
+        raise ValueError(f"no such collection: {key}")
+    if not nodes.where(F.col("parent").eqNullSafe(F.lit(own[0]["parent"])) & (F.col("name") == name) & (F.col("key") != F.lit(key))).limit(1).isEmpty():
+        raise ValueError(f"there is a collection named {name} already")
+    return rewrite(nodes, F.col("key") == F.lit(key), name=name)
+
+
+def below(nodes: DataFrame, keys: list) -> DataFrame:
+    """(key) of the nodes with the given keys and of all below them, whatever their depth.
+
+    Each round lets every marked node mark those whose pointer leads to it, and doubles all pointers.
+    """
+    held = cut(nodes.select("key", F.col("parent").alias("up"), F.coalesce(F.col("key").isin(keys), F.lit(False)).alias("hit")))
+    for _ in range(held.count().bit_length() + 1):
+        above = held.select(F.col("key").alias("up"), F.col("up").alias("u"), F.col("hit").alias("h"))
+        held = cut(held.join(above, "up", "left").select("key", F.col("u").alias("up"), (F.col("hit") | F.coalesce("h", F.lit(False))).alias("hit")))
+        if held.where("up IS NOT NULL").isEmpty():
+            break
+    return held.where("hit").select("key")
+
+
+def delete_collections(nodes: DataFrame, samples: DataFrame, keys: list, collection: str = "collection") -> tuple[DataFrame, DataFrame]:
+    """(nodes, samples) without the given collections, all below them and their samples."""
+    gone = below(nodes, keys)
+    return nodes.join(gone, "key", "left_anti"), samples.join(gone.withColumnRenamed("key", collection), collection, "left_anti")
+
+
 def rename_tag(tags: DataFrame, old: str, new: str, name: str = "name") -> DataFrame:
     """`tags` with one renamed; links hold its id, so they stay. A name that another tag has is an error."""
     if old != new and not tags.where(F.col(name) == new).limit(1).isEmpty():

@@ -142,21 +142,31 @@ def crop_boxes(boxes: DataFrame) -> DataFrame:
 def embed_with(rows: DataFrame, model, dimensions: int, column: str, key: str) -> DataFrame:
     """(key, embedding) by a model, a function from a list of values to as many vectors, run per Arrow batch.
 
-    It fails where the model gives another number of vectors or another length.
+    It fails where the model gives another number of vectors or another length. A model gives None for
+    a value that it cannot read: that row is left out (`unread` names it).
     """
     kind = rows.schema[key].dataType.simpleString()
 
     def run(batches):
         for b in batches:
-            made = np.asarray(model(b["v"].tolist()), np.float32).reshape(len(b), -1) if len(b) else np.empty((0, dimensions), np.float32)
-            if made.shape != (len(b), dimensions):
+            found = list(model(b["v"].tolist())) if len(b) else []
+            if len(found) != len(b):
+                raise ValueError(f"the model gave {len(found)} vectors, not {len(b)}")
+            read = [v is not None for v in found]
+            made = np.array([v for v in found if v is not None], np.float32).reshape(sum(read), -1) if any(read) else np.empty((0, dimensions), np.float32)
+            if made.shape[1] != dimensions:
                 raise ValueError(f"the model gave {made.shape}, not {(len(b), dimensions)}")
-            yield pd.DataFrame({"k": b["k"], "e": made.tolist()})
+            yield pd.DataFrame({"k": b["k"][read].to_numpy(), "e": pd.Series(made.tolist(), dtype=object)})
 
     made = rows.select(F.col(key).alias("k"), F.col(column).alias("v")).mapInPandas(run, f"k {kind}, e array<float>")
     return made.select(F.col("k").alias(key), F.col("e").alias("embedding"))
 
 
+def unread(rows: DataFrame, embedded: DataFrame, key: str) -> DataFrame:
+    """(key) of the rows that got no embedding."""
+    return rows.select(key).join(embedded.select(key), key, "left_anti")
+
+
 class Models:
     """Embedding models by name, each with its dimensions; the first one is the default."""
 

@@ -110,6 +110,39 @@ def portable(made: FewShot) -> list[dict]:
     return out
 
 
+#: What a saved forest says it is; another version is not read.
+FORMAT = {"format": "sievework-forest", "version": 1}
+
+
+def save_portable(trees: list[dict], spark, path: str) -> None:
+    """Writes `portable` data as one JSON file, with its format, version and size; a file that is there is not overwritten."""
+    import json
+
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(hadoop, False)
+    try:
+        out.write(bytearray(json.dumps(FORMAT | {"n_trees": len(trees), "trees": trees}), "utf-8"))
+    finally:
+        out.close()
+
+
+def load_portable(spark, path: str) -> list[dict]:
+    """`portable` data from a file of `save_portable`; another format or version, or a damaged file, fails."""
+    import json
+
+    held = json.loads(spark.read.text(path, wholetext=True).first()["value"])
+    if not isinstance(held, dict) or {k: held.get(k) for k in FORMAT} != FORMAT:
+        raise ValueError(f"{path} is no forest of version {FORMAT['version']}")
+    trees = held["trees"]
+    for tree in trees:
+        n = len(tree["nodes"])
+        if not all("shares" in x or (x["left"] < n and x["right"] < n and "threshold" in x) for x in tree["nodes"]) or not n:
+            raise ValueError(f"{path} has a tree with missing nodes")
+    if len(trees) != held["n_trees"] or not trees:
+        raise ValueError(f"{path} is cut off")
+    return trees
+
+
 def predict_portable(trees: list[dict], vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(key, probabilities) from `portable` data, without the model: rows of a batch descend all trees together."""
     import numpy as np

@@ -15,8 +15,8 @@ from sievework.operators.ordering import chunks
 from sievework.operators.scratch import cut
 from sievework.sources.writers import number_rows
 
-#: Candidates that a round of the greedy search takes to the driver, and different class counts it may hold.
-BATCH, MOST_COUNTS = 64, 100_000
+#: Candidates that a round of the greedy search takes to the driver, the same where values may rise, and different class counts it may hold.
+BATCH, BALANCED_BATCH, MOST_COUNTS = 64, 1024, 100_000
 
 
 @dataclass
@@ -187,8 +187,8 @@ def combined(rows: DataFrame, n: int, key: str, how: Strategy, chosen: DataFrame
     chosen one. What `how` lacks does not count. Rows with a null key, or a null vector where one counts, are left out;
     null labels are none. n is cut to what is there.
 
-    The search is exact but takes many steps per pass. A pass brings the BATCH best rows to the driver. Of
-    the others no value rises but for balance, and that by at most sqrt(2) * m / t once m of t class counts are new;
+    The search is exact but takes many steps per pass. A pass brings the BATCH (with balance BALANCED_BATCH) best
+    rows to the driver. Of the others no value rises but for balance, and that by at most sqrt(2) * m / t once m of t class counts are new;
     while the best of the batch is above the first row left behind and that rise, it is the best of all.
     """
     rows = rows.where(F.col(key).isNotNull())
@@ -207,6 +207,7 @@ def combined(rows: DataFrame, n: int, key: str, how: Strategy, chosen: DataFrame
         state = state.drop("__d").join(near, key, "left")
     state = cut(state)
     out: list = []
+    batch = BALANCED_BATCH if force else BATCH
     scale: float | None = None if how.vector else 1.0
     while len(out) < n:
         if scale is None and (top := state.agg(F.max("__d")).first()[0]) is not None:
@@ -217,10 +218,10 @@ def combined(rows: DataFrame, n: int, key: str, how: Strategy, chosen: DataFrame
         far_share = F.coalesce(F.col("__d"), F.lit(scale or 1.0)) / F.lit(scale or 1.0)
         value = F.col("__s") + F.lit(spread) * far_share + F.lit(force) * (1 - gap / 2**0.5)
         open_rows = state if how.least is None or not how.vector else state.where(F.col("__d").isNull() | (F.col("__d") >= how.least))
-        best = open_rows.withColumn("__x", value).orderBy(F.desc("__x"), key).limit(BATCH + 1).collect()
+        best = open_rows.withColumn("__x", value).orderBy(F.desc("__x"), key).limit(batch + 1).collect()
         if not best:
             break
-        bound = best[-1]["__x"] if len(best) > BATCH else -np.inf
+        bound = best[-1]["__x"] if len(best) > batch else -np.inf
         vectors, static, held = (np.array([r[c] for r in best]) for c in ("__v", "__s", "__c"))
         far = np.array([np.inf if r["__d"] is None else r["__d"] for r in best])
         open_, picks, new = np.ones(len(best), bool), [], 0.0

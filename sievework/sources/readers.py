@@ -82,7 +82,21 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     """(stem, label, start_s, end_s) of a temporal-event JSON: {"database": {stem: {"annotations": [...]}}}."""
     doc = spark.read.schema("database map<string, struct<annotations:array<struct<label:string,segment:array<double>>>>>").json(path, multiLine=True)
     rows = doc.select(F.explode("database").alias("stem", "v")).select("stem", F.explode("v.annotations").alias("a"))
-    return rows.select("stem", "a.label", F.col("a.segment")[0].alias("start_s"), F.col("a.segment")[1].alias("end_s")).where("start_s >= 0 AND start_s < end_s")
+    low, high = F.col("a.segment")[0], F.col("a.segment")[1]
+    whole = F.coalesce((low >= 0) & (low < high), F.lit(False))
+    start = F.when(whole, low).otherwise(F.raise_error(F.concat(F.lit("a span that does not begin before it ends: "), "stem")).cast("double"))
+    return rows.select("stem", "a.label", start.alias("start_s"), high.alias("end_s"))
+
+
+def attach_events(events: DataFrame, videos: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(events with their video, stems without one) by the name of the video's file without folder and suffix.
+
+    videos: video, path. Two videos of one stem fail the job, as an event could belong to either.
+    """
+    named = videos.select("video", F.regexp_extract("path", r"([^/]+?)(?:\.[^./]+)?$", 1).alias("stem")).groupBy("stem").agg(F.count("*").alias("n"), F.min("video").alias("v"))
+    one = F.when(F.col("n") > 1, F.raise_error(F.concat(F.lit("several videos are called "), "stem")).cast(videos.schema["video"].dataType)).otherwise(F.col("v"))
+    held = named.select("stem", one.alias("video"))
+    return events.join(held, "stem"), events.select("stem").distinct().join(held, "stem", "left_anti")
 
 
 def read_tracks(spark: SparkSession, path: str) -> DataFrame:
@@ -94,6 +108,28 @@ def read_tracks(spark: SparkSession, path: str) -> DataFrame:
     return tracks.join(videos, "video_id").join(names, "category_id").select("file_name", "track", "label", "frame", *[F.col("b")[i].cast("int").alias(c) for i, c in enumerate(("x", "y", "width", "height"))])
 
 
+def attach_tracks_to_videos(spark: SparkSession, path: str, root: str, videos: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(tracks with their video, file names without one) of a video-instance JSON; see `read_tracks`.
+
+    videos: video, path, n_frames. A name with a suffix must be the path below `root`, one without meets the path
+    without suffix; several such paths fail, and so does a video with another number of frames than the file says.
+    """
+    doc = spark.read.schema("videos array<struct<file_names:array<string>>>").json(path, multiLine=True)
+    wanted = doc.select(F.explode("videos").alias("v")).select(F.col("v.file_names")[0].alias("file_name"), F.size("v.file_names").alias("wanted"))
+    bare = lambda c: F.regexp_replace(c, r"\.[^./]+$", "")
+    full = F.concat(F.lit(root.rstrip("/") + "/"), F.col("file_name"))
+    known = videos.select("video", "path", "n_frames", bare(F.col("path")).alias("bare"))
+    many = known.groupBy("bare").agg(F.count("*").alias("n"), F.min("video").alias("video"), F.min("n_frames").alias("n_frames"))
+    kind = videos.schema["video"].dataType
+    single = F.when(F.col("n") > 1, F.raise_error(F.concat(F.lit("several videos are called "), "bare")).cast(kind)).otherwise(F.col("video"))
+    suffixed = wanted.where(F.col("file_name").rlike(r"\.[^./]+$")).withColumn("path", full).join(known.select("path", "video", "n_frames"), "path").select("file_name", "wanted", "video", "n_frames")
+    plain = wanted.where(~F.col("file_name").rlike(r"\.[^./]+$")).withColumn("bare", full).join(many, "bare").select("file_name", "wanted", single.alias("video"), "n_frames")
+    found = suffixed.unionByName(plain)
+    checked = F.when(F.col("wanted") != F.col("n_frames"), F.raise_error(F.concat(F.lit("another number of frames: "), "file_name")).cast(kind)).otherwise(F.col("video"))
+    held = found.select("file_name", checked.alias("video"))
+    return read_tracks(spark, path).join(held, "file_name"), wanted.select("file_name").join(held, "file_name", "left_anti")
+
+
 def read_masks(spark: SparkSession, path: str) -> DataFrame:
     """(file_name, annotation_id, label, height, width, counts) of an instance-mask JSON; counts run column by column."""
     doc = spark.read.schema(_DETECTION).json(path, multiLine=True)
@@ -107,25 +143,34 @@ def read_masks(spark: SparkSession, path: str) -> DataFrame:
 def read_splits(spark: SparkSession, config: str) -> tuple[list[str], dict[str, str]]:
     """(class names, folder by split) of a data.yaml with `names` as a list or a numbered map, and paths of splits.
 
-    Only what such files hold is read: top-level scalars, and the names. Known splits: train, val, test, minival.
+    Only what such files hold is read: top-level scalars, and the names as a list or a map, each in
+    brackets or a line an entry; comments go. Names in another form fail. Known splits: train, val, test, minival.
     """
     import re
 
     names: dict[int, str] = {}
     splits: dict[str, str] = {}
-    plain = lambda v: v.strip().strip("\"'")
+    item = r"""(?:"[^"]*"|'[^']*'|[^,#]*?)"""
+    plain = lambda v: v[1:-1] if (v := v.strip())[:1] in ("'", '"') and v[-1:] == v[:1] else v
+    bare = lambda v: re.sub(r"""^((?:[^'"#]|"[^"]*"|'[^']*')*?)\s+#.*$""", r"\1", v)  # noqa: E731  without a comment
     inside = False
-    for line in spark.read.text(config, wholetext=True).first()["value"].splitlines():
+    for line in map(bare, spark.read.text(config, wholetext=True).first()["value"].splitlines()):
+        if line.lstrip().startswith("#"):
+            continue
         if m := re.match(r"^(\w+)\s*:\s*(.*)$", line):
             inside = m[1] == "names"
             if inside and m[2].startswith("["):
-                names = dict(enumerate(plain(v) for v in m[2].strip().strip("[]").split(",") if v.strip()))
+                names = dict(enumerate(plain(v) for v in re.findall(rf"({item})(?:,|$)", m[2].strip()[1:].rstrip().removesuffix("]")) if v.strip()))
+            elif inside and m[2].startswith("{"):
+                names = {int(k): plain(v) for k, v in re.findall(rf"(\d+)\s*:\s*({item})\s*(?:,|$)", m[2].strip()[1:].rstrip().removesuffix("}"))}
             elif m[1] in ("train", "val", "test", "minival") and m[2].strip():
                 splits[m[1]] = plain(m[2])
         elif inside and (m := re.match(r"^\s+(\d+)\s*:\s*(.+)$", line)):
             names[int(m[1])] = plain(m[2])
         elif inside and (m := re.match(r"^\s*-\s*(.+)$", line)):
             names[len(names)] = plain(m[1])
+    if not names:
+        raise ValueError(f"no class names in {config}")
     return [names[i] for i in sorted(names)], splits
 
 
