@@ -16,6 +16,8 @@ DIMENSIONS = 1024
 UNKNOWN = "und"
 #: Trigrams whose vectors a worker makes at a time, characters and texts that it bundles at a time, rows that it returns at a time.
 BLOCK, CHARS, TEXTS, ROWS = 4_096, 500_000, 256, 512
+#: Trigrams of labelled texts that a task holds before it counts them.
+COUNTED = 4_000_000
 
 
 @lru_cache(maxsize=1)
@@ -74,31 +76,39 @@ def bundle(found: list[np.ndarray], dimensions: int = DIMENSIONS, seed: int = 7)
 def learn(examples: DataFrame, text: str = "text", lang: str = "lang", dimensions: int = DIMENSIONS, seed: int = 7) -> tuple[list[str], np.ndarray]:
     """(labels, unit prototypes) from all rows of `examples` with a label.
 
-    Bundling is a sum, so a prototype is its language's trigram counts times their vectors: tasks
-    count, one aggregation adds, and the driver sees at most SYMBOLS ** 3 counts per label.
+    Bundling is a sum, so a prototype is its language's trigram counts times their vectors: tasks count up to COUNTED
+    trigrams at a time, one aggregation adds, and a task bundles one label, of at most SYMBOLS ** 3 counts. The
+    driver gets the prototypes alone, `dimensions` numbers a label, and so does every worker that predicts.
     """
 
+    def counted(held: dict[str, list[np.ndarray]]):
+        for label, codes in held.items():
+            at, n = np.unique(np.concatenate(codes), return_counts=True)
+            yield pd.DataFrame({"lang": label, "gram": at.astype(np.int64), "n": n})
+
     def run(batches):
-        total: dict[str, np.ndarray] = {}
+        held, size = {}, 0
         for b in batches:
             for label, value in zip(b["lang"], b["text"], strict=True):
                 if len(g := grams(value)):
-                    if label not in total:
-                        total[label] = np.zeros(SYMBOLS**3, np.int64)
-                    codes, n = np.unique(g, return_counts=True)
-                    total[label][codes] += n
-        for label, counts in total.items():
-            at = np.flatnonzero(counts)
-            yield pd.DataFrame({"lang": label, "gram": at, "n": counts[at]})
+                    held.setdefault(label, []).append(g)
+                    size += len(g)
+                if size > COUNTED:
+                    yield from counted(held)
+                    held, size = {}, 0
+        yield from counted(held)
+
+    def bundled(own: pd.DataFrame) -> pd.DataFrame:
+        own, out = own.sort_values("gram"), np.zeros(dimensions)
+        for at in range(0, len(own), BLOCK):
+            part = own.iloc[at : at + BLOCK]
+            out += part["n"].to_numpy(np.float64) @ gram_vectors(part["gram"].to_numpy(np.int64), dimensions, seed)
+        return pd.DataFrame({"lang": own["lang"].iloc[:1], "v": [(out / max(np.linalg.norm(out), 1e-12)).tolist()]})
 
     rows = examples.where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    counts = rows.mapInPandas(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
-    labels = sorted(counts["lang"].unique().tolist())
-    made = np.zeros((len(labels), dimensions))
-    for i, label in enumerate(labels):
-        own = counts[counts["lang"] == label]
-        made[i] = own["n"].to_numpy(np.float64) @ gram_vectors(own["gram"].to_numpy(np.int64), dimensions, seed)
-    return labels, made / np.maximum(np.linalg.norm(made, axis=1, keepdims=True), 1e-12)
+    counts = rows.mapInPandas(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    made = counts.groupBy("lang").applyInPandas(bundled, "lang string, v array<double>").toPandas().sort_values("lang")
+    return made["lang"].tolist(), np.array(made["v"].tolist(), np.float64).reshape(-1, dimensions)
 
 
 def _scores(found: list[np.ndarray], prototypes: np.ndarray, dimensions: int, seed: int) -> np.ndarray:
