@@ -79,9 +79,9 @@ def diverse(rows: DataFrame, n: int, key: str, vector: str, least: float | None
     and as values only fall, the best of these is the best of all while it is above the first one left
     behind. Each pass then updates every row's distance once for all new choices.
     """
-    rows = rows.where(F.col(key).isNotNull() & F.col(vector).isNotNull())
     if chosen is not None:
-        chosen = chosen.join(rows.select(key), key, "left_semi")
+        chosen = chosen.join(rows.where(F.col(vector).isNull()).select(key), key, "left_anti")
+    rows = rows.where(F.col(key).isNotNull() & F.col(vector).isNotNull())
     rest, before, available = _split(rows, key, chosen)
     n = min(n, available)
     scored = _scored(rest, weights or [])
@@ -192,9 +192,10 @@ def combined(rows: DataFrame, n: int, key: str, how: Strategy, chosen: DataFrame
     while the best of the batch is above the first row left behind and that rise, it is the best of all.
     """
     rows = rows.where(F.col(key).isNotNull())
-    rows = rows if how.vector is None else rows.where(F.col(how.vector).isNotNull())
-    if chosen is not None:
-        chosen = chosen.join(rows.select(key), key, "left_semi")
+    if how.vector is not None:
+        if chosen is not None:
+            chosen = chosen.join(rows.where(F.col(how.vector).isNull()).select(key), key, "left_anti")
+        rows = rows.where(F.col(how.vector).isNotNull())
     goal, counts = _class_counts(rows, how.labels, how.balance) if how.balance is not None else (np.zeros(1), F.array(F.lit(0.0)))
     force = how.balance_strength if how.balance is not None else 0.0
     spread = how.strength if how.vector else 0.0

@@ -78,12 +78,16 @@ def read_label_lines(spark: SparkSession, root: str, names: list[str], sizes: Da
     return lines.select("stem", label.alias("label"), *[c.cast("int").alias(n) for c, n in ((x, "x"), (y, "y"), (p[2] * F.col("iw"), "width"), (p[3] * F.col("ih"), "height"))])
 
 
-def read_events(spark: SparkSession, path: str) -> DataFrame:
-    """(stem, label, start_s, end_s) of a temporal-event JSON: {"database": {stem: {"annotations": [...]}}}."""
+def read_events(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
+    """(stem, label, start_s, end_s) of a temporal-event JSON: {"database": {stem: {"annotations": [...]}}}.
+
+    Spans that do not begin before they end, or begin before zero, are left out; with `strict` they fail.
+    """
     doc = spark.read.schema("database map<string, struct<annotations:array<struct<label:string,segment:array<double>>>>>").json(path, multiLine=True)
     rows = doc.select(F.explode("database").alias("stem", "v")).select("stem", F.explode("v.annotations").alias("a"))
     low, high = F.col("a.segment")[0], F.col("a.segment")[1]
     whole = F.coalesce((low >= 0) & (low < high), F.lit(False))
+    rows = rows if strict else rows.where(whole)
     start = F.when(whole, low).otherwise(F.raise_error(F.concat(F.lit("a span that does not begin before it ends: "), "stem")).cast("double"))
     return rows.select("stem", "a.label", start.alias("start_s"), high.alias("end_s"))
 
