@@ -18,6 +18,8 @@ WORDS, SEGMENT, BUDGET = 32, 21, 0.1875
 SIGNED = 1 << 16
 #: Fingerprints with one key beyond which a key's links are found through shared variants, not pairs.
 WIDE = 64
+#: The same for the keys of texts, whose other links `line_dedup.across` finds.
+CROWD = 8
 
 
 def shingle_hashes(text: str, shingle: int, seed: int = 42) -> list[int]:
@@ -167,7 +169,7 @@ def chains(bits: np.ndarray) -> np.ndarray:
     return segment << (2 * SEGMENT) | np.roll(segment, -1) << SEGMENT | np.roll(segment, -2)
 
 
-def wide_candidates(prints: DataFrame, wide: int = WIDE) -> tuple[DataFrame, DataFrame]:
+def wide_candidates(prints: DataFrame, wide: int = CROWD) -> tuple[DataFrame, DataFrame]:
     """((u, v), (band, lh)): pairs of texts (h, chains) that may be near-duplicates, and the members of wide keys.
 
     A text may have a row from every task that met it. Two candidates share a start at which their segments are equal and from which the chains of two and of three
@@ -238,7 +240,7 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, key: st
 
     texts = rows.select("h", F.col(f"row.`{text}`").alias("text"))
     prints = table(texts.mapInPandas(run, "h long, chains array<long>"), "simhash-wide-prints")
-    pairs, crowd = wide_candidates(prints.where("chains IS NOT NULL"), WIDE)
+    pairs, crowd = wide_candidates(prints.where("chains IS NOT NULL"), CROWD)
     asked = pairs.select(F.explode(F.array("u", "v")).alias("h")).distinct()
     sets = table(shingle_sets(texts.join(asked, "h", "left_semi"), shingle), "simhash-sets")
     nodes = connected_components(matches(pairs, sets, similarity))

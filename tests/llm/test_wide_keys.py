@@ -19,7 +19,7 @@ def family(rng, n, pairs):
 
 
 def test_no_link_is_lost_where_keys_are_wide(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "WIDE", 4)
+    monkeypatch.setattr(simhash, "CROWD", 4)
     texts, copies = family(random.Random(8), 600, 60)
     docs = spark.createDataFrame([*enumerate(texts), *[(10_000 + i, t) for i, t in enumerate(copies)]], "doc_id long, text string")
     prints = docs.selectExpr("doc_id AS h", "text")
@@ -38,7 +38,7 @@ def test_no_link_is_lost_where_keys_are_wide(spark, monkeypatch):
 
 
 def test_crowds_stay_apart(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "WIDE", 2)
+    monkeypatch.setattr(simhash, "CROWD", 2)
     texts, _ = family(random.Random(3), 150, 0)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert simhash.keep_one(docs).count() == 150
