@@ -15,6 +15,8 @@ from sievework.functions.masks import bounding_box
 from sievework.sources.writers import dense_ids
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
+#: Pixels whose runs a task holds before it hands them on.
+PIXELS = 1 << 23
 #: What class 0 is called.
 BACKGROUND = "background"
 
@@ -143,12 +145,18 @@ def from_png(files: DataFrame, key: str, content: str = "content") -> DataFrame:
     kind = files.schema[key].dataType.simpleString()
 
     def run(batches):
+        columns = ["k", "class_id", "width", "height", "rle"]
         for batch in batches:
+            rows, pixels = [], 0
             for name, raw in zip(batch["k"], batch["c"], strict=True):
                 image = decode_png(bytes(raw))
                 flat = image.ravel()
-                rows = [(name, int(c), image.shape[1], image.shape[0], _runs((flat == c).astype(np.int8))) for c in np.unique(flat)]
-                yield pd.DataFrame(rows, columns=["k", "class_id", "width", "height", "rle"])
+                rows += [(name, int(c), image.shape[1], image.shape[0], _runs((flat == c).astype(np.int8))) for c in np.unique(flat)]
+                pixels += flat.size
+                if pixels > PIXELS:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows, pixels = [], 0
+            yield pd.DataFrame(rows, columns=columns)
 
     made = files.select(F.col(key).alias("k"), F.col(content).alias("c")).mapInPandas(run, f"k {kind}, class_id int, width int, height int, rle array<bigint>")
     return made.withColumnRenamed("k", key)
