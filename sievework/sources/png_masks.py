@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import struct
 import zlib
@@ -21,6 +22,7 @@ PIXELS = 1 << 23
 BACKGROUND = "background"
 
 
+@functools.cache
 def palette() -> bytes:
     """256 colours that tell neighbouring class ids apart: bit k of an id goes to bit 7 - k // 3 of channel k mod 3."""
     out = np.zeros((256, 3), np.uint8)
@@ -33,13 +35,18 @@ def _chunk(name: bytes, body: bytes) -> bytes:
     return struct.pack(">I", len(body)) + name + body + struct.pack(">I", zlib.crc32(name + body))
 
 
+@functools.cache
+def _palette_chunk() -> bytes:
+    return _chunk(b"PLTE", palette())
+
+
 def encode_png(classes: np.ndarray) -> bytes:
     """An indexed PNG of a matrix of class ids (0 to 255)."""
     height, width = classes.shape
     lines = np.zeros((height, width + 1), np.uint8)  # a filter byte, none, before each row
     lines[:, 1:] = classes
     head = struct.pack(">IIBBBBB", width, height, 8, 3, 0, 0, 0)
-    return SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"PLTE", palette()) + _chunk(b"IDAT", zlib.compress(lines.tobytes(), 6)) + _chunk(b"IEND", b"")
+    return SIGNATURE + _chunk(b"IHDR", head) + _palette_chunk() + _chunk(b"IDAT", zlib.compress(lines.tobytes(), 6)) + _chunk(b"IEND", b"")
 
 
 def _unfilter(kind: int, line: np.ndarray, above: np.ndarray) -> np.ndarray:
@@ -91,9 +98,12 @@ def decode_png(raw: bytes) -> np.ndarray:
     if len(lines) < height * (step + 1):
         raise ValueError("a PNG file that is cut off or damaged")
     lines = lines[: height * (step + 1)].reshape(height, step + 1)
-    out, above = np.empty((height, step), np.uint8), np.zeros(step, np.uint8)
-    for y in range(height):
-        out[y] = above = _unfilter(int(lines[y, 0]), lines[y, 1:], above)
+    if not lines[:, 0].any():
+        out = lines[:, 1:]
+    else:
+        out, above = np.empty((height, step), np.uint8), np.zeros(step, np.uint8)
+        for y in range(height):
+            out[y] = above = _unfilter(int(lines[y, 0]), lines[y, 1:], above)
     if bits < 8:
         out = np.packbits(np.unpackbits(out, axis=1).reshape(height, -1, bits), axis=2).reshape(height, -1) >> (8 - bits)
     return out[:, :width]
@@ -105,6 +115,21 @@ def _runs(bits: np.ndarray) -> list[int]:
     return np.diff(np.r_[0, edges, len(bits)]).tolist()
 
 
+def _class_runs(flat: np.ndarray) -> dict[int, list[int]]:
+    """Runs of each class of a flat array of class ids, the first of other classes; classes in their order."""
+    edges = np.flatnonzero(flat[1:] != flat[:-1]) + 1
+    starts = [0, *edges.tolist()] if len(flat) else []
+    found: dict[int, list[int]] = {}
+    ends: dict[int, int] = {}
+    for start, stop, c in zip(starts, [*starts[1:], len(flat)], flat[starts].tolist(), strict=False):
+        found.setdefault(c, []).extend((start - ends.get(c, 0), stop - start))
+        ends[c] = stop
+    for c, stop in ends.items():
+        if stop < len(flat):
+            found[c].append(len(flat) - stop)
+    return dict(sorted(found.items()))
+
+
 def to_png(masks: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, content): the class mask of each group of masks (keys, width, height, at, class_id, rle) as PNG bytes.
 
@@ -116,23 +141,26 @@ def to_png(masks: DataFrame, keys: list[str]) -> DataFrame:
     kinds = ", ".join(f"{k} {masks.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(batches):
-        name, image = None, None
+        name, image, flat = None, None, None
         for batch in batches:
             out = []
-            for row in batch.itertuples(index=False):
-                own = tuple(getattr(row, k) for k in keys)
+            columns = (batch[c] for c in ("width", "height", "class_id", "rle"))
+            for own, width, height, class_id, rle in zip(zip(*(batch[k] for k in keys), strict=True), *columns, strict=True):
                 if own != name:
                     if name is not None:
                         out.append((*name, encode_png(image)))
-                    name, image = own, np.zeros((int(row.height), int(row.width)), np.uint8)
-                if image.shape != (row.height, row.width):
+                    name, image = own, np.zeros((int(height), int(width)), np.uint8)
+                    flat = image.reshape(-1)
+                if image.shape != (height, width):
                     raise ValueError(f"masks of different sizes: {own}")
-                if row.rle is not None:
-                    if not 1 <= row.class_id <= 255:
-                        raise ValueError(f"class ids are 1 to 255, not {row.class_id}")
-                    runs = np.asarray(row.rle, np.int64)
-                    on = np.repeat(np.arange(len(runs)) % 2 == 1, runs)
-                    image.reshape(-1)[np.flatnonzero(on)] = row.class_id
+                if rle is not None:
+                    if not 1 <= class_id <= 255:
+                        raise ValueError(f"class ids are 1 to 255, not {class_id}")
+                    at, runs = 0, rle.tolist()
+                    for off, on in zip(runs[::2], runs[1::2], strict=False):
+                        at += off
+                        flat[at : at + on] = class_id
+                        at += on
             yield pd.DataFrame(out, columns=[*keys, "content"])
         if name is not None:
             yield pd.DataFrame([(*name, encode_png(image))], columns=[*keys, "content"])
@@ -150,9 +178,8 @@ def from_png(files: DataFrame, key: str, content: str = "content") -> DataFrame:
             rows, pixels = [], 0
             for name, raw in zip(batch["k"], batch["c"], strict=True):
                 image = decode_png(bytes(raw))
-                flat = image.ravel()
-                rows += [(name, int(c), image.shape[1], image.shape[0], _runs((flat == c).astype(np.int8))) for c in np.unique(flat)]
-                pixels += flat.size
+                rows += [(name, c, image.shape[1], image.shape[0], runs) for c, runs in _class_runs(image.ravel()).items()]
+                pixels += image.size
                 if pixels > PIXELS:
                     yield pd.DataFrame(rows, columns=columns)
                     rows, pixels = [], 0
