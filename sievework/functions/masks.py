@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Pixels of polygons' masks that a task holds at once.
+CELLS = 1 << 22
+
 
 def decode(runs: Column) -> Column:
     """Array of the pixels, 0 or 1."""
@@ -15,11 +20,38 @@ def decode(runs: Column) -> Column:
 
 def encode(pixels: Column) -> Column:
     """Array of the runs of an array of pixels (0 or 1); no pixels give no runs."""
-    size = F.size(pixels)
-    # Where a run begins, after an imagined 0 before the first pixel: a mask that begins with 1 has an empty first run.
-    starts = F.filter(F.sequence(F.lit(1), size), lambda i: F.element_at(pixels, i) != F.when(i == 1, F.lit(0)).otherwise(F.element_at(pixels, F.greatest(i - 1, F.lit(1)))))
-    edges = F.concat(F.array(F.lit(1)), starts, F.array(size + 1))
-    return F.when(size > 0, F.zip_with(F.slice(edges, 2, F.size(edges)), F.slice(edges, 1, F.size(edges) - 1), lambda b, a: b - a)).otherwise(F.array().cast("array<int>"))
+
+    @F.arrow_udf("array<int>")
+    def runs(rows: pa.Array) -> pa.Array:
+        return _encoded(rows)
+
+    return runs(pixels)
+
+
+def _run_lists(of: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    """The runs of lists of pixels that change at the places `at` of the lists `of`, in order; lists without pixels have none."""
+    some = sizes > 0
+    count = np.bincount(of, minlength=len(sizes)) + some
+    offsets = np.r_[0, np.cumsum(count)]
+    stop = np.empty(offsets[-1], np.int64)
+    stop[np.arange(len(at)) + np.cumsum(some)[of] - 1] = at
+    stop[offsets[1:][some] - 1] = sizes[some]
+    start = np.r_[0, stop[:-1]][: len(stop)]
+    start[offsets[:-1][some]] = 0
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(stop - start, pa.int64()))
+
+
+def _encoded(rows: pa.Array) -> pa.Array:
+    sizes = pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = rows.flatten().to_numpy(zero_copy_only=False)
+    first = np.r_[0, np.cumsum(sizes)[:-1]][: len(sizes)]
+    changed = np.empty(len(flat), bool)
+    changed[1:] = flat[1:] != flat[:-1]
+    heads = first[sizes > 0]
+    changed[heads] = flat[heads] != 0  # after an imagined 0: a mask that begins with 1 has an empty first run
+    places = np.flatnonzero(changed)
+    of = np.searchsorted(np.cumsum(sizes), places, side="right")
+    return _run_lists(of, places - first[of], sizes).cast(pa.list_(pa.int32()))
 
 
 def spans(runs: Column) -> Column:
