@@ -37,7 +37,7 @@ def _files(s, d):
         raw = F.when(which == i, m).otherwise(raw)
     content = F.unhex(F.when(F.col("p_partkey") % 20 == 7, F.substring(raw, 1, 20)).otherwise(raw))
     # Written once, as files are: else the bytes' making would stand in the plan wherever the parser looks at one.
-    return cut(read(s, d, "part").select("p_partkey", F.concat(F.lit("/img/"), F.col("p_partkey").cast("string")).alias("path"), content.alias("content")))
+    return cut(read(s, d, "part").repartition("p_partkey").select("p_partkey", F.concat(F.lit("/img/"), F.col("p_partkey").cast("string")).alias("path"), content.alias("content")))
 
 
 _SIZES = "(SELECT p_partkey, '/img/' || p_partkey AS path, p_size + 1 AS w, CAST(floor(p_retailprice) AS BIGINT) % 5000 + 1 AS h, p_partkey % 20 = 7 AS cut, ['png', 'gif', 'bmp', 'webp', 'tiff', 'jpeg'][p_partkey % 6 + 1] AS format FROM part)"
