@@ -115,28 +115,61 @@ def polygon_runs(polygons: Column, width: Column, height: Column) -> Column:
     """Runs of the union of polygons, each a flat array x, y, x, y ... of at least three corners (fewer: nothing).
 
     A pixel is set if its centre lies inside: in each row the edges' crossings with the centre line switch
-    the fill on and off, cut to the image. Each mask is one NumPy bitmap while its row is at work. A null
-    array of polygons gives null.
+    the fill on and off, cut to the image. Masks of one size are filled together, up to CELLS pixels (or one mask) at once.
+    A null array of polygons gives null.
     """
 
-    @F.pandas_udf("array<bigint>")
-    def fill(ps: pd.Series, ws: pd.Series, hs: pd.Series) -> pd.Series:
-        return pd.Series([None if p is None else _filled(p, int(w), int(h)) for p, w, h in zip(ps, ws, hs, strict=True)])
+    @F.arrow_udf("array<bigint>")
+    def fill(ps: pa.Array, ws: pa.Array, hs: pa.Array) -> pa.Array:
+        sizes = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in (ws, hs)], axis=1).reshape(-1, 2)
+        shapes, kind = np.unique(sizes, axis=0, return_inverse=True)
+        made, order = [pa.array([], pa.list_(pa.int64()))], [np.empty(0, np.int64)]
+        for s, (w, h) in enumerate(shapes.tolist()):
+            same = np.flatnonzero(kind.reshape(-1) == s)
+            for some in np.array_split(same, -(-len(same) // max(1, CELLS // max(1, w * h)))):
+                made.append(_filled(ps.take(pa.array(some)), w, h))
+                order.append(some)
+        found = pa.concat_arrays(made).take(pa.array(np.argsort(np.concatenate(order))))
+        return pc.if_else(ps.is_valid(), found, pa.scalar(None, found.type))
 
     return fill(polygons, width, height)
 
 
-def _filled(polygons, width: int, height: int) -> list[int]:
-    bits, lines = np.zeros((height, width), bool), np.arange(height)[:, None] + 0.5
-    for p in polygons:
-        if p is None or len(p) < 6:
-            continue
-        x, y = np.asarray(p[0 : len(p) // 2 * 2 : 2], np.float64), np.asarray(p[1 : len(p) // 2 * 2 : 2], np.float64)
-        to_x, to_y = np.roll(x, -1), np.roll(y, -1)
-        row, edge = np.nonzero((y <= lines) != (to_y <= lines))
-        meets = x[edge] + (lines[row, 0] - y[edge]) * (to_x[edge] - x[edge]) / (to_y[edge] - y[edge])
-        switches = np.zeros((height, width + 1), np.int32)
-        np.add.at(switches, (row, np.clip(np.ceil(meets - 0.5), 0, width).astype(np.int64)), 1)
-        bits |= switches.cumsum(axis=1)[:, :width] % 2 == 1
-    edges = np.flatnonzero(np.diff(np.r_[False, bits.ravel()]))
-    return np.diff(np.r_[0, edges, bits.size]).tolist()
+def _filled(masks: pa.Array, width: int, height: int) -> pa.ListArray:
+    """Runs of masks of one size, each of a list of polygons."""
+    n, size = len(masks), width * height
+    if not size:
+        return pa.array([[0]] * n, pa.list_(pa.int64()))
+    polygons = masks.flatten()
+    held = pc.fill_null(pc.list_value_length(masks), 0).to_numpy(zero_copy_only=False)
+    sizes = pc.fill_null(pc.list_value_length(polygons), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = polygons.flatten().to_numpy(zero_copy_only=False)
+    corners = np.where(sizes < 6, 0, sizes // 2)
+    of = np.repeat(np.arange(len(sizes)), corners)
+    corner = _places(corners)
+    base = (np.cumsum(sizes) - sizes)[of]
+    follows = np.where(corner + 1 == corners[of], 0, corner + 1)
+    x, y, to_x, to_y = flat[base + 2 * corner], flat[base + 2 * corner + 1], flat[base + 2 * follows], flat[base + 2 * follows + 1]
+    # Rows whose centre line an edge crosses: the lower end counts, the upper one does not.
+    top, low = (np.clip(np.ceil(e - 0.5), 0, height).astype(np.int64) for e in (np.minimum(y, to_y), np.maximum(y, to_y)))
+    edge = np.repeat(np.arange(len(of)), low - top)
+    row = top[edge] + _places(low - top)
+    meets = x[edge] + (row + 0.5 - y[edge]) * (to_x[edge] - x[edge]) / (to_y[edge] - y[edge])
+    column = np.clip(np.ceil(meets - 0.5), 0, width).astype(np.int64)
+    mask, turn = np.repeat(np.arange(n), held)[of[edge]], _places(held)[of[edge]]
+    at = (mask * height + row) * (width + 1) + column
+    bits = np.zeros((n, height, width), np.uint8)
+    order = np.argsort(turn, kind="stable")
+    for part in np.split(at[order], np.flatnonzero(np.diff(turn[order])) + 1):  # a polygon of each mask at a time
+        switches = np.bincount(part, minlength=n * height * (width + 1)).astype(np.uint8).reshape(n, height, width + 1)
+        bits |= np.cumsum(switches, axis=2, dtype=np.uint8)[:, :, :width] & 1
+    bits = bits.reshape(n, size)
+    changed = bits != 0
+    changed[:, 1:] = bits[:, 1:] != bits[:, :-1]
+    return _run_lists(*np.nonzero(changed), np.full(n, size))
+
+
+def _places(counts: np.ndarray) -> np.ndarray:
+    """0, 1, 2 ... for each count."""
+    counts = counts.astype(np.int64)
+    return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
