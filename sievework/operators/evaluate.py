@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,25 +50,89 @@ def match_boxes(truth: DataFrame, predicted: DataFrame, threshold: float = 0.5,
 
 
 def _match_lists(gt: DataFrame, pred: DataFrame, keys: list[str], threshold: float) -> DataFrame:
-    """The greedy match of groups that fit an array: predictions in their order, each against the boxes that are free."""
-    boxes = gt.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("id", *BOX))).alias("gt"))
-    asked = pred.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct((-F.col("confidence")).alias("order"), "id", *BOX))).alias("pred"))
+    """The greedy match of groups that fit an array: predictions in their order, each against the boxes that are free.
+
+    Both sides are sorted by group within a task, and all groups of an Arrow batch are matched together, turn by turn.
+    """
     ids, others = gt.schema["id"].dataType.simpleString(), pred.schema["id"].dataType.simpleString()
-    pairs = f"array<struct<gt_id:{ids},pred_id:{others},iou:double>>"
-    row = lambda g, p, iou: F.array(F.struct(g.cast(ids).alias("gt_id"), p.cast(others).alias("pred_id"), iou.cast("double").alias("iou")))
-    none = F.lit(None)
-
-    def step(state, p):
-        score = F.transform(state["free"], lambda g, i: F.struct((-box_iou(g, p)).alias("s"), i.alias("i"), g["id"].alias("id")))
-        best = F.array_min(F.filter(score, lambda c: c["s"] <= -threshold))
-        hit = best.isNotNull()
-        free = F.when(hit, F.filter(state["free"], lambda g, i: i != best["i"])).otherwise(state["free"])
-        return F.struct(free.alias("free"), F.concat(state["out"], F.when(hit, row(best["id"], p["id"], -best["s"])).otherwise(row(none, p["id"], none))).alias("out"))
-
-    both = boxes.join(asked, keys, "full")
-    start = F.struct(F.coalesce("gt", F.array()).alias("free"), F.array().cast(pairs).alias("out"))
-    done = F.aggregate(F.coalesce("pred", F.array()), start, step, lambda s: F.concat(s["out"], F.flatten(F.transform(s["free"], lambda g: row(g["id"], none, none)))))
-    return both.select("sample", F.explode(done).alias("m")).select("sample", "m.gt_id", "m.pred_id", "m.iou")
+    one = lambda rows, side, order, g, p: rows.select(*keys, F.lit(side).alias("side"), order.alias("order"), g.cast(ids).alias("gt_id"), p.cast(others).alias("pred_id"), *BOX)
+    both = one(gt, 0, F.lit(0.0), F.col("id"), F.lit(None)).unionByName(one(pred, 1, -F.col("confidence"), F.lit(None), F.col("id")))
+    rows = both.repartition(*keys).sortWithinPartitions(*keys, "side", "order", "gt_id", "pred_id", *BOX)
+
+    def match(batches):
+        held = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            held = held.combine_chunks()
+            starts = _group_starts(held, keys)
+            if starts[-1]:  # the last group may go on in the next batch
+                yield from _matched(held.slice(0, starts[-1]), starts[:-1], threshold).to_batches()
+                held = held.slice(starts[-1])
+        if held is not None:
+            yield from _matched(held, np.zeros(1, np.int64), threshold).to_batches()
+
+    return rows.mapInArrow(match, f"sample {gt.schema['sample'].dataType.simpleString()}, gt_id {ids}, pred_id {others}, iou double")
+
+
+def _group_starts(rows: pa.Table, keys: list[str]) -> np.ndarray:
+    """Where a group of equal keys starts; a NaN is like another, as in a grouping."""
+    new = np.zeros(len(rows) - 1, bool)
+    for c in keys:
+        column = rows.column(c)
+        if pa.types.is_nested(column.type):
+            values = column.to_pylist()
+            new |= np.array([x != y for x, y in zip(values[1:], values, strict=False)], bool)
+            continue
+        a, b = column.slice(1), column.slice(0, len(rows) - 1)
+        other = pc.not_equal(a, b)
+        if pa.types.is_floating(column.type):
+            other = pc.and_not(other, pc.and_(pc.is_nan(a), pc.is_nan(b)))
+        new |= other.to_numpy()
+    return np.r_[0, np.flatnonzero(new) + 1]
+
+
+def _matched(rows: pa.Table, starts: np.ndarray, threshold: float) -> pa.Table:
+    """Pairing rows of whole groups, each with its boxes before its predictions, both in their order."""
+    n, predicted = len(rows), rows.column("side").to_numpy() == 1
+    group = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, n]))
+    boxes = np.bincount(group[~predicted], minlength=len(starts))
+    asked = np.flatnonzero(predicted)
+    times = boxes[group[asked]]
+    p = np.repeat(asked, times)
+    g = starts[group[p]] + np.arange(len(p)) - np.repeat(np.cumsum(times) - times, times)
+    sides = {c: rows.column(c).to_numpy() for c in BOX}
+    sides = {c: v if v.dtype.kind == "f" else v.astype(np.int64 if v.dtype.kind in "iu" else np.float64) for c, v in sides.items()}
+
+    def shared(at, side):
+        low, high = sides[at], sides[at] + sides[side]
+        return np.maximum(np.minimum(high[g], high[p]) - np.maximum(low[g], low[p]), 0).astype(np.float64)
+
+    both = shared("x", "width") * shared("y", "height")
+    area = sides["width"].astype(np.float64) * sides["height"].astype(np.float64)
+    union = area[g] + area[p] - both
+    iou = np.divide(both, union, out=np.zeros(len(p)), where=union > 0)
+    kept = np.flatnonzero(iou >= threshold)
+    p, g, iou = p[kept], g[kept], iou[kept]
+    turn = p - starts[group[p]] - boxes[group[p]]
+    order = np.lexsort((g, -iou, p, turn))
+    p, g, iou, turn = p[order], g[order], iou[order], turn[order]
+    free, picks = np.ones(n, bool), [np.empty(0, np.int64)]
+    for part in np.split(np.arange(len(p)), np.flatnonzero(np.diff(turn)) + 1):  # a prediction of each group at a time
+        part = part[free[g[part]]]
+        part = part[np.r_[True, p[part][1:] != p[part][:-1]]] if len(part) else part  # its best that is free
+        free[g[part]] = False
+        picks.append(part)
+    pick = np.concatenate(picks)
+    free[p[pick]] = False
+    alone = np.flatnonzero(free)
+    at = np.r_[p[pick], alone]
+    gt_row = np.r_[g[pick], alone]
+    return pa.table({
+        "sample": rows.column("sample").take(pa.array(at)), "gt_id": rows.column("gt_id").take(pa.array(gt_row)), "pred_id": rows.column("pred_id").take(pa.array(at)),
+        "iou": pa.array(np.r_[iou[pick], np.zeros(len(alone))], mask=np.arange(len(at)) >= len(pick)),
+    })
 
 
 def _cells(rows: DataFrame, threshold: float, spread: bool) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions import masks
 from sievework.functions.images import header
-from sievework.operators import cells
+from sievework.operators import cells, evaluate, selection
 from sievework.sources import png_masks
 
 
@@ -64,3 +64,32 @@ def test_polygons_of_many_masks_are_filled_together(spark):
     lists = [[rng.uniform(-3, 15, 2 * n).tolist() for n in rng.integers(3, 8, k)] for k in (0, 1, 2, 5, 1, 3)]
     made = masks._filled(pa.array([*lists, [None, [1.0, 2.0]]], pa.list_(pa.list_(pa.float64()))), 12, 9)  # one mask at a time before
     assert made.to_pylist() == [*map(fill, lists), [108]]
+
+
+def test_boxes_of_groups_across_batches_are_matched(spark):
+    x = (F.col("id") * 7) % 5
+    boxes = spark.range(120).select((F.col("id") % 11).cast("double").alias("sample"), (F.col("id") % 2).cast("string").alias("label"), "id", x.alias("x"), F.lit(0).alias("y"), F.lit(9).alias("width"), F.lit(9).alias("height"), ((F.col("id") * 13) % 10 / 10).alias("confidence"))
+    boxes = boxes.withColumn("sample", F.when(F.col("sample") == 4, float("nan")).otherwise(F.col("sample")))
+    shifted = boxes.withColumn("x", F.col("x") + 2)
+    pairs = evaluate.match_boxes(boxes.drop("confidence"), shifted)
+    assert "MapInArrow" in pairs._jdf.queryExecution().executedPlan().toString()  # a lambda for each pair of boxes before
+    whole = sorted(map(str, pairs.collect()))
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+        assert sorted(map(str, evaluate.match_boxes(boxes.drop("confidence"), shifted).collect())) == whole
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sum("gt_id=None" not in r for r in whole) == sum("pred_id=None" not in r for r in whole) == 120
+
+
+def test_metric_names_are_distinct_before_they_meet_the_runs(spark):
+    runs = spark.createDataFrame([(0, "a", "b"), (1, "a", "c")], "run long, truth string, predicted string")
+    made = evaluate.metric_names(runs, spark.range(1000).select((F.col("id") % 3).alias("run"), F.when(F.col("id") % 5 > 0, "iou").alias("metric")), "b")
+    assert [tuple(r) for r in made.collect()] == [(0, "iou")]
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Aggregate")  # all pairs met the runs, and a run's in one task, before
+
+
+def test_first_rows_are_merged_before_they_reach_the_driver(spark):
+    rows = spark.range(1000, numPartitions=20).select("id", (F.col("id") % 7).alias("__x"))
+    assert [r["id"] for r in selection._first(rows, "id", 9)] == [6 + 7 * i for i in range(9)]  # each partition sent its own before
