@@ -272,7 +272,8 @@ def metric_bounds(metrics: DataFrame) -> DataFrame:
 def metric_names(runs: DataFrame, pair_metrics: DataFrame, source: str) -> DataFrame:
     """(run, metric): the metrics of pairs in the runs that a source takes part in, each once. runs: run, truth, predicted."""
     own = runs.where((F.col("truth") == source) | (F.col("predicted") == source)).select("run")
-    return pair_metrics.where(F.col("metric").isNotNull()).join(own, "run", "left_semi").select("run", "metric").distinct()
+    # The few different metrics first, so that only they meet the runs and no run's rows come together.
+    return pair_metrics.where(F.col("metric").isNotNull()).select("run", "metric").distinct().join(own, "run", "left_semi")
 
 
 def confusion(pairs: DataFrame, gt: str = "gt_label", pred: str = "pred_label") -> DataFrame:
