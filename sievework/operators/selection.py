@@ -96,7 +96,7 @@ def diverse(rows: DataFrame, n: int, key: str, vector: str, least: float | None
             top = state.agg(F.max("__d")).first()[0]
             scale = (top or 1.0) if top is not None else None
         value = F.col("__s") + F.lit(strength) * F.coalesce(F.col("__d"), F.lit(1.0)) / F.lit(scale or 1.0)
-        best = state.withColumn("__x", value).orderBy(F.desc("__x"), key).limit(1 if scale is None else BATCH + 1).collect()
+        best = _first(state.withColumn("__x", value), key, 1 if scale is None else BATCH + 1)
         if not best:
             break
         bound = best[-1]["__x"] if len(best) > BATCH else -np.inf
@@ -128,6 +128,15 @@ def diverse(rows: DataFrame, n: int, key: str, vector: str, least: float | None
     return rows.sparkSession.createDataFrame(out, f"{key} {kind}, step int")
 
 
+def _first(valued: DataFrame, key: str, n: int) -> list:
+    """The n rows of largest __x, ties by key.
+
+    A task merges what each partition has of them and writes it: collected directly, every partition
+    would send its own n rows to the driver.
+    """
+    return cut(valued.orderBy(F.desc("__x"), key).limit(n)).collect()
+
+
 def _nearer(state: DataFrame, vectors: list) -> DataFrame:
     """`state` with each row's distance lowered to the nearest of a few vectors."""
     near = F.array_min(F.transform(F.lit(vectors) if vectors else F.array(), lambda p: distance(F.col("__v"), p)))
@@ -219,7 +228,7 @@ def combined(rows: DataFrame, n: int, key: str, how: Strategy, chosen: DataFrame
         far_share = F.coalesce(F.col("__d"), F.lit(scale or 1.0)) / F.lit(scale or 1.0)
         value = F.col("__s") + F.lit(spread) * far_share + F.lit(force) * (1 - gap / 2**0.5)
         open_rows = state if how.least is None or not how.vector else state.where(F.col("__d").isNull() | (F.col("__d") >= how.least))
-        best = open_rows.withColumn("__x", value).orderBy(F.desc("__x"), key).limit(batch + 1).collect()
+        best = _first(open_rows.withColumn("__x", value), key, batch + 1)
         if not best:
             break
         bound = best[-1]["__x"] if len(best) > batch else -np.inf
