@@ -15,11 +15,13 @@ from sievework.llm.common import forget, table
 from sievework.llm.components import connected_components
 
 #: Characters of a shingle, and shingles that one row of the signatures' aggregation takes in.
-WIDTH, STRIDE = 9, 4
+WIDTH, STRIDE = 9, 8
 #: Bands of a signature, and least hashes in a band.
 BANDS, ROWS = 6, 3
 #: Lines of one band beyond which they are first compared with leaders, and leaders by hash order of such a band.
 WIDE, LEADERS = 32, 3
+#: Heads of wide bands that all lines of a family of such bands are compared with.
+FAMILY = 4
 #: 64-bit words of the membership bitmap that tells which lines' texts a check needs.
 BITMAP_WORDS = 1 << 18
 #: Shingles of all sets together up to which a check of pairs gets the sets by broadcast (4 bytes each), else by a shuffle.
@@ -40,7 +42,7 @@ def points(bands: int = BANDS, rows: int = ROWS, seed: int = 1) -> list[list[int
 
 
 def shingle_rows(lines: DataFrame) -> DataFrame:
-    """(lh, x0 to x3): rows of the 32-bit hashes of STRIDE shingles of each line, the last one repeated to fill its row.
+    """(lh, x0 to x7): rows of the 32-bit hashes of STRIDE shingles of each line, the last one repeated to fill its row.
 
     UTF-32 has four bytes for every character, so a shingle is cut out at its place without a walk
     through the line, and all of it stays in generated code.
@@ -68,7 +70,7 @@ def band_keys(lines: DataFrame) -> DataFrame:
 
 
 def candidates(bands: DataFrame, wide: int = WIDE) -> tuple[DataFrame, DataFrame]:
-    """((u, v), (band, lh)): pairs of different lines that share a band, and the members of wide bands.
+    """((u, v), (band, lh, head)): pairs of different lines that share a band, and the members of wide bands with their first leader.
 
     A band of over `wide` lines gives the pairs with its leaders alone: the line whose bands have most
     lines, as the original of a group of near copies has, and the least under LEADERS hash orders.
@@ -82,9 +84,13 @@ def candidates(bands: DataFrame, wide: int = WIDE) -> tuple[DataFrame, DataFrame
     many = members.where(F.col("n") > wide).select("band", "lh", "n")
     shared = many.groupBy("lh").agg(F.sum("n").alias("shared"))
     orders = [F.max_by("lh", F.struct("shared", "lh")), *[F.min_by("lh", F.xxhash64("lh", F.lit(k))) for k in range(LEADERS)]]
-    heads = many.join(shared, "lh").groupBy("band").agg(F.array_distinct(F.array(*orders)).alias("heads"))
-    led = many.join(heads, "band").select("lh", F.explode("heads").alias("head")).where("lh <> head")
-    return pairs.unionByName(led.select(F.least("lh", "head").alias("u"), F.greatest("lh", "head").alias("v"))).distinct(), many
+    heads = many.join(shared, "lh").groupBy("band").agg(F.array(*orders).alias("heads"))
+    many = many.join(heads, "band").select("band", "lh", F.get("heads", F.lit(0)).alias("head"), F.array_distinct("heads").alias("heads"))
+    led = many.select("lh", F.explode("heads").alias("head")).where("lh <> head")
+    found = table(pairs.unionByName(led.select(F.least("lh", "head").alias("u"), F.greatest("lh", "head").alias("v"))).distinct(), "line-pairs")
+    wide_members = table(many.select("band", "lh", "head"), "line-many")
+    forget(members)
+    return found, wide_members
 
 
 def shingle_set(line):
@@ -129,36 +135,65 @@ def matches(pairs: DataFrame, sets: DataFrame, threshold: float, hint: str = "sh
 
 
 def across(many: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """(u, v) of components that a match between two lines of wide bands joins, without exception.
-
-    Bands whose lines one component holds are done. The lines of the others meet by a prefix filter:
-    with each line's n shingles in one order, two lines that match share one of their first
-    n - ceil(threshold * n) + 1. Shingles that one component alone holds come first in that order, as
-    none of them is shared with another component; so a line with too many of them meets nobody, and
-    the place of a shared shingle bounds what two lines have in common. The others come by rarity.
-    Lines of one component are not compared, so a group of near copies gives no pairs of its own.
+    """(u, v) of components that a match between two lines of wide bands (band, lh, head) joins.
+
+    Bands whose lines one component holds are done. In the others a line stands for what tells it
+    from its band's head: the d shingles that one of both has and the other lacks. No match within a band is lost;
+    lines also meet the FAMILY heads of most lines among those that share lines with theirs, if they are half like
+    them, so most matches that share no band are found too. Two lines of n shingles
+    match if their sets differ in at most r * (n_u + n_v) shingles, r = (1 - threshold) / (1 + threshold); that
+    is d_u + d_v less twice what these differences have in common. Lines that match the head are linked to
+    it, so of any other pair one line has d > r * (n + n_head), and the pair must share many differences, while
+    copies with edits of their own share few. A prefix filter finds those pairs: with all differences
+    in one order, they share one of the first d - o + 1, o the least that a line must share with any
+    partner. Differences that one component alone holds come first in that order, as none of them is shared with
+    another component; so a line with too many of them meets nobody, and the place of a shared one bounds
+    what two lines have in common. The others come by rarity. Lines of one component are not compared,
+    so a group of near copies gives no pairs of its own.
     """
     from pyspark.sql import Window
 
-    placed = many.join(nodes, F.col("lh") == F.col("node"), "left").select("band", "lh", F.coalesce("component", "lh").alias("c"))
+    r, eps = (1 - threshold) / (1 + threshold), 1e-9
+    placed = many.join(nodes, F.col("lh") == F.col("node"), "left").select("band", "head", "lh", F.coalesce("component", "lh").alias("c"))
     placed = table(placed, "line-wide")
     divided = placed.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("top")).where("low < top").select("band")
-    left = placed.join(divided, "band", "left_semi").select("lh", "c").distinct()
-    lined = table(left.join(sets, "lh"), "line-open").select("lh", "c", "s")
-    each = lined.select("lh", "c", F.size("s").alias("n"), F.explode("s").alias("x"))
-    # Lines outside a shingle's largest component look for partners; that component's own do not meet.
-    owners = each.groupBy("x", "c").agg(F.count("*").alias("k")).groupBy("x")
+    left = table(placed.join(divided, "band", "left_semi").select("head", "lh", "c").distinct(), "line-divided")
+    several = left.groupBy("lh").agg(F.min("head").alias("low"), F.max("head").alias("top")).where("low < top").select("lh", "low")
+    families = connected_components(left.join(several, "lh").select(F.col("head").alias("u"), F.col("low").alias("v")).distinct())
+    left = left.join(families, F.col("head") == F.col("node"), "left").select("head", "lh", "c", F.coalesce("component", "head").alias("family"))
+    ranked = left.groupBy("family", "head").agg(F.count("*").alias("k")).withColumn("rank", F.row_number().over(Window.partitionBy("family").orderBy(F.desc("k"), "head")))
+    more = left.select("lh", "c", "family").distinct().join(ranked.where(F.col("rank") <= FAMILY).select("family", "head"), "family")
+    met_by = left.select("head", "lh", "c", F.lit(True).alias("banded")).unionByName(more.select("head", "lh", "c", F.lit(False).alias("banded")))
+    met_by = met_by.groupBy("head", "lh", "c").agg(F.max("banded").alias("banded"))
+    lined = table(left.select("lh", "c").distinct().join(sets, "lh"), "line-open")
+    heads = lined.select(F.col("lh").alias("head"), F.col("c").alias("c_head"), F.col("s").alias("s_head")).join(left.select("head").distinct(), "head", "left_semi")  # a head is a line of its band
+    join = "broadcast" if (heads.agg(F.sum(F.size("s_head"))).first()[0] or 0) <= BROADCAST else "shuffle_hash"
+    apart = met_by.join(lined.drop("c"), "lh").join(heads.hint(join), "head")
+    n, n_head, d = F.size("s"), F.size("s_head"), F.size("e")
+    apart = apart.select("head", "lh", "c", "c_head", "banded", n.alias("n"), n_head.alias("n_head"), F.concat(F.array_except("s", "s_head"), F.array_except("s_head", "s")).alias("e"))
+    n, n_head = F.col("n"), F.col("n_head")
+    near = F.col("d") <= r * (n + n_head) + eps
+    apart = table(apart.withColumn("d", d).where(F.col("banded") | (F.col("d") <= (n + n_head) / 2)).withColumn("near", near), "line-apart")
+    straight = apart.where(F.col("near") & (F.col("c") != F.col("c_head"))).select(F.col("lh").alias("u"), F.col("head").alias("v"), F.col("c").alias("c_u"), F.col("c_head").alias("c_v"))
+    apart = apart.withColumn("c", F.when(F.col("near"), F.col("c_head")).otherwise(F.col("c")))
+    inside = F.ceil((F.col("d") + r * (n_head - n)) / 2 - eps)  # its partners neither match the head nor are in its component
+    least = F.greatest(F.lit(1), F.ceil(F.col("d") - r * (n + F.floor(n / threshold + eps)) - eps), F.when(F.col("c") == F.col("c_head"), inside))
+    each = apart.withColumn("o", least).where("o <= d").select("head", "lh", "c", "n", "d", "o", F.explode("e").alias("x"))
+    # Lines outside a difference's largest component look for partners; that component's own do not meet.
+    owners = each.groupBy("head", "x", "c").agg(F.count("*").alias("k")).groupBy("head", "x")
     owners = owners.agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.count("*").alias("parts"), F.sum("k").alias("used")).where("parts > 1")
-    shared = each.join(owners, "x")
-    own = Window.partitionBy("lh")
-    at = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("used", "x")) - 1
-    heads = shared.select("x", "main", "lh", "c", "n", at.alias("at")).where(F.col("at") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9))
-    heads = table(heads, "line-heads")
-    a, b = (heads.select("x", "main", F.col("lh").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("c", "n", "at")]) for k in "uv")
+    shared = each.join(owners, ["head", "x"])
+    line = Window.partitionBy("head", "lh")
+    at = F.col("d") - F.count("*").over(line) + F.row_number().over(line.orderBy("used", "x")) - 1
+    firsts = shared.select("head", "x", "main", "lh", "c", "n", "d", "o", at.alias("at")).where("at <= d - o")
+    firsts = table(firsts, "line-firsts")
+    a, b = (firsts.select("head", "x", "main", F.col("lh").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("c", "n", "d", "at")]) for k in "uv")
     a = a.where("c_u <> main").drop("main")
-    most = F.least(F.col("n_u") - F.col("at_u"), F.col("n_v") - F.col("at_v"))  # what they share from here on
-    met = a.join(b, "x").where((F.col("c_u") != F.col("c_v")) & ((F.col("c_v") == F.col("main")) | (F.col("u") < F.col("v"))))
-    met = met.where(most >= threshold * (F.col("n_u") + F.col("n_v") - most)).select("u", "v", "c_u", "c_v").distinct()
+    most = F.least(F.col("d_u") - F.col("at_u"), F.col("d_v") - F.col("at_v"))  # what they share from here on
+    met = a.join(b, ["head", "x"]).where((F.col("c_u") != F.col("c_v")) & ((F.col("c_v") == F.col("main")) | (F.col("u") < F.col("v"))))
+    met = met.where(F.col("d_u") + F.col("d_v") - 2 * most <= r * (F.col("n_u") + F.col("n_v")) + eps).select("u", "v", "c_u", "c_v")
+    met = met.unionByName(straight).distinct()
+    lined = lined.select("lh", "s")
     size = lined.agg(F.sum(F.size("s"))).first()[0] or 0
     found = matches(met, lined, threshold, "broadcast" if size <= BROADCAST else "shuffle_hash")
     return found.select(F.col("c_u").alias("u"), F.col("c_v").alias("v")).distinct()
@@ -168,7 +203,6 @@ def line_components(lines: DataFrame, threshold: float = 0.8, wide: int = WIDE)
     """(node, component) of every line (lh, line) that matches another; lh is a line's hash."""
     bands = table(band_keys(lines), "line-signatures")
     pairs, many = candidates(bands, wide)
-    pairs = table(pairs, "line-pairs")
     forget(bands)
     sets = table(shingle_sets(pairs, lines), "line-sets")
     nodes = connected_components(matches(pairs, sets, threshold))
