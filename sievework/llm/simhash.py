@@ -12,8 +12,8 @@ from sievework.llm.components import connected_components
 from sievework.llm.line_dedup import across, lifted, matches
 
 BITS = 64
-#: Wide fingerprints: 64-bit words, bits of a segment, and the share of differing bits that chains allow.
-WORDS, SEGMENT, BUDGET = 32, 21, 0.1875
+#: Wide fingerprints: 64-bit words, and bits of a segment, each of which is chained with a least hash.
+WORDS, SEGMENT = 4, 8
 #: Texts that a task remembers to have signed; those met again later are signed again.
 SIGNED = 1 << 16
 #: Fingerprints with one key beyond which a key's links are found through shared variants, not pairs.
@@ -150,50 +150,48 @@ def near_duplicates(docs: DataFrame, distance: int = 2, parts: int = 5, key: str
     return prints.join(named, "fp", "left").select(key, "fp", "component_id")
 
 
-def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
-    """WORDS * 64 bits, each 1 if over half of the shingles' hashes, spread anew for every word, set it."""
+def wide_fingerprint(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """WORDS * 64 bits, each 1 if over half of the shingles' hashes, spread anew for every word, set it; and for each segment of them the hash that is nearest to a point of its own (XOR distance)."""
     ones = np.zeros(WORDS * BITS, np.int64)
-    salts = np.random.default_rng(64).integers(1, 1 << 63, WORDS, np.uint64)
+    rng, n = np.random.default_rng(64), WORDS * BITS // SEGMENT
+    salts = rng.integers(1, 1 << 63, WORDS, np.uint64)
+    points = np.arange(n, dtype=np.uint64) << np.uint64(64 - n.bit_length() + 1) | rng.integers(0, 1 << (64 - n.bit_length() + 1), n, np.uint64)
+    least = np.full(n, np.iinfo(np.uint64).max)
     for k in range(0, len(hashes), 255):  # so many bits add up in one byte
         x = hashes[k : k + 255, None] ^ salts
         x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
         x ^= x >> np.uint64(32)
         ones += np.add.reduce(np.unpackbits(x.view(np.uint8), axis=1, bitorder="little"), axis=0, dtype=np.uint8)
-    return 2 * ones > len(hashes)
+        least = np.minimum(least, (hashes[k : k + 255, None] ^ points).min(axis=0))
+    return 2 * ones > len(hashes), least
 
 
-def chains(bits: np.ndarray) -> np.ndarray:
-    """For each start on the ring of segments: that segment and the two after it, in one long."""
-    n = len(bits) // SEGMENT
-    segment = bits[: n * SEGMENT].reshape(n, SEGMENT).astype(np.int64) @ (np.int64(1) << np.arange(SEGMENT, dtype=np.int64))
-    return segment << (2 * SEGMENT) | np.roll(segment, -1) << SEGMENT | np.roll(segment, -2)
+def chains(print_: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """For each segment: its bits and the leading bits of the hash chained with it, in one long."""
+    bits, least = print_
+    segment = np.packbits(bits.reshape(len(least), SEGMENT), axis=1)[:, 0].astype(np.uint64)
+    # The least hash is a distance with leading zeros: its low bits tell hashes apart.
+    return (least << np.uint64(SEGMENT) | segment).view(np.int64)
 
 
 def wide_candidates(prints: DataFrame, wide: int = CROWD) -> tuple[DataFrame, DataFrame]:
-    """((u, v), (band, lh)): pairs of texts (h, chains) that may be near-duplicates, and the members of wide keys.
+    """((u, v), (band, lh, head)): pairs of texts (h, chains) that may be near-duplicates, and the members of wide keys with a leader.
 
-    A text may have a row from every task that met it. Two candidates share a start at which their segments are equal and from which the chains of two and of three
-    segments differ by no more than their share of the budget: the chain is tested in the join, so
-    hardly any pair but near ones comes out of it. The members of a key with over `wide` texts meet its
+    A text may have a row from every task that met it. Two candidates share a segment and the least hash
+    chained with it. Texts of similarity s share a least hash with chance s and a segment of SEGMENT bits
+    with about 0.27 at 0.8; texts that share no shingle share no key, however many texts there are, so
+    keys hold like texts alone and their members grow with the copies. The members of a key with over `wide` texts meet its
     leaders alone, the least under two hash orders; `line_dedup.across` finds the links that leaves out.
     """
-    keyed = prints.select("h", F.posexplode("chains").alias("start", "chain"))
-    keyed = keyed.select("h", "chain", F.xxhash64("start", F.shiftright("chain", 2 * SEGMENT)).alias("key")).repartition("key")
+    keyed = prints.dropDuplicates(["h"]).select("h", F.posexplode("chains").alias("start", "chain"))
+    keyed = keyed.select("h", F.xxhash64("start", "chain").alias("key")).repartition("key")
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("h").alias("low"), F.min_by("h", F.xxhash64("h")).alias("other")).where("n > 1")
     members = table(keyed.join(sizes.hint("shuffle_hash"), "key"), "simhash-wide-keys")
-    most = [int(k * SEGMENT * BUDGET) for k in (2, 3)]
-
-    def holds(x):
-        second, third = F.bit_count(F.shiftright(x, SEGMENT).bitwiseAND(_mask(SEGMENT))), F.bit_count(x.bitwiseAND(_mask(SEGMENT)))
-        return (second <= most[0]) & (second + third <= most[1])
-
     few, many = members.where(F.col("n") <= wide), members.where(F.col("n") > wide)
-    a = few.select("key", F.col("h").alias("u"), F.col("chain").alias("cu"))
-    b = few.select("key", F.col("h").alias("v"), F.col("chain").alias("cv"))
-    pairs = a.join(b, "key").where(F.col("u") < F.col("v")).where(holds(F.col("cu").bitwiseXOR(F.col("cv")))).select("u", "v")
+    pairs = few.select("key", F.col("h").alias("u")).join(few.select("key", F.col("h").alias("v")), "key").where("u < v").select("u", "v")
     led = many.select("h", F.explode(F.array_distinct(F.array("low", "other"))).alias("head")).where("h <> head")
     found = table(pairs.unionByName(led.select(F.least("h", "head").alias("u"), F.greatest("h", "head").alias("v"))).distinct(), "simhash-wide-pairs")
-    crowd = table(many.select(F.col("key").alias("band"), F.col("h").alias("lh")).distinct(), "simhash-crowd")
+    crowd = table(many.select(F.col("key").alias("band"), F.col("h").alias("lh"), F.col("other").alias("head")), "simhash-crowd")
     forget(members)
     return found, crowd
 
@@ -214,8 +212,7 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, key: st
 
     Near-duplicates are texts whose sets of word shingles have a Jaccard similarity of at least
     `similarity`, and what such links join. SimHash fingerprints of WORDS * 64 bits find the candidates
-    (see `wide_candidates`), exact similarities decide; of pairs at 0.8 to 0.82 0.98 were found, nearly
-    all above. Texts of a wide key that these pairs leave in several components are compared by a
+    (see `wide_candidates`), exact similarities decide. Texts of a wide key that these pairs leave in several components are compared by a
     prefix filter over their exact shingles, so no link between them is lost.
     Rows are told apart by key and text, so null and repeated keys neither lose nor keep a row; a null
     key comes last. Of rows that share both, any one stays. Null and wordless texts are one group. Very
