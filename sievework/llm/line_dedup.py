@@ -69,28 +69,50 @@ def band_keys(lines: DataFrame) -> DataFrame:
     return signed.select("lh", F.array(*[F.xxhash64(F.lit(b), *[f"m{b}_{r}" for r in range(ROWS)]) for b in range(BANDS)]).alias("bands"))
 
 
-def candidates(bands: DataFrame, wide: int = WIDE) -> tuple[DataFrame, DataFrame]:
-    """((u, v), (band, lh, head)): pairs of different lines that share a band, and the members of wide bands with their first leader.
+def band_members(bands: DataFrame) -> DataFrame:
+    """(band, lh, n, first): the lines of bands that hold several, with their number and the least of them by hash."""
+    listed = bands.select("lh", F.explode("bands").alias("band")).repartition("band")
+    groups = listed.groupBy("band").agg(F.count("lh").alias("n"), F.min_by("lh", F.xxhash64("lh")).alias("first")).where("n > 1")
+    return table(listed.join(groups.hint("shuffle_hash"), "band"), "line-bands")
+
 
-    A band of over `wide` lines gives the pairs with its leaders alone: the line whose bands have most
-    lines, as the original of a group of near copies has, and the least under LEADERS hash orders.
-    `across` finds the links that these pairs leave out.
+def led(members: DataFrame, wide: int = WIDE) -> tuple[DataFrame, DataFrame]:
+    """((u, v), (band, lh, head)): each line u with the leaders v of its bands, and the members of wide bands with their first leader.
+
+    A band of up to `wide` lines has one leader. A wider one has those that the line whose bands have most
+    lines, as the original of a group of near copies has, and the least under LEADERS hash orders are.
     """
-    listed = bands.select("lh", F.explode("bands").alias("band")).repartition("band")
-    groups = listed.groupBy("band").agg(F.count("lh").alias("n")).where("n > 1")
-    members = table(listed.join(groups.hint("shuffle_hash"), "band"), "line-bands")
-    few = members.where(F.col("n") <= wide)
-    pairs = few.select("band", F.col("lh").alias("u")).join(few.select("band", F.col("lh").alias("v")), "band").where("u < v").select("u", "v")
     many = members.where(F.col("n") > wide).select("band", "lh", "n")
     shared = many.groupBy("lh").agg(F.sum("n").alias("shared"))
     orders = [F.max_by("lh", F.struct("shared", "lh")), *[F.min_by("lh", F.xxhash64("lh", F.lit(k))) for k in range(LEADERS)]]
     heads = many.join(shared, "lh").groupBy("band").agg(F.array(*orders).alias("heads"))
-    many = many.join(heads, "band").select("band", "lh", F.get("heads", F.lit(0)).alias("head"), F.array_distinct("heads").alias("heads"))
-    led = many.select("lh", F.explode("heads").alias("head")).where("lh <> head")
-    found = table(pairs.unionByName(led.select(F.least("lh", "head").alias("u"), F.greatest("lh", "head").alias("v"))).distinct(), "line-pairs")
-    wide_members = table(many.select("band", "lh", "head"), "line-many")
-    forget(members)
-    return found, wide_members
+    many = table(many.join(heads, "band").select("band", "lh", F.get("heads", F.lit(0)).alias("head"), F.array_distinct("heads").alias("heads")), "line-many")
+    few = members.where(F.col("n") <= wide).select(F.col("lh").alias("u"), F.col("first").alias("v"))
+    stars = few.unionByName(many.select(F.col("lh").alias("u"), F.explode("heads").alias("v"))).where("u <> v").distinct()
+    return table(stars, "line-led"), many.select("band", "lh", "head")
+
+
+def unled(members: DataFrame, found: DataFrame | None = None, wide: int = WIDE) -> DataFrame:
+    """(u, v): pairs of a band of up to `wide`, its leader apart, that share no leader whom both match (`found`: u matches leader v)."""
+    few = members.where((F.col("n") <= wide) & (F.col("lh") != F.col("first"))).select("band", "lh")
+    if found is None:
+        few = few.withColumn("leaders", F.array("lh"))
+    else:
+        own = found.groupBy("u").agg(F.collect_set("v").alias("leaders"))  # a few of each of its bands
+        few = few.join(own, F.col("lh") == F.col("u"), "left").select("band", "lh", F.array_append(F.coalesce("leaders", F.array().cast("array<bigint>")), F.col("lh")).alias("leaders"))
+    a, b = (few.select("band", F.col("lh").alias(k), F.col("leaders").alias(f"leaders_{k}")) for k in "uv")
+    return a.join(b, "band").where("u < v AND NOT arrays_overlap(leaders_u, leaders_v)").select("u", "v").distinct()
+
+
+def candidates(bands: DataFrame, wide: int = WIDE) -> tuple[DataFrame, DataFrame]:
+    """((u, v), (band, lh, head)): pairs of different lines that share a band, and the members of wide bands with their first leader.
+
+    A band of over `wide` lines gives the pairs with its leaders alone; `across` finds the links that these leave out.
+    """
+    members = band_members(bands)
+    stars, many = led(members, wide)
+    pairs = unled(members, None, wide).unionByName(stars.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")))
+    return pairs.distinct(), many
 
 
 def shingle_set(line):
@@ -99,18 +121,19 @@ def shingle_set(line):
     Two different shingles share one with a chance of 2 ** -32, so the similarity of two lines of n
     shingles is off by n / 2 ** 32 at most on average.
     """
-    grams = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{WIDTH}}}))."), F.lit(1))
-    grams = F.when(F.length(line) < WIDTH, F.array(line)).otherwise(grams)
-    return F.array_distinct(F.transform(grams, lambda g: F.hash(g)))
+    starts = lambda w: F.sequence(F.lit(1), F.greatest(F.octet_length(w) - 4 * WIDTH, F.lit(0)) + 1, F.lit(4))
+    cut = lambda w: F.transform(starts(w), lambda at: F.hash(F.substring(w, at, F.lit(4 * WIDTH))))
+    each = F.transform(F.array(F.encode(line, "UTF-32")), cut)
+    return F.array_distinct(F.get(each, F.lit(0)))
 
 
-def asked_lines(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """(lh, line) of the lines that pairs name.
+def asked_lines(asked: DataFrame, lines: DataFrame) -> DataFrame:
+    """(lh, line) of the lines that `asked` (lh, in one row or several) names.
 
     A bitmap of fixed size (BITMAP_WORDS rows, so it is broadcast) lets the scan pass on hardly any
     lines but those.
     """
-    ids = pairs.select(F.col("u").alias("lh")).unionByName(pairs.select(F.col("v").alias("lh"))).distinct()
+    ids = asked.select("lh").distinct()
     one, slot = F.expr("shiftleft(1L, cast(pmod(lh, 64) AS int))"), F.expr(f"pmod(shiftright(lh, 6), {BITMAP_WORDS})")
     bitmap = ids.groupBy(slot.alias("slot")).agg(F.bit_or(one).alias("bits"))
     asked = lines.withColumn("slot", slot).join(F.broadcast(bitmap), "slot")
@@ -120,7 +143,15 @@ def asked_lines(pairs: DataFrame, lines: DataFrame) -> DataFrame:
 
 def shingle_sets(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     """(lh, s): the different shingles' hashes of the lines that pairs name."""
-    return asked_lines(pairs, lines).select("lh", shingle_set(F.col("line")).alias("s"))
+    asked = pairs.select(F.explode(F.array("u", "v")).alias("lh"))
+    return asked_lines(asked, lines).select("lh", shingle_set(F.col("line")).alias("s"))
+
+
+def alike(a, b, threshold: float):
+    """Whether two sets have a Jaccard similarity of at least `threshold`; their sizes tell first, and what they share is counted once."""
+    n_a, n_b, eps = F.size(a), F.size(b), 1e-9
+    sized = (n_a >= threshold * n_b - eps) & (n_b >= threshold * n_a - eps)
+    return sized & (F.size(F.array_intersect(a, b)) >= threshold / (1 + threshold) * (n_a + n_b) - eps)
 
 
 def matches(pairs: DataFrame, sets: DataFrame, threshold: float, hint: str = "shuffle_hash") -> DataFrame:
@@ -129,9 +160,19 @@ def matches(pairs: DataFrame, sets: DataFrame, threshold: float, hint: str = "sh
     Hash joins, as a sort would move the sets once more.
     """
     a, b = (sets.select(F.col("lh").alias(k), F.col("s").alias(f"s_{k}")).hint(hint) for k in "uv")
-    both = pairs.join(a, "u").join(b, "v")
-    sized = both.select(*pairs.columns, (F.size("s_u") + F.size("s_v")).alias("n"), F.size(F.array_intersect("s_u", "s_v")).alias("common"))
-    return sized.where(F.col("common") >= threshold * (F.col("n") - F.col("common"))).select(*pairs.columns)
+    return pairs.join(a, "u").join(b, "v").where(alike(F.col("s_u"), F.col("s_v"), threshold)).select(*pairs.columns)
+
+
+def led_matches(stars: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Those of the pairs (u, leader v) whose lines (lh, line) match.
+
+    A set of shingles takes several times the room of its line, so lines are shuffled and make their sets where
+    they meet the leaders; only the leaders' sets are made before.
+    """
+    leaders = texts.join(stars.select(F.col("v").alias("lh")).distinct(), "lh", "left_semi").select(F.col("lh").alias("v"), shingle_set(F.col("line")).alias("s_v"))
+    both = stars.join(texts.select(F.col("lh").alias("u"), "line").hint("shuffle_hash"), "u").join(leaders.hint("shuffle_hash"), "v")
+    own = F.array(shingle_set(F.col("line")))  # bound by a lambda, as it would be made anew for each use
+    return both.where(F.exists(own, lambda s: alike(s, F.col("s_v"), threshold))).select("u", "v")
 
 
 def across(many: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -162,27 +203,34 @@ def across(many: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: float)
     families = connected_components(left.join(several, "lh").select(F.col("head").alias("u"), F.col("low").alias("v")).distinct())
     left = left.join(families, F.col("head") == F.col("node"), "left").select("head", "lh", "c", F.coalesce("component", "head").alias("family"))
     ranked = left.groupBy("family", "head").agg(F.count("*").alias("k")).withColumn("rank", F.row_number().over(Window.partitionBy("family").orderBy(F.desc("k"), "head")))
-    more = left.select("lh", "c", "family").distinct().join(ranked.where(F.col("rank") <= FAMILY).select("family", "head"), "family")
+    chief = ranked.where(F.col("rank") <= FAMILY).select("family", "head")
+    lined = table(left.select("lh", "c", "family").distinct().join(sets, "lh"), "line-open")
+    left = table(left.join(_alone(lined, chief, threshold), "lh", "left_anti"), "line-left")
+    more = left.select("lh", "c", "family").distinct().join(chief, "family")
     met_by = left.select("head", "lh", "c", F.lit(True).alias("banded")).unionByName(more.select("head", "lh", "c", F.lit(False).alias("banded")))
     met_by = met_by.groupBy("head", "lh", "c").agg(F.max("banded").alias("banded"))
-    lined = table(left.select("lh", "c").distinct().join(sets, "lh"), "line-open")
+    lined = lined.drop("family")
     heads = lined.select(F.col("lh").alias("head"), F.col("c").alias("c_head"), F.col("s").alias("s_head")).join(left.select("head").distinct(), "head", "left_semi")  # a head is a line of its band
     join = "broadcast" if (heads.agg(F.sum(F.size("s_head"))).first()[0] or 0) <= BROADCAST else "shuffle_hash"
+    n, n_head = F.size("s"), F.size("s_head")
+    half = F.size(F.array_intersect("s", "s_head")) >= (n + n_head) / 4
+    met_by = table(met_by.join(lined.drop("c"), "lh").join(heads.hint(join), "head").where(F.col("banded") | half).select("head", "lh", "c"), "line-met-by")
+    met_by = _fewer_heads(met_by, ranked)
     apart = met_by.join(lined.drop("c"), "lh").join(heads.hint(join), "head")
-    n, n_head, d = F.size("s"), F.size("s_head"), F.size("e")
-    apart = apart.select("head", "lh", "c", "c_head", "banded", n.alias("n"), n_head.alias("n_head"), F.concat(F.array_except("s", "s_head"), F.array_except("s_head", "s")).alias("e"))
+    apart = apart.select("head", "lh", "c", "c_head", n.alias("n"), n_head.alias("n_head"), F.concat(F.array_except("s", "s_head"), F.array_except("s_head", "s")).alias("e"))
+    d = F.size("e")
     n, n_head = F.col("n"), F.col("n_head")
     near = F.col("d") <= r * (n + n_head) + eps
-    apart = table(apart.withColumn("d", d).where(F.col("banded") | (F.col("d") <= (n + n_head) / 2)).withColumn("near", near), "line-apart")
+    apart = table(apart.withColumn("d", d).withColumn("near", near), "line-apart")
     straight = apart.where(F.col("near") & (F.col("c") != F.col("c_head"))).select(F.col("lh").alias("u"), F.col("head").alias("v"), F.col("c").alias("c_u"), F.col("c_head").alias("c_v"))
     apart = apart.withColumn("c", F.when(F.col("near"), F.col("c_head")).otherwise(F.col("c")))
     inside = F.ceil((F.col("d") + r * (n_head - n)) / 2 - eps)  # its partners neither match the head nor are in its component
     least = F.greatest(F.lit(1), F.ceil(F.col("d") - r * (n + F.floor(n / threshold + eps)) - eps), F.when(F.col("c") == F.col("c_head"), inside))
     each = apart.withColumn("o", least).where("o <= d").select("head", "lh", "c", "n", "d", "o", F.explode("e").alias("x"))
     # Lines outside a difference's largest component look for partners; that component's own do not meet.
-    owners = each.groupBy("head", "x", "c").agg(F.count("*").alias("k")).groupBy("head", "x")
-    owners = owners.agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.count("*").alias("parts"), F.sum("k").alias("used")).where("parts > 1")
-    shared = each.join(owners, ["head", "x"])
+    same = Window.partitionBy("head", "x")
+    shared = each.repartition("head", "x").withColumn("k", F.count("*").over(Window.partitionBy("head", "x", "c")))
+    shared = shared.select("*", F.max_by("c", F.struct("k", "c")).over(same).alias("main"), F.count("*").over(same).alias("used"), (F.min("c").over(same) < F.max("c").over(same)).alias("several")).where("several")
     line = Window.partitionBy("head", "lh")
     at = F.col("d") - F.count("*").over(line) + F.row_number().over(line.orderBy("used", "x")) - 1
     firsts = shared.select("head", "x", "main", "lh", "c", "n", "d", "o", at.alias("at")).where("at <= d - o")
@@ -199,15 +247,52 @@ def across(many: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: float)
     return found.select(F.col("c_u").alias("u"), F.col("c_v").alias("v")).distinct()
 
 
+def _fewer_heads(met_by: DataFrame, ranked: DataFrame) -> DataFrame:
+    """`met_by` (head, lh, c) with heads that stand for others: a head gives its lines to the first that half of them meet too.
+
+    Lines that met under a head still meet under the one that stands for it, so no pair is lost, and a line
+    of a family with several heads has hardly more than one row.
+    """
+    order = ranked.select("head", "family", "rank")
+    at = met_by.join(order, "head")
+    sizes = at.groupBy("head").agg(F.count("*").alias("held"))
+    both = at.select("lh", "family", "head", "rank").join(at.select("lh", "family", F.col("head").alias("by"), F.col("rank").alias("by_rank")), ["lh", "family"]).where("by_rank < rank")
+    likely = both.groupBy("head", "by").agg(F.count("*").alias("k"), F.min("by_rank").alias("by_rank")).join(sizes, "head").where("2 * k >= held").select("head", "by", "by_rank")
+    likely = table(likely, "line-likely")  # some rows a head
+    roots = likely.join(likely.select(F.col("head").alias("by")).distinct(), "by", "left_anti")
+    stands = roots.groupBy("head").agg(F.min_by("by", "by_rank").alias("by"))
+    return met_by.join(stands, "head", "left").select(F.coalesce("by", "head").alias("head"), "lh", "c").distinct()
+
+
+def _alone(lined: DataFrame, chief: DataFrame, threshold: float) -> DataFrame:
+    """(lh): lines (lh, c, family, s) that can match no other of their family, as too many of their shingles are theirs alone.
+
+    A match of n shingles shares threshold * n at least. What the family's chief heads hold is not counted, so few shingles are listed.
+    """
+    known = chief.join(lined.select(F.col("lh").alias("head"), "s"), "head").groupBy("family").agg(F.flatten(F.collect_list("s")).alias("known"))  # FAMILY sets at most
+    bound, none = (1 - threshold) * F.size("s"), F.array().cast("array<int>")
+    own = lined.join(known, "family", "left").select("family", "lh", bound.alias("bound"), F.array_except("s", F.coalesce("known", none)).alias("e"))
+    listed = own.select("family", "lh", "bound", F.explode("e").alias("x")).groupBy("family", "x")
+    single = listed.agg(F.min("lh").alias("lh"), F.max("lh").alias("other"), F.min("bound").alias("bound")).where("lh = other")
+    return single.groupBy("lh").agg(F.count("*").alias("k"), F.min("bound").alias("bound")).where(F.col("k") > F.col("bound") + 1e-9).select("lh")
+
+
 def line_components(lines: DataFrame, threshold: float = 0.8, wide: int = WIDE) -> DataFrame:
     """(node, component) of every line (lh, line) that matches another; lh is a line's hash."""
     bands = table(band_keys(lines), "line-signatures")
-    pairs, many = candidates(bands, wide)
+    members = band_members(bands)
     forget(bands)
-    sets = table(shingle_sets(pairs, lines), "line-sets")
-    nodes = connected_components(matches(pairs, sets, threshold))
-    joined = table(across(many, nodes, sets, threshold), "line-joined")
-    for done in (many, pairs, sets):
+    stars, many = led(members, wide)
+    texts = table(asked_lines(members, lines), "line-texts")
+    found = table(led_matches(stars, texts, threshold), "line-found")
+    rest = table(unled(members, found, wide), "line-pairs")
+    forget(members)
+    asked = rest.select(F.explode(F.array("u", "v")).alias("lh")).distinct()
+    set_of = lambda ids: texts.join(ids, "lh", "left_semi").select("lh", shingle_set(F.col("line")).alias("s"))
+    more = matches(rest, table(set_of(asked), "line-sets"), threshold)
+    nodes = connected_components(found.unionByName(more))
+    joined = table(across(many, nodes, set_of(many), threshold), "line-joined")
+    for done in (stars, texts, found, rest):
         forget(done)
     return lifted(nodes, joined)
 
