@@ -127,17 +127,24 @@ def shingle_set(line):
     return F.array_distinct(F.get(each, F.lit(0)))
 
 
+def listed(rows: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """`rows` with a column listed: false where column `name` is none of `ids`; true where it is one, and for hardly any others.
+
+    A bitmap of fixed size (BITMAP_WORDS rows, so it is broadcast) tells, so no row is shuffled.
+    """
+    one, slot = F.expr(f"shiftleft(1L, cast(pmod(`{name}`, 64) AS int))"), F.expr(f"pmod(shiftright(`{name}`, 6), {BITMAP_WORDS})")
+    bitmap = ids.select(name).groupBy(slot.alias("slot")).agg(F.bit_or(one).alias("bits"))
+    told = rows.withColumn("slot", slot).join(F.broadcast(bitmap), "slot", "left")
+    return told.withColumn("listed", F.coalesce(F.col("bits").bitwiseAND(one) != 0, F.lit(False))).drop("slot", "bits")
+
+
 def asked_lines(asked: DataFrame, lines: DataFrame) -> DataFrame:
     """(lh, line) of the lines that `asked` (lh, in one row or several) names.
 
-    A bitmap of fixed size (BITMAP_WORDS rows, so it is broadcast) lets the scan pass on hardly any
-    lines but those.
+    The scan passes on hardly any lines but those (see `listed`).
     """
     ids = asked.select("lh").distinct()
-    one, slot = F.expr("shiftleft(1L, cast(pmod(lh, 64) AS int))"), F.expr(f"pmod(shiftright(lh, 6), {BITMAP_WORDS})")
-    bitmap = ids.groupBy(slot.alias("slot")).agg(F.bit_or(one).alias("bits"))
-    asked = lines.withColumn("slot", slot).join(F.broadcast(bitmap), "slot")
-    asked = asked.where(F.col("bits").bitwiseAND(one) != 0).groupBy("lh").agg(F.min("line").alias("line"))
+    asked = listed(lines, ids, "lh").where("listed").groupBy("lh").agg(F.min("line").alias("line"))
     return asked.join(ids, "lh", "left_semi")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sievework.llm.common import forget, table
 from sievework.llm.components import connected_components
-from sievework.llm.line_dedup import across, lifted, matches
+from sievework.llm.line_dedup import across, asked_lines, lifted, listed, matches
 
 BITS = 64
 #: Wide fingerprints: 64-bit words, and bits of a segment, each of which is chained with a least hash.
@@ -20,6 +20,14 @@ SIGNED = 1 << 16
 WIDE = 64
 #: The same for the keys of texts, whose other links `line_dedup.across` finds.
 CROWD = 8
+#: Share of a text's shingles by which its first ones are more than a link needs, and by which more of them must be shared.
+SPARE = 0.1
+#: Groups that hashes are dealt to, at least, to find those that several texts hold; a power of two.
+BUCKETS = 256
+#: Longest word whose hash is a sum over its bytes; longer ones take XXH64.
+LONG = 64
+#: What texts with a word match, as `shingle_hashes` takes words.
+WORDED = r"[^\x20\x09-\x0D]"
 
 
 def shingle_hashes(text: str, shingle: int, seed: int = 42) -> list[int]:
@@ -177,14 +185,14 @@ def chains(print_: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
 def wide_candidates(prints: DataFrame, wide: int = CROWD) -> tuple[DataFrame, DataFrame]:
     """((u, v), (band, lh, head)): pairs of texts (h, chains) that may be near-duplicates, and the members of wide keys with a leader.
 
-    A text may have a row from every task that met it. Two candidates share a segment and the least hash
-    chained with it. Texts of similarity s share a least hash with chance s and a segment of SEGMENT bits
+    Two candidates share a segment and the least hash chained with it, or one of the further keys that
+    may follow a text's chains. Texts of similarity s share a least hash with chance s and a segment of SEGMENT bits
     with about 0.27 at 0.8; texts that share no shingle share no key, however many texts there are, so
     keys hold like texts alone and their members grow with the copies. The members of a key with over `wide` texts meet its
     leaders alone, the least under two hash orders; `line_dedup.across` finds the links that leaves out.
     """
     keyed = prints.dropDuplicates(["h"]).select("h", F.posexplode("chains").alias("start", "chain"))
-    keyed = keyed.select("h", F.xxhash64("start", "chain").alias("key")).repartition("key")
+    keyed = keyed.select("h", F.xxhash64(F.least("start", F.lit(WORDS * BITS // SEGMENT)), "chain").alias("key")).repartition("key")
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("h").alias("low"), F.min_by("h", F.xxhash64("h")).alias("other")).where("n > 1")
     members = table(keyed.join(sizes.hint("shuffle_hash"), "key"), "simhash-wide-keys")
     few, many = members.where(F.col("n") <= wide), members.where(F.col("n") > wide)
@@ -196,59 +204,217 @@ def wide_candidates(prints: DataFrame, wide: int = CROWD) -> tuple[DataFrame, Da
     return found, crowd
 
 
-def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
-    """(lh, s): the different hashes (32 bits) of the word shingles of texts (h, text), each h once."""
+def firsts(hashes: np.ndarray, similarity: float, spare: float = 0) -> tuple[np.ndarray, int]:
+    """The first of a text's different hashes in their order, and how many of them each partner shares at least.
 
-    def run(batches):
+    A partner shares o = ceil(similarity * n) of n hashes or more, so at most n - o of them are not the
+    partner's, and the first n - o + l hold the first l that both share: of either text, with its own l. Of these
+    l = 1 + floor(spare * n), and a partner has `o` hashes at least, so 1 + floor(spare * o) are first ones of both.
+    """
+    n = len(hashes)
+    o = int(np.ceil(similarity * n - 1e-9))
+    return hashes[: n - o + 1 + int(spare * n)], 1 + int(spare * o)
+
+
+def _factors() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each byte: whether it belongs to a word, and its factor; the factor of each place in a word."""
+    draw = np.random.default_rng(42)
+    ink = np.ones(256, bool)
+    ink[[0x20, *range(0x09, 0x0E)]] = False
+    return ink, draw.integers(1, 1 << 63, 256, np.uint64) * ink, draw.integers(1, 1 << 63, LONG, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+INK, BYTE, PLACE = _factors()
+
+
+def word_hashes(text: str) -> np.ndarray:
+    """64-bit hashes of a text's words, as `shingle_hashes` takes words; all words at once."""
+    line = text.encode("utf-8", "surrogatepass").lower()
+    raw = np.frombuffer(line, np.uint8)
+    ink = INK[raw]
+    begin = ink.copy()
+    begin[1:] &= ~ink[:-1]
+    starts = np.flatnonzero(begin)
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    at = np.arange(len(raw), dtype=np.int32)
+    place = np.minimum(at - np.maximum.accumulate(np.where(begin, at, 0)), LONG - 1)
+    out = np.add.reduceat(BYTE[raw] * PLACE[place], starts)
+    if place.max() == LONG - 1:
+        import xxhash
+
+        sizes = np.add.reduceat(ink, starts, dtype=np.int64)
+        for i in np.flatnonzero(sizes >= LONG):
+            out[i] = xxhash.xxh64_intdigest(line[starts[i] : starts[i] + sizes[i]], 42)
+    return out
+
+
+def quick_shingles(text: str, shingle: int) -> np.ndarray:
+    """64-bit hashes of the shingles that `shingle_hashes` takes, each mixed from the hashes of its words."""
+    each = word_hashes(text)
+    size = min(shingle, len(each))
+    out = np.full(len(each) - size + 1 if size else 0, size, np.uint64)
+    for j in range(size):
+        out = (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + each[j : j + len(out)]
+    out = (out ^ (out >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+    return out ^ (out >> np.uint64(29))
+
+
+def _different(hashes: np.ndarray) -> np.ndarray:
+    """The different hashes in their order."""
+    out = np.sort(hashes)
+    return out[np.append(True, out[1:] != out[:-1])] if len(out) else out
+
+
+def _packed(hs: np.ndarray, needs: np.ndarray, xs: list[np.ndarray], buckets: int) -> pd.DataFrame:
+    """Rows (bucket, x, h, need) of packed arrays: the different hashes xs of texts hs, dealt by hash.
+
+    A hash that several of these texts hold is counted for them here and sent once, with need 0, so a hash of very
+    many texts is a few; the counts are a row of their own, beyond the buckets.
+    """
+    text, x = np.repeat(np.arange(len(xs)), [len(v) for v in xs]), np.concatenate(xs)
+    order = np.argsort(x)
+    x, text = x[order], text[order]
+    h, need = hs[text], needs[text]
+    shared, starts = _shared(x, h)
+    k = np.bincount(text[shared], minlength=len(xs))
+    some = np.flatnonzero(k)
+    need[shared] = 0
+    sent = ~shared
+    sent[starts] = True
+    x, h, need = x[sent], h[sent], need[sent]
+    bucket = (x & np.uint64(buckets - 1)).astype(np.uint16)
+    order = np.argsort(bucket, kind="stable")
+    x, h, need = (x[order] >> np.uint64(16)).astype(np.uint32), h[order], need[order]
+    ends = np.cumsum(np.bincount(bucket, minlength=buckets))
+    rows = [(b, x[i:j].tobytes(), h[i:j].tobytes(), need[i:j].tobytes()) for b, (i, j) in enumerate(zip([0, *ends[:-1]], ends, strict=True)) if i < j]
+    rows.append((buckets + int(hs[0]) % buckets, k[some].astype(np.uint32).tobytes(), hs[some].tobytes(), needs[some].tobytes()))
+    return pd.DataFrame(rows, columns=["bucket", "x", "h", "need"])
+
+
+def _shared(x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted hashes x of texts h: whether several texts hold it, and where each begins."""
+    starts = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+    several = np.minimum.reduceat(h, starts) < np.maximum.reduceat(h, starts)
+    return np.repeat(several, np.diff(np.append(starts, len(x)))), starts
+
+
+def sharing(texts: DataFrame) -> DataFrame:
+    """(h): texts (h, need, xs) of which at least `need` hashes are also other texts'; unlike hashes count as one with a chance of 2 ** -32 or less.
+
+    Packed arrays of hashes are shuffled, by hash, and each bucket finds those of several texts.
+    """
+    buckets = 1 << max(BUCKETS - 1, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()
+    buckets = min(buckets, 1 << 15)
+
+    def pack(batches):
         for b in batches:
-            sets = [np.unique(np.array(shingle_hashes(v or "", shingle), np.uint64).astype(np.uint32)).view(np.int32) for v in b["text"]]
-            yield pd.DataFrame({"lh": b["h"], "s": sets})
+            if len(b) and any(map(len, b["xs"])):
+                yield _packed(b["h"].to_numpy(np.int64), b["need"].to_numpy(np.uint32), [np.asarray(v, np.int64).view(np.uint64) for v in b["xs"]], buckets)
 
-    return texts.mapInPandas(run, "lh long, s array<int>").dropDuplicates(["lh"])
+    def count(group: pd.DataFrame) -> pd.DataFrame:
+        x, h, need = (np.frombuffer(b"".join(group[c]), kind) for c, kind in (("x", np.uint32), ("h", np.int64), ("need", np.uint32)))
+        if group["bucket"].iloc[0] >= buckets:
+            return pd.DataFrame({"h": h, "need": need.astype(np.int64), "k": x.astype(np.int64)})
+        order = np.argsort(x, kind="stable")
+        x, h, need = x[order], h[order], need[order]
+        shared, starts = _shared(x, h)
+        shared |= np.repeat(np.minimum.reduceat(need, starts) == 0, np.diff(np.append(starts, len(x))))
+        shared &= need > 0
+        hs, at, k = np.unique(h[shared], return_index=True, return_counts=True)
+        return pd.DataFrame({"h": hs, "need": need[shared][at].astype(np.int64), "k": k})
 
+    packed = texts.select("h", "need", "xs").mapInPandas(pack, "bucket int, x binary, h binary, need binary")
+    counted = packed.groupBy("bucket").applyInPandas(count, "h long, need long, k long")
+    return counted.groupBy("h").agg(F.sum("k").alias("k"), F.min("need").alias("need")).where("k >= need").select("h")
 
-def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of `docs` of each group of near-duplicates: that of least key, and of these that of least text hash.
 
-    Near-duplicates are texts whose sets of word shingles have a Jaccard similarity of at least
-    `similarity`, and what such links join. SimHash fingerprints of WORDS * 64 bits find the candidates
-    (see `wide_candidates`), exact similarities decide. Texts of a wide key that these pairs leave in several components are compared by a
-    prefix filter over their exact shingles, so no link between them is lost.
-    Rows are told apart by key and text, so null and repeated keys neither lose nor keep a row; a null
-    key comes last. Of rows that share both, any one stays. Null and wordless texts are one group. Very
-    long texts are taken whole, in parts. Other columns, whatever their names, stay as they are; an
-    empty table gives an empty one.
-    """
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).alias("k"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"))
+def first_hashes(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(h, need, xs): the first shingle hashes of texts (h, text), and how many of them a near-duplicate shares at least."""
 
     def run(batches):
         seen: set[int] = set()  # a text that many rows of a task hold is signed once
         for b in batches:
-            hs, cs = [], []
+            hs, needs, xs = [], [], []
             for h, value in zip(b["h"], b["text"], strict=True):
                 if h not in seen:
                     if len(seen) == SIGNED:
                         seen.clear()
                     seen.add(h)
-                    hashes = np.array(shingle_hashes(value or "", shingle), np.uint64)
+                    first, need = firsts(_different(quick_shingles(value, shingle)), similarity, SPARE)
                     hs.append(h)
-                    cs.append(chains(wide_fingerprint(hashes)) if len(hashes) else None)
-            yield pd.DataFrame({"h": pd.array(hs, "int64"), "chains": cs})
+                    needs.append(need)
+                    xs.append(first.view(np.int64))
+            yield pd.DataFrame({"h": pd.array(hs, "int64"), "need": pd.array(needs, "int64"), "xs": xs})
 
-    texts = rows.select("h", F.col(f"row.`{text}`").alias("text"))
-    prints = table(texts.mapInPandas(run, "h long, chains array<long>"), "simhash-wide-prints")
-    pairs, crowd = wide_candidates(prints.where("chains IS NOT NULL"), CROWD)
-    asked = pairs.select(F.explode(F.array("u", "v")).alias("h")).distinct()
-    sets = table(shingle_sets(texts.join(asked, "h", "left_semi"), shingle), "simhash-sets")
+    return texts.mapInPandas(run, "h long, need long, xs array<long>")
+
+
+def signatures(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(lh, s, keys) of texts (lh, line): the different hashes (32 bits) of the word shingles, and keys of which near-duplicates share one: chains, and first hashes, of which one at least is common."""
+
+    def run(batches):
+        for b in batches:
+            sets, keys = [], []
+            for text in b["line"]:
+                hashes = quick_shingles(text, shingle)
+                sets.append(_different(hashes.astype(np.uint32)).view(np.int32))
+                keys.append(np.concatenate([chains(wide_fingerprint(hashes)), firsts(_different(hashes), similarity)[0].view(np.int64)]))
+            yield pd.DataFrame({"lh": b["lh"], "s": sets, "keys": keys})
+
+    return texts.mapInPandas(run, "lh long, s array<int>, keys array<long>")
+
+
+def near_texts(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(node, component) of every text (h, text) that has a near-duplicate.
+
+    A text that could be alike has most of its shingles in others. Those that don't are left out: first by
+    their first shingles (see `firsts`), then, of those that stay, by all. So a passage of very many texts makes no pairs.
+    """
+    worded = texts.where(F.col("text").rlike(WORDED))
+    alive = table(sharing(first_hashes(worded, shingle, similarity)).select(F.col("h").alias("lh")), "simhash-alive")
+    asked = asked_lines(alive, worded.select(F.col("h").alias("lh"), F.col("text").alias("line")))
+    signed = table(signatures(asked, shingle, similarity), "simhash-signed")
+    need = F.ceil(similarity * F.size("s") - 1e-9)
+    spread = F.transform("s", lambda x: F.xxhash64(x))  # 32 bits are too few to be dealt out
+    left = sharing(signed.select(F.col("lh").alias("h"), need.alias("need"), spread.alias("xs")))
+    left = table(signed.join(left.select(F.col("h").alias("lh")), "lh", "left_semi"), "simhash-sets")
+    forget(signed)
+    pairs, crowd = wide_candidates(left.select(F.col("lh").alias("h"), F.col("keys").alias("chains")), CROWD)
+    sets = left.select("lh", "s")
     nodes = connected_components(matches(pairs, sets, similarity))
-    nodes = lifted(nodes, table(across(crowd, nodes, sets, similarity), "simhash-joined"))
-    wordless = prints.where("chains IS NULL").select("h", F.lit(0).alias("g")).distinct()
+    if crowd.isEmpty():
+        return nodes
+    return lifted(nodes, table(across(crowd, nodes, sets, similarity), "simhash-joined"))
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of `docs` of each group of near-duplicates: that of least key, and of these that of least text hash.
+
+    Near-duplicates are texts whose sets of word shingles have a Jaccard similarity of at least
+    `similarity`, and what such links join; none is lost. Texts whose shingles rule out a partner are
+    not compared (see `near_texts`). Of the others, SimHash fingerprints of WORDS * 64 bits and prefix filters
+    find the candidates (see `wide_candidates`), exact similarities decide. Texts of a wide key that these pairs leave in several components are compared by a
+    prefix filter over their exact shingles, so no link between them is lost.
+    Rows are told apart by key and text, so null and repeated keys neither lose nor keep a row; a null
+    key comes last. Of rows that share both, any one stays. Null and wordless texts are one group. Very
+    long texts are taken whole, in parts. Other columns, whatever their names, stay as they are; an
+    empty table gives an empty one. Rows that are alone in their group are not shuffled.
+    """
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).alias("k"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"))
+    texts = rows.select("h", F.col(f"row.`{text}`").alias("text"))
+    nodes = near_texts(texts, shingle, similarity)
+    wordless = texts.where(~F.coalesce(F.col("text"), F.lit("")).rlike(WORDED)).select("h", F.lit(0).alias("g")).distinct()
     groups = nodes.select(F.col("node").alias("h"), F.col("component").alias("g")).unionByName(wordless)
-    named = rows.select("k", "h").distinct().join(groups, "h", "left").withColumn("g", F.coalesce("g", "h"))
-    best = named.groupBy("g").agg(F.min(F.struct(F.col("k").isNull().alias("none"), "k", "h")).alias("best"))
+    least = rows.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct(F.col("k").isNull().alias("none"), "k", "h")).alias("least"))
+    several = table(least.join(groups, "h", "left").where("n > 1 OR g IS NOT NULL").select("h", "least", F.coalesce("g", "h").alias("g")), "simhash-several")
+    best = several.groupBy("g").agg(F.min("least").alias("best"))
     best = best.select(F.col("best.k").alias("bk"), F.col("best.h").alias("bh"))
-    kept = rows.join(best, F.col("k").eqNullSafe(F.col("bk")) & (F.col("h") == F.col("bh")), "left_semi")
-    return kept.dropDuplicates(["k", "h"]).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    told = listed(rows, several.select("h"), "h")
+    kept = told.where("listed").join(several.select("h"), "h", "left_semi")
+    kept = kept.join(best, F.col("k").eqNullSafe(F.col("bk")) & (F.col("h") == F.col("bh")), "left_semi").dropDuplicates(["k", "h"])
+    alone = told.where("NOT listed").unionByName(told.where("listed").join(several.select("h"), "h", "left_anti"))
+    return alone.unionByName(kept).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def as_hex(col):
