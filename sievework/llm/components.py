@@ -8,18 +8,22 @@ from pyspark.sql import functions as F
 from sievework.llm.common import cut
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+#: Links up to which one task takes them all: shuffling so few takes longer. The bound does not grow with the input.
+FEW = 200_000
+
+
+def _large_star(edges: DataFrame, gathered) -> DataFrame:
+    both = gathered(edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))))
     low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
     # A neighbour above u hangs on the smallest node that u sees.
     return both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, gathered) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     low = down.groupBy("u").agg(F.min("v").alias("m"))
     rest = down.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return rest.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+    return gathered(rest.unionByName(low.select("u", F.col("m").alias("v")))).distinct()
 
 
 def _state(edges: DataFrame):
@@ -32,15 +36,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Each round joins edges with each node's smallest neighbour; a hub's edges share a join key, which
     adaptive execution splits, and are never gathered into a list. Rounds grow with the logarithm of the
-    largest component. Self links, repeated links and an empty input are fine: a node with only self
+    largest component. Up to FEW links are one task's, without a shuffle. Self links, repeated links and an empty input are fine: a node with only self
     links has no row.
     """
     edges = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     state = _state(edges)
+    gathered = (lambda df: df.coalesce(1)) if state[0] <= FEW else (lambda df: df)  # links never become more
+    edges = gathered(edges)
     while state[0]:
-        edges = cut(_small_star(_large_star(edges)))
+        edges = gathered(cut(_small_star(_large_star(edges, gathered), gathered)))
         if (now := _state(edges)) == state:
             break
         state = now
     pairs = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return pairs.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+    return gathered(pairs.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")))).distinct()

@@ -279,6 +279,9 @@ def _alone(lined: DataFrame, chief: DataFrame, threshold: float) -> DataFrame:
     known = chief.join(lined.select(F.col("lh").alias("head"), "s"), "head").groupBy("family").agg(F.flatten(F.collect_list("s")).alias("known"))  # FAMILY sets at most
     bound, none = (1 - threshold) * F.size("s"), F.array().cast("array<int>")
     own = lined.join(known, "family", "left").select("family", "lh", bound.alias("bound"), F.array_except("s", F.coalesce("known", none)).alias("e"))
+    # Only lines with more such shingles than that can go: where they are the few, all stay, as listing costs more.
+    many = own.groupBy("family").agg(F.avg((F.size("e") > F.col("bound")).cast("int")).alias("may")).where("may >= 0.5")
+    own = own.join(many, "family", "left_semi")
     listed = own.select("family", "lh", "bound", F.explode("e").alias("x")).groupBy("family", "x")
     single = listed.agg(F.min("lh").alias("lh"), F.max("lh").alias("other"), F.min("bound").alias("bound")).where("lh = other")
     return single.groupBy("lh").agg(F.count("*").alias("k"), F.min("bound").alias("bound")).where(F.col("k") > F.col("bound") + 1e-9).select("lh")
