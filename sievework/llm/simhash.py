@@ -24,6 +24,8 @@ CROWD = 8
 SPARE = 0.1
 #: Groups that hashes are dealt to, at least, to find those that several texts hold; a power of two.
 BUCKETS = 256
+#: Hashes that a task packs together.
+TOGETHER = 1 << 18
 #: Longest word whose hash is a sum over its bytes; longer ones take XXH64.
 LONG = 64
 #: What texts with a word match, as `shingle_hashes` takes words.
@@ -299,18 +301,26 @@ def _shared(x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(several, np.diff(np.append(starts, len(x)))), starts
 
 
-def sharing(texts: DataFrame) -> DataFrame:
-    """(h): texts (h, need, xs) of which at least `need` hashes are also other texts'; unlike hashes count as one with a chance of 2 ** -32 or less.
+def sharing(texts: DataFrame, told) -> DataFrame:
+    """(h): texts of which at least as many hashes as they need are also other texts'; unlike hashes count as one with a chance of 2 ** -32 or less.
 
+    told() makes, for a task, a function of a batch of `texts` that gives (h, need, different hashes) of each text.
     Packed arrays of hashes are shuffled, by hash, and each bucket finds those of several texts.
     """
     buckets = 1 << max(BUCKETS - 1, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()
     buckets = min(buckets, 1 << 15)
 
     def pack(batches):
-        for b in batches:
-            if len(b) and any(map(len, b["xs"])):
-                yield _packed(b["h"].to_numpy(np.int64), b["need"].to_numpy(np.uint32), [np.asarray(v, np.int64).view(np.uint64) for v in b["xs"]], buckets)
+        of, held, n = told(), [], 0
+        each = (x for b in batches for x in of(b) if len(x[2]))
+        for x in each:
+            held.append(x)
+            n += len(x[2])
+            if n >= TOGETHER:
+                yield _packed(*_columns(held), buckets)
+                held, n = [], 0
+        if held:
+            yield _packed(*_columns(held), buckets)
 
     def count(group: pd.DataFrame) -> pd.DataFrame:
         x, h, need = (np.frombuffer(b"".join(group[c]), kind) for c, kind in (("x", np.uint32), ("h", np.int64), ("need", np.uint32)))
@@ -324,30 +334,48 @@ def sharing(texts: DataFrame) -> DataFrame:
         hs, at, k = np.unique(h[shared], return_index=True, return_counts=True)
         return pd.DataFrame({"h": hs, "need": need[shared][at].astype(np.int64), "k": k})
 
-    packed = texts.select("h", "need", "xs").mapInPandas(pack, "bucket int, x binary, h binary, need binary")
+    packed = texts.mapInPandas(pack, "bucket int, x binary, h binary, need binary")
     counted = packed.groupBy("bucket").applyInPandas(count, "h long, need long, k long")
     return counted.groupBy("h").agg(F.sum("k").alias("k"), F.min("need").alias("need")).where("k >= need").select("h")
 
 
-def first_hashes(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(h, need, xs): the first shingle hashes of texts (h, text), and how many of them a near-duplicate shares at least."""
+def _columns(held: list[tuple[int, int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    hs, needs, xs = zip(*held, strict=True)
+    return np.array(hs, np.int64), np.array(needs, np.uint32), list(xs)
 
-    def run(batches):
+
+def first_hashes(shingle: int, similarity: float):
+    """For `sharing`: of texts (h, text) their first shingle hashes, and how many of them a near-duplicate shares at least."""
+
+    def told():
         seen: set[int] = set()  # a text that many rows of a task hold is signed once
-        for b in batches:
-            hs, needs, xs = [], [], []
+
+        def of(b):
             for h, value in zip(b["h"], b["text"], strict=True):
                 if h not in seen:
                     if len(seen) == SIGNED:
                         seen.clear()
                     seen.add(h)
-                    first, need = firsts(_different(quick_shingles(value, shingle)), similarity, SPARE)
-                    hs.append(h)
-                    needs.append(need)
-                    xs.append(first.view(np.int64))
-            yield pd.DataFrame({"h": pd.array(hs, "int64"), "need": pd.array(needs, "int64"), "xs": xs})
+                    xs, need = firsts(_different(quick_shingles(value, shingle)), similarity, SPARE)
+                    yield h, need, xs
+
+        return of
+
+    return told
+
+
+def set_hashes(similarity: float):
+    """For `sharing`: of sets (lh, s) all hashes, and how many of them a near-duplicate shares at least."""
+
+    def told():
+        def of(b):
+            for h, s in zip(b["lh"], b["s"], strict=True):
+                x = np.asarray(s, np.int32).view(np.uint32) * np.uint64(0x9E3779B97F4A7C15)  # 32 bits are too few to be dealt out
+                yield h, int(np.ceil(similarity * len(x) - 1e-9)), x ^ (x >> np.uint64(32))
+
+        return of
 
-    return texts.mapInPandas(run, "h long, need long, xs array<long>")
+    return told
 
 
 def signatures(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -372,12 +400,10 @@ def near_texts(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
     their first shingles (see `firsts`), then, of those that stay, by all. So a passage of very many texts makes no pairs.
     """
     worded = texts.where(F.col("text").rlike(WORDED))
-    alive = table(sharing(first_hashes(worded, shingle, similarity)).select(F.col("h").alias("lh")), "simhash-alive")
+    alive = table(sharing(worded, first_hashes(shingle, similarity)).select(F.col("h").alias("lh")), "simhash-alive")
     asked = asked_lines(alive, worded.select(F.col("h").alias("lh"), F.col("text").alias("line")))
     signed = table(signatures(asked, shingle, similarity), "simhash-signed")
-    need = F.ceil(similarity * F.size("s") - 1e-9)
-    spread = F.transform("s", lambda x: F.xxhash64(x))  # 32 bits are too few to be dealt out
-    left = sharing(signed.select(F.col("lh").alias("h"), need.alias("need"), spread.alias("xs")))
+    left = sharing(signed.select("lh", "s"), set_hashes(similarity))
     left = table(signed.join(left.select(F.col("h").alias("lh")), "lh", "left_semi"), "simhash-sets")
     forget(signed)
     pairs, crowd = wide_candidates(left.select(F.col("lh").alias("h"), F.col("keys").alias("chains")), CROWD)
